@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language_id, quality, toxicity
 from .block_naming import exact_copies
+from .bottomk import fingerprints
 from .common import table
 from .entropy_mix import mix
+from .features import fold
 from .vector_packing import pack
 
 
@@ -22,22 +26,49 @@ def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op3_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, part = table(spark, sf_dir, "documents").select("doc_id", "text"), fold(F.col("doc_id"), 5)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), part != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op4_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_bottomk_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, part = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), fold(F.col("doc_id"), 3)
+    model = language_id.train(docs, part != 1)
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op9_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, part = table(spark, sf_dir, "documents").select("doc_id", "text"), fold(F.col("doc_id"), 3)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), part != 1)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_entropy_mix, op4_block_naming, op7_vector_packing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op4_block_naming": OP4_SQL}
 
 
+QUERIES = (op2_entropy_mix, op3_toxicity_nnpu, op4_block_naming, op5_bottomk_fingerprint, op6_centroid_language, op7_vector_packing, op9_quality_neighbours)
+
 OP4_SQL = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n FROM documents
