@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality, toxicity
+from . import html_extraction, language_id, quality, toxicity
 from .block_naming import exact_copies
 from .bottomk import fingerprints
 from .common import table
 from .entropy_mix import mix
 from .features import fold
+from .substring_dedup import repeated_spans
 from .vector_packing import pack
 
 
@@ -22,6 +23,10 @@ def vocabulary_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
@@ -59,6 +64,10 @@ def op9_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op10_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
@@ -67,7 +76,7 @@ def oracle_sql() -> dict[str, str]:
     return {"op4_block_naming": OP4_SQL}
 
 
-QUERIES = (op2_entropy_mix, op3_toxicity_nnpu, op4_block_naming, op5_bottomk_fingerprint, op6_centroid_language, op7_vector_packing, op9_quality_neighbours)
+QUERIES = (op1_substring_dedup, op2_entropy_mix, op3_toxicity_nnpu, op4_block_naming, op5_bottomk_fingerprint, op6_centroid_language, op7_vector_packing, op9_quality_neighbours, op10_html_crf)
 
 OP4_SQL = r"""
 WITH t AS (
