@@ -89,21 +89,21 @@ def train(docs: DataFrame, use: Column, per_language: int = 600, centroids: int
     return Centroids(names, np.concatenate(vectors) if vectors else np.zeros((0, DIMS), np.float32), idf)
 
 
-def predict(docs: DataFrame, model: Centroids, reject_below: float = 0.0) -> DataFrame:
-    """``docs`` (with a column text) with lang_pred and lang_score appended, other columns as they are.
+def predict(docs: DataFrame, model: Centroids, reject_below: float = 0.0, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` (with a column text) with the language and its cosine appended as ``names``, other columns as they are.
 
     Null texts, texts without letters, and texts whose best cosine is under ``reject_below``
     are ``und``. Whole texts count, however long.
     """
-    names = docs.columns
+    columns, at = docs.columns, docs.columns.index("text")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            got = [m.nearest(t) for t in batch.column(names.index("text")).to_pylist()]
+            got = [m.nearest(t) for t in batch.column(at).to_pylist()]
             pred = [p if s >= reject_below else UNKNOWN for p, s in got]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*columns, *names])
 
-    schema = docs.select(*names).schema.add("lang_pred", "string").add("lang_score", "double")
+    schema = docs.select(*columns).schema.add(names[0], "string").add(names[1], "double")
     return docs.mapInArrow(label, schema)

@@ -13,6 +13,7 @@ from .bottomk import fingerprints
 from .common import table
 from .entropy_mix import mix
 from .features import fold
+from .ngram_join import near_duplicates
 from .substring_dedup import repeated_spans
 from .vector_packing import pack
 
@@ -57,6 +58,10 @@ def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, part = table(spark, sf_dir, "documents").select("doc_id", "text"), fold(F.col("doc_id"), 3)
     model = quality.train(docs, table(spark, sf_dir, "labels"), part != 1)
@@ -76,7 +81,7 @@ def oracle_sql() -> dict[str, str]:
     return {"op4_block_naming": OP4_SQL}
 
 
-QUERIES = (op1_substring_dedup, op2_entropy_mix, op3_toxicity_nnpu, op4_block_naming, op5_bottomk_fingerprint, op6_centroid_language, op7_vector_packing, op9_quality_neighbours, op10_html_crf)
+QUERIES = (op1_substring_dedup, op2_entropy_mix, op3_toxicity_nnpu, op4_block_naming, op5_bottomk_fingerprint, op6_centroid_language, op7_vector_packing, op8_ngram_join, op9_quality_neighbours, op10_html_crf)
 
 OP4_SQL = r"""
 WITH t AS (
