@@ -45,10 +45,10 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFra
     keyed = docs.select(F.col("doc_id"), doc_key().alias("dk"), row_hash().alias("rh"), normalised().cast("binary").alias("b"))
     cut_up = keyed.select("doc_id", "dk", "rh", F.sha2("b", 256).alias("text_sha256"), cut(F.col("b")).alias("blocks"))
     rows = materialise(cut_up.select("doc_id", "dk", "rh", "text_sha256", F.transform("blocks", lambda x: F.xxhash64(x)).alias("hashes")))
-    top = rows.select(F.explode("hashes").alias("h")).groupBy("h").count().orderBy(F.desc("count"), "h").limit(HOT)
+    top = rows.select(F.explode_outer("hashes").alias("h")).groupBy("h").count().orderBy(F.desc("count"), "h").limit(HOT)
     hot = [r.h for r in top.filter("count >= 64").collect()]
 
-    occurrences = cut_up.select("dk", "rh", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "block"))
+    occurrences = cut_up.select("dk", "rh", F.size("blocks").alias("n"), F.posexplode_outer("blocks").alias("pos", "block"))
     h = F.xxhash64("block")
     is_hot = h.isin(hot) if hot else F.lit(False)
     occurrences = occurrences.select("dk", "rh", "n", "pos", "block", F.pmod(h, F.lit(GROUPS)).cast("int").alias("g"), F.when(is_hot, F.pmod(F.xxhash64("dk", "rh"), F.lit(SALTS)).cast("int") + 1).otherwise(0).alias("salt"))
