@@ -199,7 +199,9 @@ def reconstruct(df: DataFrame, panel: Panel = Panel(), rate: str = "d_z", out: s
 
 def _per_series(df: DataFrame, panel: Panel, one, out: str) -> DataFrame:
     """A kernel on each series. Its rows come to one task, so it is for series of bounded length."""
-    return df.groupBy(*panel.keys).applyInPandas(one, df.schema.add(out, "double"))
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    return df.groupBy(*panel.keys).applyInPandas(one, StructType([*df.schema.fields, StructField(out, DoubleType())]))
 
 
 def suggest_method(df: DataFrame, panel: Panel = Panel()) -> DataFrame:
@@ -213,7 +215,7 @@ def suggest_method(df: DataFrame, panel: Panel = Panel()) -> DataFrame:
     rows = rows.join(middle, list(panel.keys))
     spread = rows.groupBy(*panel.keys).agg(F.first("med").alias("med"), (F.percentile(F.abs(F.col("d1") - F.col("med")), 0.5) * 1.4826).alias("mad"), (F.stddev_samp("d2") / F.nullif(F.stddev_samp("d1"), F.lit(0.0))).alias("noise"))
     shocks = rows.drop("med").join(spread, list(panel.keys)).groupBy(*panel.keys).agg(F.count_if(F.abs(F.col("d1") - F.col("med")) > 4 * F.col("mad")).alias("n_shocks"), F.first("noise").alias("noise_ratio"), F.count(F.lit(1)).alias("n"))
-    acf = autocorrelations(df, panel, 50)
+    acf = autocorrelations(df, panel, 50).join(shocks.select(*panel.keys, "n"), list(panel.keys))
     longest = F.least(F.floor(F.col("n") / 3), F.lit(50))
     periodic = acf.filter((F.col("lag") <= longest) & (F.col("lag") >= F.least(F.lit(10), longest))).groupBy(*panel.keys).agg(F.max(F.abs("acf")).alias("peak"))
     found = shocks.join(kendall(df, panel), list(panel.keys)).join(periodic, list(panel.keys), "left")

@@ -53,16 +53,16 @@ def change_points(df: DataFrame, panel: Panel = Panel()) -> DataFrame:
     return found.select(*panel.keys, panel.time, F.col("rn").cast("long").alias("rn"), "variance")
 
 
-def kendall(df: DataFrame, panel: Panel = Panel(), most: int = 200_000) -> DataFrame:
+def kendall(df: DataFrame, panel: Panel = Panel()) -> DataFrame:
     """Rows (keys, tau): sum of the signs of all later-minus-earlier differences over the number of pairs.
 
-    The pairs of a series are counted by rank without listing them where values repeat
-    little: each row counts how many earlier values are below and above it.
+    A theta join within each series, whose work is quadratic in a series' length: meant for
+    series of bounded length, as the statistic itself is.
     """
     d = row_numbers(df, panel).select(*panel.keys, "rn", "n", F.col(panel.value).alias("v"))
     a, b = d.alias("a"), d.alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in panel.keys]
-    on = (F.col("a.rn") > F.col("b.rn"))
+    on = F.col("a.rn") > F.col("b.rn")
     for s in same:
         on = on & s
     pairs = a.join(b, on)

@@ -1,32 +1,485 @@
-"""Registered queries over the panel tables, each with its SQL twin where one can be written."""
+"""Registered queries over the panel tables, each with its SQL twin where one can be written.
+
+Results are rounded alike on both sides, as sums in another order differ in the last digits.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .functions.equations import Equation, structure
+from .operators import derivatives, dynamics, moments, regression, search, validation, windows
+from .operators.panel import Panel, row_numbers
+from .plans import explore
+from .sources import tables
+
+PANEL = Panel()
+Query = Callable[[SparkSession, str], DataFrame]
+REGISTERED: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+P = "p AS (SELECT user_id AS series_id, epoch_us(ts)::DOUBLE / 86400000000::DOUBLE AS t, value AS z FROM events)"
+Q = P + ", q AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM p)"
+W = "(PARTITION BY series_id ORDER BY t)"
+FD = "(coalesce(lead(z) OVER w, z) - coalesce(lag(z) OVER w, z)) / nullif(coalesce(lead(t) OVER w, t) - coalesce(lag(t) OVER w, t), 0)"
+D = Q + f", d AS (SELECT *, {FD} AS d_z FROM q WINDOW w AS (PARTITION BY series_id ORDER BY t))"
+
+
+def r(c: Column | str, digits: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: r(c, digits) for c in columns})
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        REGISTERED[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def panel(spark: SparkSession, d: str) -> DataFrame:
+    return tables.events_panel(spark, d)
+
+
+def with_derivative(spark: SparkSession, d: str) -> DataFrame:
+    return derivatives.finite_difference(panel(spark, d), PANEL)
+
+
+@query("dv02_finite_difference", f"WITH {D} SELECT series_id, round(t, 6) + 0.0 AS t, z, round(d_z, 4) + 0.0 AS d_z FROM d")
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(with_derivative(spark, d), "t").withColumn("d_z", r("d_z", 4))
+
+
+SG = derivatives.savgol_weights(3, 11)[5]
+
+
+@query("dv03_savgol_interior", "WITH " + Q + ", s AS (SELECT *, (max(t) OVER (PARTITION BY series_id) - min(t) OVER (PARTITION BY series_id)) / (n - 1) AS step FROM q), f AS (SELECT series_id, rn, n, (" + " + ".join(f"({float(c)!r})::DOUBLE * {'lag' if j < 5 else 'lead'}(z, {abs(j - 5)}) OVER w" for j, c in enumerate(SG)) + ") / step AS d_z FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t)) SELECT series_id, rn::INTEGER AS rn, round(d_z, 5) + 0.0 AS d_z FROM f WHERE rn > 5 AND rn <= n - 5")
+def savgol_interior(spark: SparkSession, d: str) -> DataFrame:
+    s = row_numbers(derivatives.savitzky_golay(panel(spark, d), PANEL, 3, 11), PANEL)
+    return s.filter("rn > 5 and rn <= n - 5").select("series_id", "rn", r("d_z", 5).alias("d_z"))
+
+
+@query("wn02_reconstruction", f"WITH {D}, e AS (SELECT *, d_z * (lead(t) OVER w - t) AS part, first_value(z) OVER w AS z1 FROM d WINDOW w AS {W}) SELECT series_id, rn::INTEGER AS rn, round(z1 + coalesce(sum(part) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) + 0.0 AS z_hat FROM e")
+def reconstruction(spark: SparkSession, d: str) -> DataFrame:
+    s = derivatives.reconstruct(with_derivative(spark, d), PANEL)
+    return row_numbers(s, PANEL).select("series_id", "rn", r("z_hat", 4).alias("z_hat"))
+
+
+@query("wn03_rolling_median", f"WITH {Q} SELECT series_id, rn::INTEGER AS rn, round(median(z) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING), 6) + 0.0 AS median FROM q")
+def rolling_median(spark: SparkSession, d: str) -> DataFrame:
+    return row_numbers(windows.rolling_median(panel(spark, d), PANEL), PANEL).select("series_id", "rn", r("median").alias("median"))
+
+
+ACF = f"{Q}, c AS (SELECT *, z - avg(z) OVER (PARTITION BY series_id) AS x FROM q), l AS (SELECT c.series_id, k.lag, n, x, lag(x, k.lag) OVER (PARTITION BY c.series_id, k.lag ORDER BY t) AS y FROM c, (SELECT unnest(range(1, 11))::INTEGER AS lag) k), acf AS (SELECT series_id, lag, max(n) AS n, sum(x * y) / nullif(sum(x * x), 0) AS acf FROM l GROUP BY ALL HAVING lag < max(n))"
+
+
+@query("wn04_autocorrelation", f"WITH {ACF} SELECT series_id, lag, round(acf, 6) + 0.0 AS acf FROM acf")
+def autocorrelation(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(windows.autocorrelations(panel(spark, d), PANEL, 10), "acf")
+
+
+@query("wn06_change_points", f"""WITH {Q}, h AS (SELECT *, greatest(5, n // 10) AS half FROM q),
+v AS (SELECT a.series_id, a.t, a.rn, max(a.n) AS n, var_samp(b.z) AS variance FROM h a JOIN h b ON a.series_id = b.series_id AND abs(a.rn - b.rn) <= a.half GROUP BY a.series_id, a.t, a.rn),
+k AS (SELECT *, variance > avg(variance) OVER s + 2 * stddev_samp(variance) OVER s AND variance > lag(variance) OVER w AND variance > lead(variance) OVER w AND n > 20 AS peak FROM v WINDOW s AS (PARTITION BY series_id), w AS {W}),
+m AS (SELECT *, count(*) FILTER (peak) OVER (PARTITION BY series_id) AS c FROM k)
+SELECT series_id, round(t, 6) + 0.0 AS t, rn::BIGINT AS rn, round(variance, 4) + 0.0 AS variance FROM m WHERE peak AND c <= 5""")
+def change_points(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(windows.change_points(panel(spark, d), PANEL), "t").withColumn("variance", r("variance", 4))
+
+
+@query("jn04_kendall", f"WITH {Q} SELECT a.series_id, round(sum(sign(a.z - b.z)) / (max(a.n) * (max(a.n) - 1) / 2.0), 8) + 0.0 AS tau FROM q a JOIN q b ON a.series_id = b.series_id AND a.rn > b.rn GROUP BY a.series_id")
+def kendall(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(windows.kendall(panel(spark, d), PANEL), "tau", digits=8)
+
+
+@query("jn06_interpolation_clamped", f"""WITH {Q}, e AS (SELECT * FROM q WHERE rn % 2 = 1), o AS (SELECT * FROM q WHERE rn % 2 = 0)
+SELECT o.series_id, o.rn::INTEGER AS rn, round(CASE WHEN b.t IS NULL THEN a.z ELSE a.z + (b.z - a.z) * (o.t - a.t) / (b.t - a.t) END, 5) + 0.0 AS x
+FROM o JOIN e a ON a.series_id = o.series_id AND a.rn = o.rn - 1 LEFT JOIN e b ON b.series_id = o.series_id AND b.rn = o.rn + 1""")
+def interpolation(spark: SparkSession, d: str) -> DataFrame:
+    rows = row_numbers(panel(spark, d), PANEL)
+    known = rows.filter("rn % 2 = 1").select("series_id", "t", F.col("z").alias("x"))
+    return windows.interpolate(rows.filter("rn % 2 = 0"), known, PANEL, "x").select("series_id", "rn", r("x", 5).alias("x"))
+
+
+M3 = "avg(z*z*z) - 3*avg(z*z)*avg(z) + 2*avg(z)*avg(z)*avg(z)"
+
+
+@query("ag03_describe", f"""WITH {P}, c AS (SELECT series_id, z, avg(z) OVER (PARTITION BY series_id) AS m FROM p)
+SELECT series_id, count(*) AS n, round(avg(z), 6) + 0.0 AS mean, round(stddev_samp(z), 6) + 0.0 AS sd, min(z) AS min, max(z) AS max,
+round(avg((z - m) ** 3) / stddev_samp(z) ** 3, 6) + 0.0 AS skewness, round(avg((z - m) ** 4) / stddev_samp(z) ** 4 - 3, 6) + 0.0 AS kurtosis FROM c GROUP BY series_id""")
+def describe(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(moments.describe(panel(spark, d), PANEL), "mean", "sd", "skewness", "kurtosis")
+
+
+@query("ag04_ljung_box", f"WITH {ACF} SELECT series_id, least(10, max(n) // 5)::INTEGER AS df, round(max(n) * (max(n) + 2) * sum(acf * acf / (n - lag)), 5) + 0.0 AS statistic FROM acf WHERE lag <= least(10, n // 5) AND n >= 10 GROUP BY series_id")
+def ljung_box(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(moments.ljung_box(panel(spark, d), PANEL), "statistic", digits=5)
+
+
+@query("ag05_arch", f"WITH {Q}, s AS (SELECT series_id, z * z AS y, lag(z * z) OVER {W} AS x FROM q) SELECT series_id, round(count(*) * regr_r2(y, x), 6) + 0.0 AS statistic FROM s GROUP BY series_id")
+def arch(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(moments.arch(panel(spark, d), PANEL), "statistic")
+
+
+@query("ag06_breusch_pagan", f"""WITH {Q}, f AS (SELECT series_id, regr_slope(z, t) AS b, regr_intercept(z, t) AS a FROM q GROUP BY series_id), e AS (SELECT q.series_id, t, (z - a - b * t) ** 2 AS e2 FROM q JOIN f USING (series_id))
+SELECT series_id, round(count(*) * regr_r2(e2, t), 4) + 0.0 AS statistic FROM e GROUP BY series_id""")
+def breusch_pagan(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(moments.breusch_pagan(panel(spark, d), PANEL, "z", "t"), "statistic", digits=4)
+
+
+@query("ag07_jarque_bera", f"""WITH {P}, c AS (SELECT series_id, z - avg(z) OVER (PARTITION BY series_id) AS x FROM p),
+m AS (SELECT series_id, count(*) AS n, avg(x ** 3) / avg(x * x) ** 1.5 AS s, avg(x ** 4) / avg(x * x) ** 2 - 3 AS k FROM c GROUP BY series_id)
+SELECT series_id, round(n / 6.0 * (s * s + k * k / 4), 5) + 0.0 AS statistic, round(exp(-n / 12.0 * (s * s + k * k / 4)), 6) + 0.0 AS p_value FROM m WHERE n >= 10""")
+def jarque_bera(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(moments.jarque_bera(panel(spark, d), PANEL), "p_value").withColumn("statistic", r("statistic", 5))
+
+
+@query("ag08_runs_test", f"""WITH {Q}, m AS (SELECT *, z > median(z) OVER (PARTITION BY series_id) AS up FROM q), s AS (SELECT *, coalesce((up <> lag(up) OVER {W})::INT, 1) AS new FROM m),
+g AS (SELECT series_id, sum(new)::DOUBLE AS r, sum(up::INT)::DOUBLE AS n1, count(*)::DOUBLE - sum(up::INT)::DOUBLE AS n2, count(*)::DOUBLE AS n FROM s GROUP BY series_id)
+SELECT series_id, r::BIGINT AS runs, round((r - (2 * n1 * n2 / n + 1)) / sqrt(2 * n1 * n2 * (2 * n1 * n2 - n) / (n * n * (n - 1))), 6) + 0.0 AS statistic FROM g""")
+def runs_test(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(moments.runs(panel(spark, d), PANEL), "statistic")
+
+
+@query("ag09_residual_diagnostics")
+def residual_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return moments.diagnostics(panel(spark, d), PANEL)
+
+
+@query("ag10_normal_fit", f"""WITH {P}, s AS (SELECT series_id, count(*) AS n, avg(z) AS m, stddev_samp(z) AS sd FROM p GROUP BY series_id)
+SELECT series_id, round(sum(-0.5 * ln(2 * pi()) - ln(sd) - (z - m) ** 2 / (2 * sd * sd)), 4) + 0.0 AS loglik, round(max(m), 6) + 0.0 AS mean, round(max(sd), 6) + 0.0 AS sd, round(4 - 2 * sum(-0.5 * ln(2 * pi()) - ln(sd) - (z - m) ** 2 / (2 * sd * sd)), 4) + 0.0 AS aic FROM p JOIN s USING (series_id) GROUP BY series_id""")
+def normal_fit(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(moments.normal_fit(panel(spark, d), PANEL), "mean", "sd").withColumns({c: r(c, 4) for c in ("loglik", "aic")})
+
+
+NU = ", ".join(f"({v})" for v in (2, 3, 4, 5, 7, 10, 15, 20, 30, 50))
+
+
+@query("ag11_t_fit", f"""WITH {P}, s AS (SELECT series_id, avg(z) AS m, stddev_samp(z) AS sd FROM p GROUP BY series_id), nu(v) AS (VALUES {NU}),
+l AS (SELECT series_id, v, sum(lgamma((v + 1) / 2.0) - lgamma(v / 2.0) - 0.5 * ln(v * pi()) - (v + 1) / 2.0 * ln(1 + ((z - m) / sd) ** 2 / v) - ln(sd)) AS loglik FROM p JOIN s USING (series_id), nu GROUP BY series_id, v)
+SELECT series_id, arg_max(v, loglik)::INTEGER AS nu, round(max(loglik), 4) + 0.0 AS loglik FROM l GROUP BY series_id""")
+def t_fit(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(moments.t_fit(panel(spark, d), PANEL), "loglik", digits=4)
+
+
+@query("ag12_weighted_deviance", f"WITH {Q}, f AS (SELECT *, median(z) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS fit FROM q) SELECT series_id, round(sum(rn * (z - fit) ** 2) / sum(rn), 4) + 0.0 AS deviance FROM f GROUP BY series_id")
+def weighted_deviance(spark: SparkSession, d: str) -> DataFrame:
+    f = row_numbers(windows.rolling_median(panel(spark, d), PANEL), PANEL).withColumn("rn", F.col("rn").cast("double"))
+    return rounded(moments.weighted_deviance(f, ["series_id"], "z", "median", "rn"), "deviance", digits=4)
+
+
+@query("ag13_iterate_change", f"WITH {Q}, f AS (SELECT *, median(z) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS fit FROM q) SELECT series_id, round(sqrt(sum((fit - z) ** 2) / count(*)) / (sqrt(sum(z * z) / count(*)) + 1e-12), 6) + 0.0 AS change FROM f GROUP BY series_id")
+def iterate_change(spark: SparkSession, d: str) -> DataFrame:
+    f = windows.rolling_median(panel(spark, d), PANEL).withColumn("one", F.lit(1.0))
+    return rounded(moments.iterate_change(f, ["series_id"], "median", "z", "one"), "change")
+
+
+@query("ag17_fit_statistics", f"""WITH {Q}, c AS (SELECT series_id, regr_slope(z, rn) AS b, regr_intercept(z, rn) AS a FROM q GROUP BY series_id), e AS (SELECT series_id, z, z - a - b * rn AS e FROM q JOIN c USING (series_id)),
+s AS (SELECT series_id, count(*) AS n, sum(e * e) AS rss, 1 - sum(e * e) / (count(*) * var_pop(z)) AS r2, avg(abs(e)) AS mae FROM e GROUP BY series_id)
+SELECT series_id, n, round(r2, 6) + 0.0 AS r_squared, round(1 - (1 - r2) * (n - 1) / (n - 2), 6) + 0.0 AS adj_r_squared, round(sqrt(rss / n), 6) + 0.0 AS rmse, round(mae, 6) + 0.0 AS mae, round(n * (ln(rss / n) + ln(2 * pi()) + 1) + 6, 4) + 0.0 AS aic, round(n * (ln(rss / n) + ln(2 * pi()) + 1) + 3 * ln(n), 4) + 0.0 AS bic FROM s""")
+def fit_statistics(spark: SparkSession, d: str) -> DataFrame:
+    rows = row_numbers(panel(spark, d), PANEL)
+    fit = regression.least_squares(rows, ["series_id"], F.col("z"), {"rn": F.col("rn")}).select("series_id", F.col("`(Intercept)`").alias("a"), F.col("rn").alias("b"))
+    fitted = rows.join(fit, "series_id").withColumn("fit", F.col("a") + F.col("b") * F.col("rn"))
+    s = moments.fit_statistics(fitted, ["series_id"], "z", "fit", 2)
+    return rounded(s, "r_squared", "adj_r_squared", "rmse", "mae").withColumns({c: r(c, 4) for c in ("aic", "bic")})
+
+
+@query("ag19_coefficient_table", f"""WITH {Q}, s AS (SELECT series_id, count(*)::DOUBLE AS n, avg(rn) AS mx, regr_sxx(z, rn) AS sxx, regr_slope(z, rn) AS b, regr_intercept(z, rn) AS a, (regr_syy(z, rn) - regr_sxy(z, rn) ** 2 / regr_sxx(z, rn)) / (count(*) - 2) AS s2 FROM q GROUP BY series_id),
+u AS (SELECT series_id, '(Intercept)' AS term, a AS estimate, sqrt(s2 * (1 / n + mx * mx / sxx)) AS std_error FROM s UNION ALL SELECT series_id, 'rn', b, sqrt(s2 / sxx) FROM s)
+SELECT series_id, term, round(estimate, 5) + 0.0 AS estimate, round(std_error, 5) + 0.0 AS std_error, round(estimate - 1.96 * std_error, 5) + 0.0 AS lower, round(estimate + 1.96 * std_error, 5) + 0.0 AS upper FROM u""")
+def coefficient_table(spark: SparkSession, d: str) -> DataFrame:
+    fit = regression.least_squares(row_numbers(panel(spark, d), PANEL), ["series_id"], F.col("z"), {"rn": F.col("rn")})
+    return rounded(regression.coefficient_table(fit, ["series_id"], ["(Intercept)", "rn"]), "estimate", "std_error", "lower", "upper", digits=5)
+
+
+@query("ag22_target_summary", f"""WITH {Q}, s AS (SELECT series_id, avg(z) AS mean, stddev_samp(z) AS sd, min(z) AS min, max(z) AS max, corr(rn, z) AS trend FROM q GROUP BY series_id)
+SELECT series_id, round(mean, 6) + 0.0 AS mean, round(sd, 6) + 0.0 AS sd, min, max, round(trend, 6) + 0.0 AS trend, CASE WHEN abs(trend) > 0.7 THEN 'strong trend' WHEN abs(trend) > 0.3 THEN 'moderate trend' ELSE 'no trend' END AS verdict FROM s""")
+def target_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(moments.target_summary(panel(spark, d), PANEL), "mean", "sd", "trend")
+
+
+@query("ft01_least_squares", f"WITH {Q} SELECT series_id, count(*) AS n, round(regr_intercept(z, rn), 5) + 0.0 AS intercept, round(regr_slope(z, rn), 6) + 0.0 AS slope, round(regr_syy(z, rn) - regr_sxy(z, rn) ** 2 / regr_sxx(z, rn), 3) + 0.0 AS rss FROM q GROUP BY series_id")
+def least_squares(spark: SparkSession, d: str) -> DataFrame:
+    fit = regression.least_squares(row_numbers(panel(spark, d), PANEL), ["series_id"], F.col("z"), {"rn": F.col("rn")})
+    return fit.select("series_id", "n", r(F.col("`(Intercept)`"), 5).alias("intercept"), r("rn").alias("slope"), r("rss", 3).alias("rss"))
+
+
+@query("ft11_variance_model", f"""WITH {Q}, c AS (SELECT series_id, avg(z) AS m FROM q GROUP BY series_id), e AS (SELECT q.series_id, rn, abs(z - m) AS y FROM q JOIN c USING (series_id))
+SELECT series_id, round(regr_intercept(y, rn), 5) + 0.0 AS intercept, round(regr_slope(y, rn), 6) + 0.0 AS slope FROM e GROUP BY series_id""")
+def variance_model(spark: SparkSession, d: str) -> DataFrame:
+    e = row_numbers(panel(spark, d), PANEL).withColumn("e", F.col("z") - F.avg("z").over(PANEL.whole))
+    m = regression.variance_model(e, ["series_id"], "e", ["rn"])
+    return m.select("series_id", r(F.col("`(Intercept)`"), 5).alias("intercept"), r("rn").alias("slope"))
+
+
+@query("ft12_quadratic_variation", f"""WITH {Q}, v AS (SELECT *, (lead(z) OVER {W} - z) ** 2 / nullif(lead(t) OVER {W} - t, 0) AS qv FROM q),
+m AS (SELECT *, CASE WHEN qv IS NOT NULL THEN sqrt(median(qv) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)) END AS g FROM v)
+SELECT series_id, rn::INTEGER AS rn, round(coalesce(g, lag(g) OVER {W}), 5) + 0.0 AS diffusion FROM m""")
+def quadratic_variation(spark: SparkSession, d: str) -> DataFrame:
+    return row_numbers(regression.quadratic_variation(panel(spark, d), PANEL), PANEL).select("series_id", "rn", r("diffusion", 5).alias("diffusion"))
+
+
+@query("ft05_start_values", f"""WITH {P}, g(v) AS (VALUES (-10.0::DOUBLE), (-1.0), (-0.1), (0.1), (1.0), (10.0)), e AS (SELECT a.v AS a, b.v AS b, avg((z - (a.v + b.v * sin(t))) ** 2) AS mse FROM p, g a, g b GROUP BY ALL)
+SELECT a, b FROM e ORDER BY mse, a, b LIMIT 1""")
+def start_values(spark: SparkSession, d: str) -> DataFrame:
+    got = regression.start_values(panel(spark, d), Equation("a + b * sin(t)"), "z")
+    return spark.createDataFrame([(got["a"], got["b"])], "a double, b double")
+
+
+CASES = ["2.5 * x^2 + 3", "-1.5 * x", "x + 1e-14", "sin(2 * x) - 0.5", "inv(x + 3) * -2"]
+
+
+@query("ft06_parameterise", "SELECT * FROM (VALUES ('2.5 * x^2 + 3', 'c1 * x ^ 2 + c2', 2), ('-1.5 * x', 'c1 * x', 1), ('x + 1e-14', 'x + c1', 1), ('sin(2 * x) - 0.5', 'sin(c1 * x) - c2', 2), ('inv(x + 3) * -2', 'inv(x + c1) * c2', 2)) AS v(equation, parameterised, n)")
+def parameterise(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(c, e.text, len(e.coefficients)) for c in CASES for e in [Equation(c).parameterised(["x"])]]
+    return spark.createDataFrame(rows, "equation string, parameterised string, n int")
+
+
+@query("pr02_transformations", f"WITH {P} SELECT series_id, round(t, 6) + 0.0 AS t, round(ln(abs(z) + 1e-10), 6) + 0.0 AS log_z, round(sqrt(abs(z)), 6) + 0.0 AS sqrt_z, round(z * z, 4) + 0.0 AS sq_z FROM p")
+def transformations(spark: SparkSession, d: str) -> DataFrame:
+    out = explore.transformations(panel(spark, d), ["z", "absent"])
+    return out.select("series_id", r("t").alias("t"), r("log_z").alias("log_z"), r("sqrt_z").alias("sqrt_z"), r("sq_z", 4).alias("sq_z"))
+
+
+@query("pr05_predict", f"WITH {P} SELECT series_id, round(t, 6) + 0.0 AS t, round(0.5 * z - 0.01 * z * z + exp(-z) + CASE WHEN z > 5 THEN 1 ELSE 0 END, 6) + 0.0 AS prediction FROM p")
+def predict(spark: SparkSession, d: str) -> DataFrame:
+    e = Equation("a * z - b * z^2 + exp(-z) + threshold(z, 5)", {"a": 0.5, "b": 0.01})
+    return regression.predict(panel(spark, d), e).select("series_id", r("t").alias("t"), r("prediction").alias("prediction"))
+
+
+@query("pr09_residuals", f"WITH {D} SELECT series_id, rn::INTEGER AS rn, round(d_z - (1 - 0.5 * z), 4) + 0.0 AS residual FROM d")
+def residuals(spark: SparkSession, d: str) -> DataFrame:
+    e = regression.residuals(with_derivative(spark, d), Equation("1 - 0.5 * z"))
+    return row_numbers(e, PANEL).select("series_id", "rn", r("residual", 4).alias("residual"))
+
+
+@query("pr12_validate_series", f"WITH {P} SELECT series_id, count(*) AS n, count(*) FILTER (z IS NULL OR isnan(z)) AS n_missing, count(*) >= 10 AND count(*) FILTER (z IS NULL OR isnan(z)) = 0 AS valid FROM p GROUP BY series_id")
+def validate_series(spark: SparkSession, d: str) -> DataFrame:
+    from .operators.panel import validate_series as check
+
+    return check(panel(spark, d), PANEL)
+
+
+@query("pr16_structure", "SELECT DISTINCT regexp_replace(round(o_totalprice, 1)::VARCHAR || ' * x + ' || o_orderstatus, '-?\\d+\\.?\\d*([eE][+-]?\\d+)?', 'C', 'g') AS structure FROM orders")
+def structures(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.round("o_totalprice", 1).cast("string"), F.lit(" * x + "), F.col("o_orderstatus"))
+    return tables.read(spark, d, "orders").select(structure(text).alias("structure")).distinct()
+
+
+@query("pr17_detect_constants", "WITH c(label, known) AS (VALUES " + ", ".join(f"('{n}{s}', {v!r}::DOUBLE)" for n, c in search.CONSTANTS.items() for s, v in (("", c), ("*2", 2 * c), ("/2", c / 2), ("^2", c * c), ("^-1", 1 / c), ("*4", 4 * c))) + ") SELECT DISTINCT value, label FROM events JOIN c ON abs(abs(value) - known) <= 0.01 * greatest(abs(value), known)")
+def detect_constants(spark: SparkSession, d: str) -> DataFrame:
+    return search.detect_constants(tables.read(spark, d, "events").select("value"))
+
+
+FRONT = "c AS (SELECT l_linenumber AS complexity, round(avg(l_extendedprice) / 1e4, 4) + l_suppkey % 7 AS mse, 'f' || (l_suppkey % 7)::VARCHAR AS equation FROM lineitem GROUP BY l_linenumber, l_suppkey % 7), f AS (SELECT *, min(mse) OVER (ORDER BY complexity, mse, equation ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM c), g AS (SELECT complexity, mse, equation FROM f WHERE best IS NULL OR mse < best)"
+
+
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    k = (F.col("l_suppkey") % 7).cast("int")
+    rows = tables.read(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("complexity"), k.alias("k")).agg(F.avg("l_extendedprice").alias("a"))
+    return rows.select("complexity", (F.round(F.col("a") / 1e4, 4) + F.col("k")).alias("mse"), F.concat(F.lit("f"), F.col("k").cast("string")).alias("equation"))
+
+
+@query("ss09_pareto_front", f"WITH {FRONT} SELECT complexity, round(mse, 4) + 0.0 AS mse, round(sqrt(mse), 6) + 0.0 AS rmse, equation FROM g")
+def pareto(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(search.pareto_front(candidates(spark, d)), "rmse").withColumn("mse", r("mse", 4))
+
+
+@query("ss10_best_by_complexity", f"WITH {FRONT} SELECT complexity, round(mse, 4) + 0.0 AS mse, equation FROM (SELECT *, row_number() OVER (PARTITION BY complexity ORDER BY mse, equation) AS k FROM c) WHERE k = 1")
+def best_by_complexity(spark: SparkSession, d: str) -> DataFrame:
+    return search.best_by_complexity(candidates(spark, d)).select("complexity", r("mse", 4).alias("mse"), "equation")
+
+
+@query("ss12_select_bic", f"WITH {FRONT} SELECT complexity, round(mse, 4) + 0.0 AS mse, equation FROM g ORDER BY 100 * ln(mse) + complexity * ln(100), complexity LIMIT 1")
+def select_bic(spark: SparkSession, d: str) -> DataFrame:
+    return search.select_equation(search.pareto_front(candidates(spark, d)), "BIC").select("complexity", r("mse", 4).alias("mse"), "equation")
+
+
+@query("ss11_knee", f"""WITH {FRONT}, n AS (SELECT *, (complexity - min(complexity) OVER ()) / (max(complexity) OVER () - min(complexity) OVER () + 1e-10) AS u, (mse - min(mse) OVER ()) / (max(mse) OVER () - min(mse) OVER () + 1e-10) AS v FROM g),
+e AS (SELECT *, first_value(u) OVER w AS u1, last_value(u) OVER w AS u2, first_value(v) OVER w AS v1, last_value(v) OVER w AS v2 FROM n WINDOW w AS (ORDER BY complexity ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT complexity, round(mse, 4) + 0.0 AS mse, equation FROM e ORDER BY round(coalesce(abs((v2 - v1) * u - (u2 - u1) * v + u2 * v1 - v2 * u1) / nullif(sqrt((u2 - u1) ** 2 + (v2 - v1) ** 2), 0), 0), 12) DESC, complexity LIMIT 1""")
+def knee(spark: SparkSession, d: str) -> DataFrame:
+    return search.knee(search.pareto_front(candidates(spark, d))).select("complexity", r("mse", 4).alias("mse"), "equation")
+
+
+@query("ag14_ensemble", f"""WITH {FRONT}, s AS (SELECT regexp_replace(equation, '-?\\d+\\.?\\d*([eE][+-]?\\d+)?', 'C', 'g') AS structure, * FROM c)
+SELECT structure, min(complexity) AS complexity, round(avg(mse), 6) + 0.0 AS mean_loss, round(stddev_samp(mse), 6) + 0.0 AS std_loss, min(equation) AS equation, count(*) AS n, round(count(*) / (1 + coalesce(stddev_samp(mse), 0)), 6) + 0.0 AS consistency FROM s GROUP BY structure""")
+def ensemble(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(search.ensemble(candidates(spark, d)), "mean_loss", "std_loss", "consistency")
+
+
+@query("ss04_exhaustive", """WITH x AS (SELECT l_extendedprice / 1e4 AS y, l_quantity AS a, l_discount * 100 + 1 AS b FROM lineitem),
+v AS (SELECT * FROM (SELECT 1 AS complexity, 'a' AS form, (regr_syy(y, a) - regr_sxy(y, a) ** 2 / regr_sxx(y, a)) / count(*) AS mse FROM x UNION ALL SELECT 2, 'inv(a)', (regr_syy(y, 1 / a) - regr_sxy(y, 1 / a) ** 2 / regr_sxx(y, 1 / a)) / count(*) FROM x UNION ALL SELECT 2, 'square(a)', (regr_syy(y, a * a) - regr_sxy(y, a * a) ** 2 / regr_sxx(y, a * a)) / count(*) FROM x UNION ALL SELECT 2, 'log(abs(a) + 1e-10)', (regr_syy(y, ln(a + 1e-10)) - regr_sxy(y, ln(a + 1e-10)) ** 2 / regr_sxx(y, ln(a + 1e-10))) / count(*) FROM x UNION ALL SELECT 1, 'b', (regr_syy(y, b) - regr_sxy(y, b) ** 2 / regr_sxx(y, b)) / count(*) FROM x))
+SELECT complexity, form, round(mse, 6) + 0.0 AS mse FROM v""")
+def exhaustive(spark: SparkSession, d: str) -> DataFrame:
+    x = tables.read(spark, d, "lineitem").select((F.col("l_extendedprice") / 1e4).alias("y"), F.col("l_quantity").cast("double").alias("a"), (F.col("l_discount") * 100 + 1).alias("b"))
+    found = search.exhaustive(x, "y", ["a", "b"])
+    return found.filter(F.col("form").isin("a", "inv(a)", "square(a)", "log(abs(a) + 1e-10)", "b")).select("complexity", "form", r("mse").alias("mse"))
+
+
+@query("ss02_genetic")
+def genetic(spark: SparkSession, d: str) -> DataFrame:
+    found = search.genetic(with_derivative(spark, d).filter("d_z is not null"), "d_z", ["z"], runs=2, population=30, generations=8)
+    return search.pareto_front(found)
+
+
+@query("cv02_block_folds", f"WITH {Q} SELECT series_id, rn::INTEGER AS rn, greatest(1, ceil((rn - 1) * 5 / (n - 1)::DOUBLE))::INTEGER AS fold FROM q")
+def block_folds(spark: SparkSession, d: str) -> DataFrame:
+    return validation.block_folds(panel(spark, d), PANEL, 5).select("series_id", "rn", "fold")
+
+
+@query("cv03_rolling_folds", f"WITH {Q} SELECT series_id, rn::INTEGER AS rn, fold, CASE WHEN rn >= n - (5 - fold + 1) * 3 + 1 THEN 'test' ELSE 'train' END AS role FROM q, (SELECT unnest(range(1, 6))::INTEGER AS fold) WHERE rn < n - (5 - fold + 1) * 3 + 4")
+def rolling_folds(spark: SparkSession, d: str) -> DataFrame:
+    return validation.rolling_folds(panel(spark, d), PANEL, 5, 3).select("series_id", "rn", "fold", "role")
+
+
+@query("cv05_cross_validate", f"""WITH {Q}, b AS (SELECT *, greatest(1, ceil((rn - 1) * 5 / (n - 1)::DOUBLE))::INTEGER AS fold FROM q),
+f AS (SELECT a.series_id, k.fold, regr_slope(z, rn) AS s, regr_intercept(z, rn) AS i, avg(z) AS m FROM b a JOIN (SELECT DISTINCT series_id, fold FROM b) k ON a.series_id = k.series_id AND a.fold <> k.fold GROUP BY ALL)
+SELECT series_id, fold, count(*) AS n_test, round(sqrt(avg((z - i - s * rn) ** 2)), 4) + 0.0 AS rmse, round(avg(abs(z - i - s * rn)), 4) + 0.0 AS mae, round(1 - sum((z - i - s * rn) ** 2) / sum((z - m) ** 2), 4) + 0.0 AS r_squared FROM b JOIN f USING (series_id, fold) GROUP BY series_id, fold""")
+def cross_validate(spark: SparkSession, d: str) -> DataFrame:
+    b = validation.block_folds(panel(spark, d), PANEL, 5)
+    s = validation.cross_validate(b, ["series_id"], "z", "rn")
+    return s.select("series_id", "fold", "n_test", r("rmse", 4).alias("rmse"), r("mae", 4).alias("mae"), r("r_squared", 4).alias("r_squared"))
+
+
+@query("vl02_sensitivity", f"""WITH {P} SELECT * FROM (SELECT 'a' AS parameter, 0.5::DOUBLE AS value, round(avg(abs(z)), 6) + 0.0 AS sensitivity FROM p UNION ALL SELECT 'b', 0.01, round(avg(z * z), 4) + 0.0 FROM p)""")
+def sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    s = validation.sensitivity(panel(spark, d), Equation("a * z - b * z^2", {"a": 0.5, "b": 0.01}))
+    return s.select("parameter", "value", r("sensitivity", 6).alias("sensitivity")).withColumn("sensitivity", F.when(F.col("parameter") == "b", r("sensitivity", 4)).otherwise(F.col("sensitivity")))
+
+
+@query("vl03_bootstrap")
+def bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    rows = panel(spark, d).withColumn("x", F.col("t") - 19723.0)
+    b = validation.bootstrap(rows, PANEL, F.col("z"), {"x": F.col("x")}, 20)
+    q = F.percentile("x", F.array(F.lit(0.025), F.lit(0.975)))
+    return b.groupBy("series_id").agg(F.avg("x").alias("slope"), F.stddev_samp("x").alias("se"), q.alias("q"), F.count("x").alias("n")).select("series_id", "slope", "se", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"), "n")
+
+
+@query("sm01_simulate", "WITH RECURSIVE s(step, value) AS (SELECT 0, 0.1::DOUBLE UNION ALL SELECT step + 1, value + 0.05 * (2 * value - value * value) FROM s WHERE step < 100) SELECT step, round(step * 0.05, 6) + 0.0 AS t, round(value, 8) + 0.0 AS value FROM s")
+def simulate(spark: SparkSession, d: str) -> DataFrame:
+    s = dynamics.simulate(spark, Equation("2 * z - z^2"), "z", 0.1, 0.05, 100)
+    return s.select("step", r("t").alias("t"), r("value", 8).alias("value"))
+
+
+@query("sm01_stochastic_fan")
+def stochastic_fan(spark: SparkSession, d: str) -> DataFrame:
+    return dynamics.fan(dynamics.simulate(spark, Equation("2 * z - z^2"), "z", 0.5, 0.02, 50, Equation("0.1 * z"), 100, "milstein"))
+
+
+@query("ag16_trajectory_summary", "WITH e AS (SELECT date_trunc('month', o_orderdate) AS m, o_totalprice AS v FROM orders) SELECT m::DATE::VARCHAR AS month, round(avg(v), 4) + 0.0 AS mean, round(stddev_samp(v), 4) + 0.0 AS sd, round(quantile_cont(v, 0.05), 4) + 0.0 AS q05, round(quantile_cont(v, 0.5), 4) + 0.0 AS q50, round(quantile_cont(v, 0.95), 4) + 0.0 AS q95 FROM e GROUP BY m")
+def trajectory_summary(spark: SparkSession, d: str) -> DataFrame:
+    e = tables.read(spark, d, "orders").select(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month"), F.col("o_totalprice").alias("value"))
+    f = dynamics.fan(e.withColumn("step", F.lit(0)).withColumn("t", F.col("month")))
+    return f.select(F.col("t").cast("string").alias("month"), *[r(c, 4).alias(c) for c in ("mean", "sd", "q05", "q50", "q95")])
+
+
+@query("fp01_fixed_points", "SELECT * FROM (VALUES (0.0::DOUBLE, 'unstable', 2.0::DOUBLE), (2.0, 'stable', -2.0)) AS v(fixed_point, stability, eigenvalue)")
+def fixed_points(spark: SparkSession, d: str) -> DataFrame:
+    f = dynamics.analyse_fixed_points(spark, Equation("2 * z - z^2"), "z", -5, 5, 101)
+    return rounded(f, "fixed_point", "eigenvalue")
+
+
+@query("fp04_bifurcations", "WITH g AS (SELECT round(-1 + i * 0.1, 6) AS r FROM (SELECT unnest(range(0, 21)) AS i)), x AS (SELECT r, sqrt(r) AS z FROM g WHERE r > 0 UNION ALL SELECT r, -sqrt(r) FROM g WHERE r > 0 UNION ALL SELECT r, 0 FROM g WHERE r = 0) SELECT (r + 0.0)::DOUBLE AS r, round(z, 5) + 0.0 AS fixed_point, CASE WHEN z > 0 THEN 'stable' WHEN z < 0 THEN 'unstable' END AS stability FROM x WHERE r <> 0")
+def bifurcations(spark: SparkSession, d: str) -> DataFrame:
+    found, _ = dynamics.analyse_bifurcations(spark, Equation("r - z^2", {"r": 0.0}), "z", "r", -1.0, 1.0, 21, -2.0, 2.0, 173)
+    return found.filter(F.abs("r") > 1e-9).select(r("r").alias("r"), r("fixed_point", 5).alias("fixed_point"), "stability")
+
+
+@query("fp04_status", "SELECT round(-1 + i * 0.1, 6)::DOUBLE + 0.0 AS r, CASE WHEN i > 10 THEN 2 ELSE 0 END::BIGINT AS n_fixed_points, CASE WHEN i > 10 THEN 'ok' ELSE 'none' END AS status FROM (SELECT unnest(range(0, 21)) AS i) WHERE i <> 10")
+def bifurcation_status(spark: SparkSession, d: str) -> DataFrame:
+    _, status = dynamics.analyse_bifurcations(spark, Equation("r - z^2", {"r": 0.0}), "z", "r", -1.0, 1.0, 21, -2.0, 2.0, 173)
+    return status.filter(F.abs("r") > 1e-9).select(r("r").alias("r"), "n_fixed_points", "status")
+
+
+@query("fp03_consensus", f"""WITH {P}, x AS (SELECT series_id AS draw, z AS fixed_point, CASE WHEN z > 10 THEN 'stable' ELSE 'unstable' END AS stability FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) AS k FROM p) WHERE k <= 2 + series_id % 2),
+c AS (SELECT i AS draw, count(x.draw) AS m FROM (SELECT unnest(range(1, 101)) AS i) LEFT JOIN x ON x.draw = i GROUP BY i), mode AS (SELECT m, count(*) AS freq FROM c GROUP BY m ORDER BY freq DESC, m LIMIT 1),
+k AS (SELECT x.*, freq, row_number() OVER (PARTITION BY x.draw ORDER BY fixed_point) AS branch FROM x JOIN c USING (draw) JOIN mode USING (m)),
+s AS (SELECT branch, stability, count(*) AS n, row_number() OVER (PARTITION BY branch ORDER BY count(*) DESC, stability) AS r FROM k GROUP BY branch, stability)
+SELECT k.branch::INTEGER AS branch, round(median(fixed_point), 6) + 0.0 AS fixed_point, round(quantile_cont(fixed_point, 0.05), 6) + 0.0 AS lower, round(quantile_cont(fixed_point, 0.95), 6) + 0.0 AS upper, any_value(s.stability) AS stability, round(any_value(s.n) / count(*), 6) + 0.0 AS prob_stability, round(any_value(freq) / 100, 6) + 0.0 AS prob_n_fixed_points FROM k JOIN s ON s.branch = k.branch AND s.r = 1 GROUP BY k.branch""")
+def consensus(spark: SparkSession, d: str) -> DataFrame:
+    rows = row_numbers(panel(spark, d), PANEL).filter("rn <= 2 + series_id % 2")
+    points = rows.select(F.col("series_id").alias("draw"), F.col("z").alias("fixed_point"), F.when(F.col("z") > 10, "stable").otherwise("unstable").alias("stability"))
+    return rounded(dynamics.consensus(points, 100), "fixed_point", "lower", "upper", "prob_stability", "prob_n_fixed_points")
+
+
+@query("ex02_phase", f"""WITH {D} SELECT series_id, round(corr(z, d_z), 6) + 0.0 AS correlation, round(regr_slope(d_z, z), 5) + 0.0 AS slope, round(regr_intercept(d_z, z), 4) + 0.0 AS intercept, round(count(*) * ln((regr_syy(d_z, z) - regr_sxy(d_z, z) ** 2 / regr_sxx(d_z, z)) / count(*)) + count(*) * ln(2 * pi()) + count(*) + 6, 3) + 0.0 AS aic_linear FROM d GROUP BY series_id""")
+def phase(spark: SparkSession, d: str) -> DataFrame:
+    f = explore.phase(with_derivative(spark, d), ["series_id"], "d_z", "z")
+    return f.select("series_id", r("correlation").alias("correlation"), r("slope", 5).alias("slope"), r("intercept", 4).alias("intercept"), r("aic_linear", 3).alias("aic_linear"))
+
+
+@query("ex03_tertiles", f"""WITH {Q}, b AS (SELECT series_id, quantile_cont(z, 1 / 3.0) AS a, quantile_cont(z, 2 / 3.0) AS c FROM q GROUP BY series_id), x AS (SELECT q.*, CASE WHEN z <= a THEN 1 WHEN z <= c THEN 2 ELSE 3 END AS bin FROM q JOIN b USING (series_id))
+SELECT series_id, bin, count(*) AS n, round(CASE WHEN count(*) > 5 AND stddev_samp(z) > 0 THEN regr_slope(rn, z) END, 5) + 0.0 AS slope FROM x GROUP BY series_id, bin""")
+def tertiles(spark: SparkSession, d: str) -> DataFrame:
+    rows = row_numbers(panel(spark, d), PANEL)
+    return rounded(explore.tertile_slopes(rows, ["series_id"], "rn", "z"), "slope", digits=5)
+
+
+@query("ex04_interactions")
+def interactions(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables.read(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("y"), F.col("l_quantity").cast("double").alias("a"), F.col("l_discount").cast("double").alias("b"))
+    return explore.interaction(rows, ["l_returnflag"], "y", "a", "b")
+
+
+@query("dv11_suggest_method")
+def suggest_method(spark: SparkSession, d: str) -> DataFrame:
+    return derivatives.suggest_method(panel(spark, d), PANEL)
+
+
+@query("dv05_spectral")
+def spectral(spark: SparkSession, d: str) -> DataFrame:
+    return derivatives.spectral(panel(spark, d), PANEL)
+
+
+@query("dv04_spline")
+def spline(spark: SparkSession, d: str) -> DataFrame:
+    return derivatives.smoothing_spline(panel(spark, d), PANEL)
+
+
+@query("dv06_total_variation")
+def total_variation(spark: SparkSession, d: str) -> DataFrame:
+    return derivatives.total_variation(panel(spark, d), PANEL, penalty=1.0)
+
+
+@query("io01_read_series", "SELECT o_orderdate::DATE::VARCHAR AS date, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::DOUBLE AS time, round(sum(o_totalprice), 2) + 0.0 AS value FROM orders GROUP BY o_orderdate::DATE")
+def read_series(spark: SparkSession, d: str) -> DataFrame:
+    days = tables.read(spark, d, "orders").groupBy(F.col("o_orderdate").cast("date").cast("string").alias("date")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+    return tables.with_numeric_time(days, "date").select("date", "time", (F.col("value") + 0.0).alias("value"))
+
+
+@query("io03_examples", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{v}')" for n, (v, _) in tables.EXAMPLES.items()) + ") AS v(name, variables)")
+def examples(spark: SparkSession, d: str) -> DataFrame:
+    return tables.list_examples(spark)
 
 
-def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Panel (series_id, t in days, z) of the events table."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    return events.select(F.col("user_id").cast("long").alias("series_id"), (micros / F.lit(86_400_000_000.0)).alias("t"), F.col("value").cast("double").alias("z"))
+@query("io04_prepare", "WITH v AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS y, avg(l_extendedprice) OVER () AS m, stddev_samp(l_extendedprice) OVER () AS s FROM lineitem) SELECT count(*) AS n_original, 0::BIGINT AS n_invalid_removed, count(*) FILTER (abs(y - m) > 2 * s) AS n_outliers_removed, count(*) FILTER (abs(y - m) <= 2 * s) AS n_final FROM v")
+def prepare(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables.read(spark, d, "lineitem")
+    _, diagnostics = tables.prepare(rows, "l_extendedprice", ["l_quantity", "l_discount"], outliers=2.0)
+    return diagnostics
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = W.partitionBy("series_id").orderBy("t")
-    p = events_panel(spark, sf_dir)
-    nz, pz = F.coalesce(F.lead("z").over(w), F.col("z")), F.coalesce(F.lag("z").over(w), F.col("z"))
-    nt, pt = F.coalesce(F.lead("t").over(w), F.col("t")), F.coalesce(F.lag("t").over(w), F.col("t"))
-    return p.withColumn("d_z", (nz - pz) / F.nullif(nt - pt, F.lit(0.0)))
+@query("st01_set_operations", "SELECT n_name AS name FROM nation UNION ALL (SELECT r_name FROM region EXCEPT SELECT 'ASIA')")
+def set_operations(spark: SparkSession, d: str) -> DataFrame:
+    nations = tables.read(spark, d, "nation").select(F.col("n_name").alias("name"))
+    regions = tables.read(spark, d, "region").select(F.col("r_name").alias("name"))
+    return nations.unionByName(regions.filter("name <> 'ASIA'").distinct())
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"dv02_finite_difference": flagship}
+def queries() -> dict[str, Query]:
+    return dict(REGISTERED)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

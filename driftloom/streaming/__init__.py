@@ -1,0 +1 @@
+"""Nothing here yet: every analysis takes complete series, and none is incremental."""
