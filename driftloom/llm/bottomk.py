@@ -73,8 +73,8 @@ def spell(s: Column) -> Column:
 
 def unspell(text: Column) -> Column:
     digits = BITS // 4
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) / digits - 1)).otherwise(F.array().cast("array<bigint>"))
-    return F.transform(starts.cast("array<bigint>"), lambda i: F.conv(F.substring(text, (i * digits + 1).cast("int"), F.lit(digits)), 16, 10).cast("long"))
+    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), (F.length(text) / digits).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.conv(F.substring(text, i * digits + 1, F.lit(digits)), 16, 10).cast("long"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:

@@ -97,24 +97,27 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
 def corrections(rounded: DataFrame, most: float) -> DataFrame:
     """Rows (dk, rh, change of copies): at most CHOICES documents of each size class and source.
 
-    A greedy pass from large to small takes each candidate that still fits into what its
-    source misses (or has too much), so what remains is about the size of a small document.
+    Each may gain a copy or lose one. A greedy pass from large to small makes every such
+    change that brings its source nearer to the target, so what remains is about the size of
+    a small document.
     """
     gap = rounded.groupBy("src").agg(F.round(F.first("target") - F.sum(F.col("copies") * F.col("size"))).cast("long").alias("gap"))
     kind = F.floor(F.log2(F.col("size"))).cast("int")
     pick = F.struct(F.xxhash64("dk", "rh").alias("h"), "dk", "rh", "size")
     options = rounded.filter("size > 0").select("src", kind.alias("kind"), pick.alias("d"), (F.col("copies") + 1 <= int(most)).alias("more"), (F.col("copies") > 0).alias("less"))
-    best = options.groupBy("src", "kind", F.pmod("d.h", F.lit(CHOICES))).agg(F.max(F.when(F.col("more"), F.col("d"))).alias("up"), F.max(F.when(F.col("less"), F.col("d"))).alias("down"))
-    chosen = best.join(gap, "src").select("src", "gap", F.when(F.col("gap") > 0, F.col("up")).otherwise(F.col("down")).alias("d")).filter("d is not null")
-    lists = chosen.groupBy("src", "gap").agg(F.sort_array(F.collect_list(F.struct(F.col("d.size").alias("size"), F.col("d.dk").alias("dk"), F.col("d.rh").alias("rh"))), asc=False).alias("ds"))
-    empty = F.filter("ds", lambda d: F.lit(False))
-
-    def take(acc: Column, d: Column) -> Column:
-        fits = d["size"] <= acc["left"]
-        return F.struct(F.when(fits, acc["left"] - d["size"]).otherwise(acc["left"]).alias("left"), F.when(fits, F.concat(acc["taken"], F.array(d))).otherwise(acc["taken"]).alias("taken"))
-
-    taken = F.aggregate("ds", F.struct(F.abs("gap").alias("left"), empty.alias("taken")), take)["taken"]
-    return lists.select(F.signum("gap").cast("long").alias("change"), F.explode(taken).alias("d")).select("d.dk", "d.rh", "change")
+    best = options.groupBy("src", "kind", F.pmod("d.h", F.lit(CHOICES)).alias("of")).agg(F.max(F.when(F.col("more"), F.col("d"))).alias("up"), F.max(F.when(F.col("less"), F.col("d"))).alias("down"))
+    move = lambda d, sign: F.struct(d["size"].alias("size"), F.lit(sign).cast("long").alias("change"), d["dk"].alias("dk"), d["rh"].alias("rh"))
+    moves = best.select("src", F.explode(F.array(move(F.col("up"), 1), move(F.col("down"), -1))).alias("m")).filter("m.size is not null")
+    lists = moves.groupBy("src").agg(F.sort_array(F.collect_list("m"), asc=False).alias("ms")).join(gap, "src")
+    empty = F.filter("ms", lambda m: F.lit(False))
+
+    def take(acc: Column, m: Column) -> Column:
+        left = acc["left"] - m["change"] * m["size"]
+        better = F.abs(left) < F.abs(acc["left"])
+        return F.struct(F.when(better, left).otherwise(acc["left"]).alias("left"), F.when(better, F.concat(acc["taken"], F.array(m))).otherwise(acc["taken"]).alias("taken"))
+
+    taken = F.aggregate("ms", F.struct(F.col("gap").alias("left"), empty.alias("taken")), take)["taken"]
+    return lists.select(F.explode(taken).alias("m")).groupBy("m.dk", "m.rh").agg(F.sum("m.change").alias("change"))
 
 
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
