@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .functions.equations import Equation, structure
 from .operators import derivatives, dynamics, moments, regression, search, validation, windows
 from .operators.panel import Panel, row_numbers
-from .plans import explore
-from .sources import tables
+from .plans import explore, models
+from .sources import tables, writers
 
 PANEL = Panel()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -477,6 +477,49 @@ def set_operations(spark: SparkSession, d: str) -> DataFrame:
     return nations.unionByName(regions.filter("name <> 'ASIA'").distinct())
 
 
+@query("ag18_model_comparison", f"""WITH {P}, m AS (SELECT 'flat' AS model, 1 AS k, z, 10.0::DOUBLE AS f FROM p UNION ALL SELECT 'line', 2, z, 9.0 + 0.01 * (t - 19723) FROM p), s AS (SELECT model, max(k) AS k, count(*) AS n, sum((z - f) ** 2) AS rss, 1 - sum((z - f) ** 2) / (count(*) * var_pop(z)) AS r2 FROM m GROUP BY model)
+SELECT model, k::INTEGER AS k, round(r2, 6) + 0.0 AS r_squared, round(sqrt(rss / n), 6) + 0.0 AS rmse, round(n * (ln(rss / n) + ln(2 * pi()) + 1) + 2 * (k + 1), 2) + 0.0 AS aic FROM s""")
+def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    got = models.compare(panel(spark, d), {"flat": Equation("a", {"a": 10.0}), "line": Equation("a + b * (t - 19723)", {"a": 9.0, "b": 0.01})}, "z")
+    return got.select("model", "k", r("r_squared").alias("r_squared"), r("rmse").alias("rmse"), r("aic", 2).alias("aic"))
+
+
+@query("fp05_qualitative", "SELECT * FROM (VALUES ('n_fixed_points', '2', '2', true), ('stability_pattern', 'unstable,stable', 'unstable,stable', true), ('bounded', 'true', 'false', false)) AS v(\"check\", expected, found, passed)")
+def qualitative(spark: SparkSession, d: str) -> DataFrame:
+    return models.qualitative_check(spark, Equation("2 * z - z^2"), "z", -5.0, 5.0, ["unstable", "stable"], 2, True)
+
+
+@query("sd02_stochastic_model")
+def stochastic_model(spark: SparkSession, d: str) -> DataFrame:
+    m = models.stochastic_model(with_derivative(spark, d), PANEL, "d_z", ["z"])
+    return m.drift.select("series_id", "iteration", F.col("`(Intercept)`").alias("intercept"), F.col("z").alias("slope")).join(m.diffusion.select("series_id", F.col("`(Intercept)`").alias("g0"), F.col("z").alias("g1")), "series_id")
+
+
+@query("io06_to_json", "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS json FROM region")
+def json_rows(spark: SparkSession, d: str) -> DataFrame:
+    return writers.to_json(tables.read(spark, d, "region").select("r_regionkey", "r_name"))
+
+
+@query("cv06_blocked_score", f"""WITH {Q}, b AS (SELECT *, least(5, floor((rn * 5 - 1) / n) + 1) AS block FROM q), s AS (SELECT series_id, block, sum(rn * (z - 10) ** 2) / sum(rn) AS dev, sum(rn) AS mass, count(*) AS c FROM b GROUP BY ALL)
+SELECT series_id, round(sum(dev * mass) / sum(mass), 4) + 0.0 AS score FROM s WHERE c >= 2 GROUP BY series_id""")
+def blocked_score(spark: SparkSession, d: str) -> DataFrame:
+    rows = row_numbers(panel(spark, d), PANEL).withColumn("w", F.col("rn").cast("double")).drop("rn", "n")
+    return rounded(validation.blocked_score(rows, PANEL, Equation("a", {"a": 10.0}), "z", "w"), "score", digits=4)
+
+
+@query("cv07_select_iteration", f"WITH {P} SELECT series_id::INTEGER AS iteration, round(avg(z), 6) + 0.0 AS score FROM p GROUP BY series_id ORDER BY avg(z), series_id LIMIT 1")
+def select_iteration(spark: SparkSession, d: str) -> DataFrame:
+    s = panel(spark, d).groupBy(F.col("series_id").cast("int").alias("iteration")).agg(F.avg("z").alias("score"))
+    return rounded(validation.select_iteration(s), "score")
+
+
+@query("ag15_compare_trajectories", "SELECT metric, round(value, 6) + 0.0 AS value FROM (WITH RECURSIVE s(step, v) AS (SELECT 0, 0.1::DOUBLE UNION ALL SELECT step + 1, v + 0.05 * (2 * v - v * v) FROM s WHERE step < 100), o AS (SELECT v, v + 0.01 * (step % 3) AS y FROM s) SELECT 'RMSE (mean)' AS metric, sqrt(avg((y - v) ** 2)) AS value FROM o UNION ALL SELECT 'RMSE (median)', sqrt(avg((y - v) ** 2)) FROM o UNION ALL SELECT 'MAD (mean)', avg(abs(y - v)) FROM o UNION ALL SELECT 'Correlation', corr(y, v) FROM o UNION ALL SELECT 'Coverage (90% CI)', avg((y = v)::INT) FROM o)")
+def compare_trajectories(spark: SparkSession, d: str) -> DataFrame:
+    s = dynamics.simulate(spark, Equation("2 * z - z^2"), "z", 0.1, 0.05, 100)
+    observed = s.select("t", (F.col("value") + 0.01 * (F.col("step") % 3)).alias("observed"))
+    return rounded(dynamics.compare(observed, dynamics.fan(s)), "value")
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTERED)
 

@@ -178,3 +178,32 @@ def test_phase_finds_the_parabola(spark):
 def test_moments_of_constant_series(spark):
     row = moments.describe(series(spark, [2.0] * 12), PANEL).first()
     assert row.sd == 0 and row.skewness is None and row.kurtosis is None
+
+
+def test_reports_and_exports(spark, tmp_path):
+    from driftloom.sources import writers
+
+    df = spark.createDataFrame([("a|b", 1.5, None), ("c", float("nan"), 2)], "name string, x double, n int")
+    assert writers.markdown(df).splitlines()[2] == r"| a\|b | 1.5000 |  |" and "NA" in writers.latex(df)
+    assert all(title in writers.report({"One": df}, form=f) for f, title in (("markdown", "## One"), ("html", "<h2>One</h2>"), ("latex", "section{One}")))
+    assert [r.json for r in writers.to_json(df).orderBy("name").collect()] == ['{"name":"a|b","x":1.5,"n":null}', '{"name":"c","x":null,"n":2}']
+    paths = writers.export({"t": df}, str(tmp_path), ("parquet", "csv", "json"))
+    assert len(paths) == 3 and spark.read.parquet(paths[0]).count() == 2
+
+
+def test_stochastic_model_recovers_a_linear_drift(spark):
+    from driftloom.plans import models
+
+    rng = np.random.default_rng(4)
+    z = [1.0]
+    for _ in range(400):
+        z.append(z[-1] + 0.05 * (2 - z[-1]) + 0.02 * rng.normal())
+    df = derivatives.finite_difference(series(spark, z), PANEL)
+    drift = models.stochastic_model(df, PANEL, "d_z", ["z"]).drift.first()
+    assert abs(drift["z"] + 0.05) < 0.02 and abs(drift["(Intercept)"] - 0.1) < 0.04
+
+
+def test_genetic_search_gives_finite_candidates(spark):
+    df = spark.createDataFrame([(float(x), float(2 * x + 1)) for x in np.linspace(-2, 2, 40)], "x double, y double")
+    front = search.pareto_front(search.genetic(df, "y", ["x"], runs=2, population=20, generations=6)).collect()
+    assert front and all(math.isfinite(r.mse) for r in front) and front == sorted(front, key=lambda r: r.complexity)
