@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
 from .html_pages import labelled_pages
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -133,6 +134,7 @@ def context_features(context: tuple[tuple[str, frozenset[str]], ...]) -> list[st
         if tag not in ("html", "body"):
             out.add(f"in={tag}")
         out |= {f"name={n}" for n in names}
+    out |= {f"chain={a}>{b}" for (a, _), (b, _) in zip(context, context[1:], strict=False)}
     if len(context) > 1:
         out.add(f"above={context[-2][0]}")
     return sorted(out)
@@ -264,4 +266,4 @@ def extract(pages: DataFrame, model: Field | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())], names=[*names, "text", "n_chars"])
 
     rows = pages.select(*names, F.col("html").cast("string"))
-    return rows.mapInArrow(run, pages.select(*names).schema.add("text", "string").add("n_chars", "long"))
+    return map_texts(rows, run, pages.select(*names).schema.add("text", "string").add("n_chars", "long"))

@@ -64,18 +64,22 @@ class Writer:
         inner = [self.links(r.randint(2, 8)) if kinds in (MENUS, SHARES) or r.random() < 0.3 else "", self.sentence(r.randint(1, 25)) if kinds not in (MENUS,) and r.random() < 0.6 else ""]
         if kinds is FORMS or r.random() < 0.1:
             inner.append(f"<label>{self.words(2)}</label><input type='text'><button>{self.words(1)}</button>")
-        if kinds in (COMMENTS, SIDES, NOTICES, ADVERTS, HEADERS) and r.random() < 0.7:
+        if kinds is HEADERS and r.random() < 0.4:
+            inner.append(tag(r.choice(["h1", "h1", "div class='logo'", "p class='site-title'"]), self.sentence(r.randint(1, 4))))
+        if kinds in (COMMENTS, SIDES, NOTICES, ADVERTS, FORMS) and r.random() < 0.7 or kinds is HEADERS and r.random() < 0.3:
             inner += [tag(r.choice(["p", "div", "h3", "p"]), self.text(3)) for _ in range(r.randint(1, 5 if kinds is COMMENTS else 2))]
         if kinds is COMMENTS and r.random() < 0.5:
             inner = [tag("div class='comment'", tag("span class='author'", self.word()) + tag("p", self.text(4))) for _ in range(r.randint(1, 6))]
         body = "".join(inner) or self.sentence(4)
         return tag(spec, body)
 
-    def main(self) -> str:
+    def main(self, wrap: bool = True) -> str:
         r, out = self.r, []
         if r.random() < 0.85:
             title = f"<h1 data-main>{self.sentence(r.randint(1, 12))}</h1>"
-            out.append(tag("header", title) if r.random() < 0.15 else title)
+            if wrap and r.random() < 0.25:
+                title = tag(r.choice(["header", "header class='entry-header'", "div class='title'", "div class='post-header'", "div class='headline'"]), title)
+            out.append(title)
         for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14])):
             kind = r.random()
             if kind < 0.72:
@@ -103,12 +107,14 @@ class Writer:
 
     def page(self) -> str:
         r = self.r
-        some = lambda p, kinds: self.other(kinds) if r.random() < p else ""
+        bare = 0.0 if r.random() < 0.06 else 1.0  # a page of main text alone
+        some = lambda p, kinds: self.other(kinds) if r.random() < p * bare else ""
         top = [some(0.4, NOTICES), some(0.4, HEADERS), some(0.7, MENUS), some(0.4, ADVERTS), some(0.2, FORMS)]
         r.shuffle(top)
         spec = r.choice(CONTENT)
-        inner = some(0.1, SHARES) + some(0.1, MENUS) + self.main() + some(0.2, SHARES) + some(0.15, ADVERTS) + some(0.12, COMMENTS) + some(0.1, FOOTERS)
-        content = tag(spec, inner)
+        loose = r.random() < 0.1  # main text right in the body
+        inner = some(0.1, SHARES) + some(0.1, MENUS) + self.main(not loose) + some(0.2, SHARES) + some(0.15, ADVERTS) + some(0.12, COMMENTS) + some(0.1, FOOTERS)
+        content = inner if loose else tag(spec, inner)
         if r.random() < 0.3:
             content = tag(r.choice(["div class='wrapper'", "main", "div id='page'", "div"]), content + some(0.3, SIDES))
         end = [some(0.35, SIDES), some(0.4, COMMENTS), some(0.15, FORMS), some(0.15, ADVERTS), some(0.2, NOTICES)]
@@ -117,5 +123,5 @@ class Writer:
         return f"<!DOCTYPE html><html>{head}<body>{''.join(top)}{content}{''.join(end)}{some(0.6, FOOTERS)}</body></html>"
 
 
-def labelled_pages(n: int = 600, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 900, seed: int = 11) -> list[str]:
     return [Writer(seed * 100_003 + i).page() for i in range(n)]
