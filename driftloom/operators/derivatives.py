@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
 from .panel import Panel, row_numbers
 
 
@@ -201,7 +202,7 @@ def _per_series(df: DataFrame, panel: Panel, one, out: str) -> DataFrame:
     """A kernel on each series. Its rows come to one task, so it is for series of bounded length."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return df.groupBy(*panel.keys).applyInPandas(one, StructType([*df.schema.fields, StructField(out, DoubleType())]))
+    return shipped(df).groupBy(*panel.keys).applyInPandas(one, StructType([*df.schema.fields, StructField(out, DoubleType())]))
 
 
 def suggest_method(df: DataFrame, panel: Panel = Panel()) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..functions.scalars import finite
+from ..shipping import shipped
 from .panel import Panel, row_numbers
 from .windows import autocorrelations
 
@@ -86,7 +87,7 @@ def runs(df: DataFrame, panel: Panel = Panel()) -> DataFrame:
 def diagnostics(df: DataFrame, panel: Panel = Panel()) -> DataFrame:
     """Rows (keys, test, statistic, p_value): Ljung-Box, ARCH, Jarque-Bera and runs of every series."""
     keys = list(panel.keys)
-    lb = ljung_box(df, panel).select(*keys, F.lit("Ljung-Box").alias("test"), "statistic", tails.chi2_tail(F.col("statistic"), F.col("df")).alias("p_value"))
+    lb = ljung_box(shipped(df), panel).select(*keys, F.lit("Ljung-Box").alias("test"), "statistic", tails.chi2_tail(F.col("statistic"), F.col("df")).alias("p_value"))
     ar = arch(df, panel).select(*keys, F.lit("ARCH").alias("test"), "statistic", tails.chi2_tail(F.col("statistic"), F.lit(1)).alias("p_value"))
     jb = jarque_bera(df, panel).select(*keys, F.lit("Jarque-Bera").alias("test"), "statistic", "p_value")
     ru = runs(df, panel).select(*keys, F.lit("Runs").alias("test"), "statistic", tails.normal_tails(F.col("statistic")).alias("p_value"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.equations import Equation
+from ..shipping import shipped
 from .panel import Panel
 
 
@@ -56,7 +57,7 @@ def least_squares(df: DataFrame, keys: list[str], target: Column, terms: dict[st
     schema = moments.select(*keys, "n").schema.add("rss", "double").add("tss", "double")
     for name in names:
         schema = schema.add(name, "double").add(f"se_{name}", "double")
-    fitted = moments.mapInPandas(solve, schema)
+    fitted = shipped(moments).mapInPandas(solve, schema)
     return fitted.select(*keys, "n", *[F.when(~F.isnan(c), F.col(f"`{c}`")).alias(c) for c in ["rss", "tss", *(x for n in names for x in (n, f"se_{n}"))]])
 
 

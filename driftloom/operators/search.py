@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.equations import Equation, structure
 from ..functions.scalars import inverse, ln
+from ..shipping import shipped
 from .windows import rising_minimum
 
 # Physical and mathematical constants that fitted numbers are compared with.
@@ -198,7 +199,7 @@ def genetic(df: DataFrame, target: str, predictors: list[str], runs: int = 5, po
                 yield pd.DataFrame({"run_id": int(run), "complexity": [v[0] for v in found.values()], "equation": list(found)})
 
     tasks = spark.range(runs).select(F.col("id").cast("int").alias("run_id")).repartition(runs, "run_id")
-    found = tasks.mapInPandas(evolve, "run_id int, complexity int, equation string").collect()
+    found = shipped(tasks).mapInPandas(evolve, "run_id int, complexity int, equation string").collect()
     texts = sorted({r.equation for r in found})
     errors: dict[str, float] = {}
     for at in range(0, len(texts), 60):
