@@ -14,10 +14,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
+
 #: ASCII white space as the contracts define it: space, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 NULL_ID = 2**63 - 1
+TEXT_BATCH = 500
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -65,6 +68,14 @@ def _clean() -> None:
             return
 
 
+def map_texts(df: DataFrame, f, schema) -> DataFrame:
+    """``df.mapInArrow`` with at most TEXT_BATCH rows in a batch: texts can be long, and a batch is in memory at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key, "10000")) > TEXT_BATCH:
+        df.sparkSession.conf.set(key, str(TEXT_BATCH))
+    return shipped(df).mapInArrow(f, schema)
+
+
 def doc_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
 

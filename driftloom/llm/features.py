@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 #: Base of the polynomial word hash and the constants of its final mixing (odd 64-bit numbers).
 BASE = 0x9E3779B97F4A7C15
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -151,7 +153,7 @@ def document_frequencies(texts: DataFrame, counts_of, dims: int) -> tuple[np.nda
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int32()), pa.array([*total[at], n], pa.int64())], names=["slot", "n"])
 
-    found = texts.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    found = map_texts(texts.select("text"), count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     df, total = np.zeros(dims, dtype=np.float64), 0
     for slot, n in zip(found["slot"], found["n"], strict=True):
         if slot < 0:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
 from .features import LETTERS, bounded_sample, document_frequencies, ngram_counts, weigh
 
 DIMS, SIZES = 1 << 13, (1, 2, 3)
@@ -78,7 +79,7 @@ def train(docs: DataFrame, use: Column, per_language: int = 600, centroids: int
                 got = [weigh(counts_of(t), idf) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([a.astype("<i4").tobytes() for a, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], names=["doc_id", "slots", "values"])
 
-        got = sample.mapInArrow(vectors_of, "doc_id long, slots binary, values binary").toArrow().sort_by("doc_id").to_pydict()
+        got = map_texts(sample, vectors_of, "doc_id long, slots binary, values binary").toArrow().sort_by("doc_id").to_pydict()
         x = np.zeros((len(got["slots"]), DIMS), dtype=np.float32)
         for i, (a, v) in enumerate(zip(got["slots"], got["values"], strict=True)):
             x[i, np.frombuffer(a, dtype="<i4")] = np.frombuffer(v, dtype=np.float32)
@@ -106,4 +107,4 @@ def predict(docs: DataFrame, model: Centroids, reject_below: float = 0.0, names:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*columns, *names])
 
     schema = docs.select(*columns).schema.add(names[0], "string").add(names[1], "double")
-    return docs.mapInArrow(label, schema)
+    return map_texts(docs, label, schema)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
 from .features import SPACED, bounded_sample, document_frequencies, ngram_counts, weigh, word_hashes
 
 DIMS, SIZES, BLOCK = 1 << 12, (1, 2, 3), 512
@@ -101,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, most_labelled: int =
             got = [weigh(counts_of(t or ""), idf) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array([a.astype("<i4").tobytes() for a, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], names=["doc_id", "label", "slots", "values"])
 
-    got = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(vectors_of, "doc_id long, label int, slots binary, values binary").toArrow().sort_by("doc_id").to_pydict()
+    got = map_texts(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality"), vectors_of, "doc_id long, label int, slots binary, values binary").toArrow().sort_by("doc_id").to_pydict()
     x = np.zeros((len(got["label"]), WIDTH), dtype=np.float32)
     for i, (a, v) in enumerate(zip(got["slots"], got["values"], strict=True)):
         x[i, np.frombuffer(a, dtype="<i4")] = np.frombuffer(v, dtype=np.float32)
@@ -126,4 +127,4 @@ def score(docs: DataFrame, model: Neighbours) -> DataFrame:
             s = np.clip(m.vote(batch.column(names.index("text")).to_pylist()), 0.0, 1.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=[*names, "score", "predicted"])
 
-    return docs.mapInArrow(run, docs.select(*names).schema.add("score", "double").add("predicted", "integer"))
+    return map_texts(docs, run, docs.select(*names).schema.add("score", "double").add("predicted", "integer"))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
 from .features import LETTERS, bounded_sample, word_hashes
 
 
@@ -123,7 +124,7 @@ def _word_sets(texts: DataFrame) -> list[np.ndarray]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([words_of(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "words"])
 
-    got = texts.select("doc_id", "text").mapInArrow(sets, "doc_id long, words binary").toArrow().sort_by("doc_id")
+    got = map_texts(texts.select("doc_id", "text"), sets, "doc_id long, words binary").toArrow().sort_by("doc_id")
     return [np.frombuffer(x, dtype=np.uint64) for x in got["words"].to_pylist()]
 
 
@@ -151,4 +152,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = [m.score(t) for t in batch.column(names.index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=[*names, "score", "predicted"])
 
-    return docs.mapInArrow(run, docs.select(*names).schema.add("score", "double").add("predicted", "integer"))
+    return map_texts(docs, run, docs.select(*names).schema.add("score", "double").add("predicted", "integer"))

@@ -20,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
+from .common import map_texts
+
 GROUP_DOCS = 10_000
 END = 2
 
@@ -68,7 +71,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = 1024) -> DataFrame:
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "slot"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, slot long")
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), cut, "doc_id long, piece int, start long, length long, ids_crc32 long, slot long")
 
 
 def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple[float, float, float], rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
@@ -130,4 +133,4 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 1024, most_docs: int =
         number[~single], offset[~single] = bins + single.sum(), offsets
         return rows.assign(sequence_id=key[0] * (1 << 40) + number, offset=offset)[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    return cut.groupBy("g").applyInPandas(fill, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return shipped(cut).groupBy("g").applyInPandas(fill, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
