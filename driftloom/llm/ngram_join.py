@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, doc_key, fresh, materialise
+from .common import NULL_ID, doc_key, fresh, map_texts, materialise
 from .components import components, skewed_join
 from .features import SPACED, shingles, word_hashes
 
@@ -52,7 +52,7 @@ def slot_counts(texts: DataFrame, words: int) -> np.ndarray:
 
     # One row for each slot and task; few tasks with several partitions each keep that small.
     few = texts.coalesce(4 * texts.sparkSession.sparkContext.defaultParallelism)
-    got = few.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = map_texts(few, count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(slots, dtype=np.int64)
     out[got["slot"].to_numpy()] = got["n"].to_numpy()
     return out
@@ -97,7 +97,7 @@ def signatures(docs: DataFrame, classes: np.ndarray, words: int, percent: int) -
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(sizes, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(gids, pa.int64()), prefix], names=["doc_id", "dk", "n", "d1", "d2", "gid", "prefix"])
 
     rows = docs.select("doc_id", doc_key().alias("dk"), F.col("text").cast("string"))
-    return rows.mapInArrow(sign, "doc_id long, dk long, n int, d1 long, d2 long, gid long, prefix array<long>")
+    return map_texts(rows, sign, "doc_id long, dk long, n int, d1 long, d2 long, gid long, prefix array<long>")
 
 
 def fits(n: str, m: str, percent: int) -> Column:
@@ -105,6 +105,20 @@ def fits(n: str, m: str, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def within_reach(percent: int) -> Column:
+    """Whether groups a and b that share the shingle at pos_a and pos_b can be alike.
+
+    Before it they share at most as many as stand before it in either; of the first EXTRA,
+    those without another group cannot be shared in a pair that is alike. Behind it they
+    share at most the shorter rest.
+    """
+    def ahead(x: str) -> Column:
+        return F.when(F.col(f"pos_{x}") >= EXTRA, F.col(f"pos_{x}") - F.col(f"early_{x}")).otherwise(F.col(f"pos_{x}"))
+
+    most = F.least(ahead("a"), ahead("b")) + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    return most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
+
+
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those ``pairs`` (a, b: document keys) whose texts are alike, compared shingle by shingle.
 
@@ -142,7 +156,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["u", "v"])
 
-    return with_both.mapInArrow(compare, "u long, v long").distinct()
+    return map_texts(with_both, compare, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -160,14 +174,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     nodes = materialise(signs.filter("n > 0").groupBy("d1", "d2", "n", "gid").agg(F.min("dk").alias("dk")))
     groups = materialise(nodes.groupBy("gid", "n").agg(F.min("dk").alias("leader"), F.count("*").alias("members")))
     leaders = signs.select("dk", "gid", "n", "prefix").join(groups.select("gid", "n", F.col("leader").alias("dk")), ["gid", "n", "dk"], "left_semi")
-    postings = leaders.select("gid", "n", F.explode("prefix").alias("token"))
-    tokens = postings.groupBy("token").agg(F.count("*").alias("cnt"), F.min("gid").alias("pivot"), F.max("gid").alias("other"))
-    tokens = materialise(tokens.filter("pivot <> other").select("token", "cnt", "pivot"))
-    shared = materialise(skewed_join(postings, tokens, "token").distinct())
-
-    # Families: every group beside the pivots of its frequent shingles, every member beside its leader.
+    postings = leaders.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
+    tokens = postings.groupBy("token").agg(F.count("*").alias("cnt"), F.min("gid").alias("some"), F.max("gid").alias("other"))
+    tokens = materialise(tokens.filter("some <> other").select("token", "cnt"))
+    shared = materialise(skewed_join(postings, tokens, "token").dropDuplicates(["token", "gid", "n"]))
+    # A group that shares fewer shingles than any pair needs is in no pair. ``early``: of its first EXTRA, those with no other group.
+    of_gid = shared.groupBy("gid", "n").agg(F.count("*").alias("k"), F.count_if(F.col("pos") < EXTRA).alias("k0"))
+    of_gid = of_gid.filter(F.col("k") >= F.least(F.lit(EXTRA), needed(F.col("n"), percent)))
+    of_gid = of_gid.withColumn("early", F.least(F.lit(EXTRA), needed(F.col("n"), percent)) - F.col("k0"))
+    shared = materialise(shared.join(of_gid.select("gid", "n", "k", "early"), ["gid", "n"]))
+
+    # Families: every group beside the pivots of its frequent shingles (of those, the one that shares
+    # most), every member beside its leader.
     sizes = groups.select("gid", "n", "leader")
-    to_pivot = shared.filter(f"cnt >= {FAMILY} and gid <> pivot").groupBy("gid", "n", "pivot").agg(F.count("*").alias("c")).filter("c >= 4")
+    frequent = shared.filter(f"cnt >= {FAMILY}")
+    pivots = frequent.groupBy("token").agg(F.max(F.struct("k", "gid"))["gid"].alias("pivot"))
+    to_pivot = skewed_join(frequent.select("token", "gid", "n"), materialise(pivots), "token").filter("gid <> pivot").groupBy("gid", "n", "pivot").agg(F.count("*").alias("c")).filter("c >= 4")
     to_pivot = skewed_join(to_pivot, sizes.select(F.col("gid").alias("pivot"), F.col("n").alias("m"), F.col("leader").alias("b")), "pivot").filter(fits("n", "m", percent))
     to_pivot = to_pivot.join(sizes.select("gid", "n", F.col("leader").alias("a")), ["gid", "n"]).select("a", "b")
     several = groups.filter("members > 1").select("gid", "n", F.col("leader").alias("b"))
@@ -178,18 +200,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     placed = nodes.select("dk", "gid", "n").join(families.withColumnRenamed("node", "dk"), "dk", "left").withColumn("c", F.coalesce("component", "dk")).drop("component")
     placed = materialise(placed)
     of_group = placed.groupBy("gid", "n").agg(F.min("c").alias("c"), F.max("c").alias("c2")).select("gid", "n", "c", (F.col("c") != F.col("c2")).alias("mixed"))
-    places = materialise(shared.select("token", "gid", "n").join(of_group, ["gid", "n"]))
+    places = materialise(shared.select("token", "gid", "n", "pos", "early").join(of_group, ["gid", "n"]))
     per_component = places.groupBy("token", "c").agg(F.count("*").alias("k"), F.max("mixed").alias("mixed"))
     open_tokens = per_component.groupBy("token").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("components"), F.max("mixed").alias("any_mixed"))
     open_tokens = open_tokens.filter("components > 1 or any_mixed").select("token", F.col("top.c").alias("major"))
     opened = materialise(skewed_join(places, open_tokens, "token").withColumn("minor", F.col("mixed") | (F.col("c") != F.col("major"))))
-    left = opened.filter("minor").select("token", *[F.col(x).alias(f"{x}_a") for x in ("gid", "n", "c", "mixed")])
-    right = opened.select(F.col("token"), *[F.col(x).alias(f"{x}_b") for x in ("gid", "n", "c", "mixed", "minor")])
+    kept = ("gid", "n", "pos", "early", "c", "mixed")
+    left = opened.filter("minor").select("token", *[F.col(x).alias(f"{x}_a") for x in kept])
+    right = opened.select(F.col("token"), *[F.col(x).alias(f"{x}_b") for x in (*kept, "minor")])
     apart = F.expr("(c_a <> c_b or mixed_a or mixed_b) and gid_a <> gid_b and (gid_a < gid_b or not minor_b)")
-    met = skewed_join(left, right, "token").filter(apart & fits("n_a", "n_b", percent))
-    least = F.least(F.lit(EXTRA), needed(F.col("n_a"), percent), needed(F.col("n_b"), percent))
-    met = met.select(F.least("gid_a", "gid_b").alias("g"), F.greatest("gid_a", "gid_b").alias("h"), F.when(F.col("gid_a") < F.col("gid_b"), F.col("n_a")).otherwise(F.col("n_b")).alias("ng"), F.when(F.col("gid_a") < F.col("gid_b"), F.col("n_b")).otherwise(F.col("n_a")).alias("nh"), least.alias("least"))
-    met = met.groupBy("g", "h", "ng", "nh", "least").agg(F.count("*").alias("shared")).filter("shared >= least").select("g", "h", "ng", "nh")
+    met = skewed_join(left, right, "token").filter(apart & fits("n_a", "n_b", percent) & within_reach(percent))
+    first = F.col("gid_a") < F.col("gid_b")
+    both = {name: (F.when(first, F.col(f"{x}_a")).otherwise(F.col(f"{x}_b")), F.when(first, F.col(f"{x}_b")).otherwise(F.col(f"{x}_a"))) for name, x in (("g", "gid"), ("n", "n"), ("p", "pos"))}
+    met = met.select(both["g"][0].alias("g"), both["g"][1].alias("h"), both["n"][0].alias("ng"), both["n"][1].alias("nh"), both["p"][0].alias("pg"), both["p"][1].alias("ph"))
+    met = met.groupBy("g", "h", "ng", "nh").agg(F.count("*").alias("shared"), F.max("pg").alias("pg"), F.max("ph").alias("ph"))
+    enough = F.col("shared") >= F.least(F.lit(EXTRA), needed(F.col("ng"), percent), needed(F.col("nh"), percent))
+    # Behind the last shingle shared in the prefixes, at most the shorter rest can be shared.
+    most = F.col("shared") + F.least(F.col("ng") - F.col("pg"), F.col("nh") - F.col("ph")) - 1
+    met = met.filter(enough & (most * (100 + percent) >= percent * (F.col("ng") + F.col("nh")))).select("g", "h", "ng", "nh")
     member = placed.select("gid", "n", "dk", "c")
     across = skewed_join(met, member.select(F.col("gid").alias("g"), F.col("n").alias("n1"), F.col("dk").alias("a"), F.col("c").alias("ca")), "g").filter("n1 = ng")
     across = skewed_join(across, member.select(F.col("gid").alias("h"), F.col("n").alias("n2"), F.col("dk").alias("b"), F.col("c").alias("cb")), "h").filter("n2 = nh and ca <> cb")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import doc_key, fresh, materialise
+from .common import doc_key, fresh, map_texts, materialise
 from .features import mix
 
 #: A boundary stands after 1 byte in 2**BITS; chunks are LEAST to MOST bytes.
@@ -61,7 +61,7 @@ def chunk_ends(data: np.ndarray, bits: int = BITS, least: int = LEAST, most: int
 
 
 def chunks(docs: DataFrame, bits: int = BITS, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """Rows (dk, seq, start, stop, digest): every chunk of every text; places in code points."""
+    """Rows (dk, seq, start, stop, d1, d2): every chunk of every text, its digest as two numbers; places in code points."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,28 +82,29 @@ def chunks(docs: DataFrame, bits: int = BITS, least: int = LEAST, most: int = MO
                     stops.append(places)
                     digests += [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
                 join = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
-                yield pa.RecordBatch.from_arrays([join(keys, pa.int64()), join(seqs, pa.int32()), join(starts, pa.int32()), join(stops, pa.int32()), pa.array(digests, pa.binary())], names=["dk", "seq", "start", "stop", "digest"])
+                halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([join(keys, pa.int64()), join(seqs, pa.int32()), join(starts, pa.int32()), join(stops, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["dk", "seq", "start", "stop", "d1", "d2"])
 
-    return docs.select(doc_key(), F.col("text").cast("string")).mapInArrow(cut, "dk long, seq int, start int, stop int, digest binary")
+    return map_texts(docs.select(doc_key(), F.col("text").cast("string")), cut, "dk long, seq int, start int, stop int, d1 long, d2 long")
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, bits: int = BITS, least: int = LEAST, most: int = MOST) -> DataFrame:
     """Spans of ``docs`` (doc_id, text) whose chunks also stand in another document.
 
     Returns a row for each maximal run of such chunks of at least ``span`` code points:
-    doc_id, start, length, first_doc_id (smallest id with one of the chunks), n_places (of
-    the most frequent one), kept (whether this document is the first for all of the run).
+    doc_id, start, length, first_doc_id (smallest id with a chunk, for most of the run's
+    chunks), n_places (of the most frequent chunk), kept (whether this document is the first for all of the run).
     Documents without such spans have no row. Null and empty texts have no chunks; a null
     id counts as the largest one; rows that share an id count as one document, and repeated
     rows give each span once. An empty table gives an empty result; other columns are
     ignored.
     """
     found = chunks(docs, bits, least, most)
-    digests = found.groupBy("digest").agg(F.min("dk").alias("first"), F.max("dk").alias("last"), F.count("*").alias("n"))
-    repeated = materialise(digests.filter(F.col("first") != F.col("last")).select("digest", "first", "n"))
-    hits = found.join(repeated, "digest").select("dk", "seq", "start", "stop", "first", "n", (F.col("dk") == F.col("first")).alias("kept"))
+    digests = found.groupBy("d1", "d2").agg(F.min("dk").alias("first"), F.max("dk").alias("last"), F.count("*").alias("n"))
+    repeated = materialise(digests.filter(F.col("first") != F.col("last")).select("d1", "d2", "first", "n"))
+    hits = found.join(repeated, ["d1", "d2"]).select("dk", "seq", "start", "stop", "first", "n", (F.col("dk") == F.col("first")).alias("kept"))
     run = F.col("seq") - F.dense_rank().over(W.partitionBy("dk", "kept").orderBy("seq"))
-    spans = hits.withColumn("run", run).groupBy("dk", "kept", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first").alias("first_doc_id"), F.max("n").alias("n_places"))
+    spans = hits.withColumn("run", run).groupBy("dk", "kept", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.mode("first", True).alias("first_doc_id"), F.max("n").alias("n_places"))
     length = F.col("stop") - F.col("start")
     return spans.filter(length >= span).select(_id("dk").alias("doc_id"), "start", length.alias("length"), _id("first_doc_id").alias("first_doc_id"), "n_places", "kept")
 
