@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, doc_key, fresh, map_texts, materialise
@@ -105,18 +106,48 @@ def fits(n: str, m: str, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def within_reach(percent: int) -> Column:
-    """Whether groups a and b that share the shingle at pos_a and pos_b can be alike.
+def first_shared(percent: int) -> Column:
+    """Whether the shingle at at_a and at_b can be the first that alike groups a and b share.
 
-    Before it they share at most as many as stand before it in either; of the first EXTRA,
-    those without another group cannot be shared in a pair that is alike. Behind it they
-    share at most the shorter rest.
+    Places ``at`` and sizes ``p`` leave out shingles that a pair cannot share. All that the
+    two must share then stand from this place on in both.
     """
-    def ahead(x: str) -> Column:
-        return F.when(F.col(f"pos_{x}") >= EXTRA, F.col(f"pos_{x}") - F.col(f"early_{x}")).otherwise(F.col(f"pos_{x}"))
+    return F.least(F.col("p_a") - F.col("at_a"), F.col("p_b") - F.col("at_b")) * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
 
-    most = F.least(ahead("a"), ahead("b")) + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    return most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
+
+def enough_shared(percent: int) -> Column:
+    """Whether groups g and h with prefix shingles ``tg`` and ``th`` share as many as an alike pair does.
+
+    Behind the last shingle that the prefixes share, at most the shorter rest can be shared.
+    """
+    def of(both: Column) -> Column:
+        def rest(x: str) -> Column:
+            return F.col(f"p{x}") - F.element_at(F.col(f"a{x}"), F.array_position(F.col(f"t{x}"), F.element_at(both, -1)).cast("int"))
+
+        most = F.size(both) + F.least(rest("g"), rest("h")) - 1
+        least = F.least(F.lit(EXTRA), needed(F.col("ng"), percent), needed(F.col("nh"), percent))
+        return (F.size(both) >= least) & (most * (100 + percent) >= percent * (F.col("ng") + F.col("nh")))
+
+    return F.element_at(F.transform(F.array(F.array_intersect("tg", "th")), of), 1)
+
+
+def sharable(shared: DataFrame, percent: int) -> DataFrame:
+    """``shared`` (token, gid, n, pos) with k, ``p`` and ``at`` in place of pos, for groups that can be in a pair.
+
+    The first EXTRA shingles that an alike pair shares stand in both prefixes. So a prefix
+    shingle that no other group has, with fewer than EXTRA before it that another one has,
+    is shared in no such pair. ``p`` is the set's size without those, ``at`` the place
+    without those. A group goes if it has fewer shingles in common with others than any
+    pair needs, or is not alike to any set even if it shares all ``p``.
+    """
+    rank = F.row_number().over(W.partitionBy("gid", "n").orderBy("pos")) - 1
+    ranked = shared.withColumn("rank", rank)
+    of_gid = ranked.groupBy("gid", "n").agg(F.count("*").alias("k"), F.max(F.when(F.col("rank") == EXTRA - 1, F.col("pos"))).alias("last"))
+    alone = F.when(F.col("last").isNotNull(), F.col("last") - (EXTRA - 1)).otherwise(F.col("n") - F.col("k"))
+    of_gid = of_gid.filter(F.col("k") >= F.least(F.lit(EXTRA), needed(F.col("n"), percent))).withColumn("p", (F.col("n") - alone).cast("int"))
+    of_gid = of_gid.filter(F.col("p") >= needed(F.col("n"), percent))
+    at = F.col("pos") - F.least(F.col("pos") - F.col("rank"), F.col("n") - F.col("p"))
+    return ranked.join(of_gid.select("gid", "n", "k", "p"), ["gid", "n"]).select("token", "gid", "n", "cnt", "k", "p", at.alias("at"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -178,11 +209,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     tokens = postings.groupBy("token").agg(F.count("*").alias("cnt"), F.min("gid").alias("some"), F.max("gid").alias("other"))
     tokens = materialise(tokens.filter("some <> other").select("token", "cnt"))
     shared = materialise(skewed_join(postings, tokens, "token").dropDuplicates(["token", "gid", "n"]))
-    # A group that shares fewer shingles than any pair needs is in no pair. ``early``: of its first EXTRA, those with no other group.
-    of_gid = shared.groupBy("gid", "n").agg(F.count("*").alias("k"), F.count_if(F.col("pos") < EXTRA).alias("k0"))
-    of_gid = of_gid.filter(F.col("k") >= F.least(F.lit(EXTRA), needed(F.col("n"), percent)))
-    of_gid = of_gid.withColumn("early", F.least(F.lit(EXTRA), needed(F.col("n"), percent)) - F.col("k0"))
-    shared = materialise(shared.join(of_gid.select("gid", "n", "k", "early"), ["gid", "n"]))
+    shared = materialise(sharable(shared, percent))
 
     # Families: every group beside the pivots of its frequent shingles (of those, the one that shares
     # most), every member beside its leader.
@@ -200,24 +227,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     placed = nodes.select("dk", "gid", "n").join(families.withColumnRenamed("node", "dk"), "dk", "left").withColumn("c", F.coalesce("component", "dk")).drop("component")
     placed = materialise(placed)
     of_group = placed.groupBy("gid", "n").agg(F.min("c").alias("c"), F.max("c").alias("c2")).select("gid", "n", "c", (F.col("c") != F.col("c2")).alias("mixed"))
-    places = materialise(shared.select("token", "gid", "n", "pos", "early").join(of_group, ["gid", "n"]))
+    places = materialise(shared.select("token", "gid", "n", "at", "p").join(of_group, ["gid", "n"]))
     per_component = places.groupBy("token", "c").agg(F.count("*").alias("k"), F.max("mixed").alias("mixed"))
     open_tokens = per_component.groupBy("token").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("components"), F.max("mixed").alias("any_mixed"))
     open_tokens = open_tokens.filter("components > 1 or any_mixed").select("token", F.col("top.c").alias("major"))
     opened = materialise(skewed_join(places, open_tokens, "token").withColumn("minor", F.col("mixed") | (F.col("c") != F.col("major"))))
-    kept = ("gid", "n", "pos", "early", "c", "mixed")
-    left = opened.filter("minor").select("token", *[F.col(x).alias(f"{x}_a") for x in kept])
-    right = opened.select(F.col("token"), *[F.col(x).alias(f"{x}_b") for x in (*kept, "minor")])
+    kept = ("gid", "n", "at", "p", "c", "mixed")
+    starts = opened.filter(F.col("p") - F.col("at") >= needed(F.col("n"), percent))
+    left = starts.filter("minor").select("token", *[F.col(x).alias(f"{x}_a") for x in kept])
+    right = starts.select(F.col("token"), *[F.col(x).alias(f"{x}_b") for x in (*kept, "minor")])
     apart = F.expr("(c_a <> c_b or mixed_a or mixed_b) and gid_a <> gid_b and (gid_a < gid_b or not minor_b)")
-    met = skewed_join(left, right, "token").filter(apart & fits("n_a", "n_b", percent) & within_reach(percent))
+    met = skewed_join(left, right, "token").filter(apart & fits("n_a", "n_b", percent) & first_shared(percent))
     first = F.col("gid_a") < F.col("gid_b")
-    both = {name: (F.when(first, F.col(f"{x}_a")).otherwise(F.col(f"{x}_b")), F.when(first, F.col(f"{x}_b")).otherwise(F.col(f"{x}_a"))) for name, x in (("g", "gid"), ("n", "n"), ("p", "pos"))}
-    met = met.select(both["g"][0].alias("g"), both["g"][1].alias("h"), both["n"][0].alias("ng"), both["n"][1].alias("nh"), both["p"][0].alias("pg"), both["p"][1].alias("ph"))
-    met = met.groupBy("g", "h", "ng", "nh").agg(F.count("*").alias("shared"), F.max("pg").alias("pg"), F.max("ph").alias("ph"))
-    enough = F.col("shared") >= F.least(F.lit(EXTRA), needed(F.col("ng"), percent), needed(F.col("nh"), percent))
-    # Behind the last shingle shared in the prefixes, at most the shorter rest can be shared.
-    most = F.col("shared") + F.least(F.col("ng") - F.col("pg"), F.col("nh") - F.col("ph")) - 1
-    met = met.filter(enough & (most * (100 + percent) >= percent * (F.col("ng") + F.col("nh")))).select("g", "h", "ng", "nh")
+    both = {name: (F.when(first, F.col(f"{x}_a")).otherwise(F.col(f"{x}_b")), F.when(first, F.col(f"{x}_b")).otherwise(F.col(f"{x}_a"))) for name, x in (("g", "gid"), ("n", "n"))}
+    met = materialise(met.select(both["g"][0].alias("g"), both["g"][1].alias("h"), both["n"][0].alias("ng"), both["n"][1].alias("nh")).distinct())
+    prefixes = shared.groupBy("gid", "n", "p").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("x"))
+    prefixes = materialise(prefixes.select("gid", F.col("n").alias("m"), "p", F.col("x.token").alias("t"), F.col("x.at").alias("a")))
+    for x in "gh":
+        met = skewed_join(met, prefixes.select(F.col("gid").alias(x), F.col("m"), F.col("p").alias(f"p{x}"), F.col("t").alias(f"t{x}"), F.col("a").alias(f"a{x}")), x).filter(F.col("m") == F.col(f"n{x}")).drop("m")
+    met = met.filter(enough_shared(percent)).select("g", "h", "ng", "nh")
     member = placed.select("gid", "n", "dk", "c")
     across = skewed_join(met, member.select(F.col("gid").alias("g"), F.col("n").alias("n1"), F.col("dk").alias("a"), F.col("c").alias("ca")), "g").filter("n1 = ng")
     across = skewed_join(across, member.select(F.col("gid").alias("h"), F.col("n").alias("n2"), F.col("dk").alias("b"), F.col("c").alias("cb")), "h").filter("n2 = nh and ca <> cb")
