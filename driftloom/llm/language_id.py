@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts
-from .features import LETTERS, bounded_sample, document_frequencies, ngram_counts, weigh
+from .features import LETTERS, document_frequencies, ngram_counts, weigh
 
 DIMS, SIZES = 1 << 13, (1, 2, 3)
 UNKNOWN = "und"
@@ -60,29 +60,37 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def train(docs: DataFrame, use: Column, per_language: int = 600, centroids: int = 4, most_languages: int = 300) -> Centroids:
+def train(docs: DataFrame, use: Column, per_language: int = 600, centroids: int = 4, most_languages: int = 300, most_texts: int = 24_000) -> Centroids:
     """Fit centroids on the rows of ``docs`` (doc_id, text, lang) where ``use`` holds and text and lang are not null.
 
-    At most about ``per_language`` texts of a language are clustered; frequencies are of all.
-    Languages beyond the ``most_languages`` most frequent ones are not learned.
+    About ``per_language`` texts of a language are clustered, fewer where all languages
+    together would have more than ``most_texts``; frequencies are of all. Of texts that
+    share an id one at most is clustered. Languages beyond the ``most_languages`` most
+    frequent ones are not learned. One scan samples all languages.
     """
     rows = docs.filter(use & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     df, total = document_frequencies(rows, counts_of, DIMS)
     idf = np.log((total + 1) / (df + 1)) + 0.1
     languages = sorted((r.lang, r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect())
+    if not languages:
+        return Centroids([], np.zeros((0, DIMS), np.float32), idf)
+    each, parts = min(per_language, most_texts // len(languages)), 1 << 30
+    share = F.create_map(*[F.lit(x) for lang, n in languages for x in (lang, int(parts * min(1.0, each / n)))])
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(parts)) < F.try_element_at(share, F.col("lang")))
+
+    def vectors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [weigh(counts_of(t), idf) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array([a.astype("<i4").tobytes() for a, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], names=["doc_id", "lang", "slots", "values"])
+
+    texts = map_texts(sample, vectors_of, "doc_id long, lang string, slots binary, values binary")
+    got = texts.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").to_pydict()
     names, vectors = [], []
-    for lang, n in languages:
-        sample = bounded_sample(rows.filter(F.col("lang") == lang).select("doc_id", "text"), per_language, n, F.col("doc_id"))
-
-        def vectors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                got = [weigh(counts_of(t), idf) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([a.astype("<i4").tobytes() for a, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], names=["doc_id", "slots", "values"])
-
-        got = map_texts(sample, vectors_of, "doc_id long, slots binary, values binary").toArrow().sort_by("doc_id").to_pydict()
-        x = np.zeros((len(got["slots"]), DIMS), dtype=np.float32)
-        for i, (a, v) in enumerate(zip(got["slots"], got["values"], strict=True)):
-            x[i, np.frombuffer(a, dtype="<i4")] = np.frombuffer(v, dtype=np.float32)
+    for lang, _ in languages:
+        mine = [i for i, of in enumerate(got["lang"]) if of == lang]
+        x = np.zeros((len(mine), DIMS), dtype=np.float32)
+        for row, i in enumerate(mine):
+            x[row, np.frombuffer(got["slots"][i], dtype="<i4")] = np.frombuffer(got["values"][i], dtype=np.float32)
         if len(x):
             c = spherical_kmeans(x, centroids)
             names += [lang] * len(c)
