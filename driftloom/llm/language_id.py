@@ -3,11 +3,14 @@
 Texts are unit TF-IDF vectors of hashed byte n-grams. Document frequencies cover every
 training document. The centroids, several per language, come from spherical k-means over
 a bounded sample of them (``per_language``). A text gets the language of the centroid
-with the largest cosine; a text too far from all of them can be rejected.
+with the largest cosine. A text too far from all of them can be rejected: chance raises the
+cosine of any text with its number of n-grams, so ``floors`` learns from every training text
+how near texts of each size are.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,12 +38,27 @@ class Centroids:
 
     def nearest(self, text: str | None) -> tuple[str, float]:
         """Language and cosine; UNKNOWN and 0 for null and for texts without letters."""
+        return self.measured(text)[:2]
+
+    def measured(self, text: str | None) -> tuple[str, float, int]:
+        """Language, cosine, and size: the doublings of the number of distinct n-grams."""
         if text is None or not any(map(str.isalpha, text)) or not self.languages:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0
         at, v = weigh(counts_of(text), self.idf)
         cosines = self.vectors[:, at] @ v
         best = int(np.argmax(cosines))
-        return self.languages[best], float(min(1.0, max(0.0, cosines[best])))
+        return self.languages[best], float(min(1.0, max(0.0, cosines[best]))), len(at).bit_length()
+
+
+@dataclass(frozen=True)
+class Floors:
+    """The least cosine of a text of each language found and size; a language that is not listed has that of all."""
+
+    of: dict[str, list[float]]
+    all: list[float]
+
+    def under(self, lang: str, score: float, size: int) -> bool:
+        return score < self.of.get(lang, self.all)[size]
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -98,21 +116,63 @@ def train(docs: DataFrame, use: Column, per_language: int = 600, centroids: int
     return Centroids(names, np.concatenate(vectors) if vectors else np.zeros((0, DIMS), np.float32), idf)
 
 
-def predict(docs: DataFrame, model: Centroids, reject_below: float = 0.0, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+def floors(docs: DataFrame, model: Centroids, least: float, share: float = 0.5, low: float = 0.01, enough: int = 50) -> Floors:
+    """Floors from the cosines of all rows of ``docs`` (text) that are not null.
+
+    A floor is ``share`` of the ``low`` quantile of its language and size. Each text counts
+    whole and with a beginning of 4 to 512 code points (by a hash of it), so that short
+    sizes are known where short texts are rare. With fewer than ``enough`` texts the floor is
+    that of all languages, then of the next smaller size, then ``least``, which no floor is below.
+    """
+    bins, sizes = 200, (DIMS).bit_length() + 1
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, seen = sent.value, {}
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for t in {text, text[: 4 << zlib.crc32(text.encode("utf-8", "replace")) % 8]}:
+                    lang, score, size = m.measured(t)
+                    if lang != UNKNOWN:
+                        at = (lang, size, int(score * (bins - 1)))
+                        seen[at] = seen.get(at, 0) + 1
+        columns = list(zip(*seen, strict=True)) if seen else [[]] * 3
+        types = [pa.string(), pa.int32(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, list(seen.values())], types, strict=True)], names=["lang", "size", "bin", "n"])
+
+    texts = docs.filter(F.col("text").isNotNull()).select("text")
+    got = map_texts(texts, measure, "lang string, size int, bin int, n long").groupBy("lang", "size", "bin").agg(F.sum("n").alias("n")).toArrow().to_pylist()
+    counts: dict[str, np.ndarray] = {}
+    for r in got:
+        counts.setdefault(r["lang"], np.zeros((sizes, bins), dtype=np.int64))[r["size"], r["bin"]] += r["n"]
+
+    def floor_of(row: np.ndarray, otherwise: float) -> float:
+        if row.sum() < enough:
+            return otherwise
+        return max(least, share * int(np.searchsorted(np.cumsum(row), low * row.sum())) / (bins - 1))
+
+    whole: list[float] = []
+    for row in sum(counts.values(), np.zeros((sizes, bins), dtype=np.int64)):
+        whole.append(floor_of(row, whole[-1] if whole else least))
+    return Floors({lang: [floor_of(row, f) for row, f in zip(n, whole, strict=True)] for lang, n in counts.items()}, whole)
+
+
+def predict(docs: DataFrame, model: Centroids, reject_below: float | Floors = 0.0, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
     """``docs`` (with a column text) with the language and its cosine appended as ``names``, other columns as they are.
 
     Null texts, texts without letters, and texts whose best cosine is under ``reject_below``
-    are ``und``. Whole texts count, however long.
+    (a number, or floors by language and size) are ``und``. Whole texts count, however long.
     """
     columns, at = docs.columns, docs.columns.index("text")
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    under = reject_below.under if isinstance(reject_below, Floors) else lambda lang, score, size: score < reject_below
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            got = [m.nearest(t) for t in batch.column(at).to_pylist()]
-            pred = [p if s >= reject_below else UNKNOWN for p, s in got]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*columns, *names])
+            got = [m.measured(t) for t in batch.column(at).to_pylist()]
+            pred = [UNKNOWN if under(*found) else found[0] for found in got]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array([s for _, s, _ in got], pa.float64())], names=[*columns, *names])
 
     schema = docs.select(*columns).schema.add(names[0], "string").add(names[1], "double")
     return map_texts(docs, label, schema)
