@@ -88,18 +88,17 @@ def exact_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     Texts are equal when they are identical once each run of ASCII white space is one
     space; null counts as empty, and empty texts are equal to one another. Of equal texts
     the row with the smallest doc_id is kept (a null id comes last; of one id with several
-    raw texts, the smallest text hash). Rows that repeat id and raw text all carry the
-    same decision. An empty table gives an empty result; other columns are ignored.
+    raw texts, the smallest text hash; of rows that repeat id and raw text, exactly one). An empty table gives an empty result; other columns are ignored.
     """
     ids, rows = identities(docs, block_bytes)
     of_rows = rows.select("doc_id", "dk", "rh", "text_sha256").join(ids, ["dk", "rh"])
-    of_rows = materialise(of_rows.withColumn("salt", F.pmod(F.xxhash64("dk", "rh"), F.lit(CLASS_SALTS)).cast("int")))
-    parts = of_rows.groupBy("level", "name", "salt").agg(F.min(F.struct("dk", "rh")).alias("k"), F.count("*").alias("c"))
+    of_rows = materialise(of_rows.withColumns({"salt": F.pmod(F.xxhash64("dk", "rh"), F.lit(CLASS_SALTS)).cast("int"), "rid": F.monotonically_increasing_id()}))
+    parts = of_rows.groupBy("level", "name", "salt").agg(F.min(F.struct("dk", "rh", "rid")).alias("k"), F.count("*").alias("c"))
     whole = parts.groupBy("level", "name").agg(F.min("k").alias("k"), F.sum("c").alias("group_size"))
     per_part = parts.select("level", "name", "salt").join(whole, ["level", "name"])
     joined = of_rows.join(per_part, ["level", "name", "salt"])
     keep = F.when(F.col("k.dk") != NULL_ID, F.col("k.dk"))
-    kept = (F.col("k.dk") == F.col("dk")) & (F.col("k.rh") == F.col("rh"))
+    kept = F.col("k.rid") == F.col("rid")
     return joined.select("doc_id", keep.alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", "dk", "rh")
 
 

@@ -39,6 +39,11 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingles(word_hashes((text or "").encode("utf-8", "replace"), SPACED), words))
 
 
+def row_key() -> Column:
+    """One key for each document id and raw text: rows without an id are apart unless their texts are equal."""
+    return F.xxhash64(doc_key(), F.col("text").cast("string"), F.col("text").isNull())
+
+
 def slot_counts(texts: DataFrame, words: int) -> np.ndarray:
     """How often the shingles of all documents fall into each slot: a rough frequency of every shingle."""
     slots = 1 << SLOT_BITS
@@ -73,14 +78,14 @@ def needed(n: Column, percent: int) -> Column:
 
 
 def signatures(docs: DataFrame, classes: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Rows (doc_id, dk, n, d1, d2, gid, prefix): size, digest of the set, and its prefix in the global order."""
+    """Rows (doc_id, dk, rk, n, d1, d2, gid, prefix): size, digest of the set, and its prefix in the global order."""
     sent = docs.sparkSession.sparkContext.broadcast(classes)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_slot = sent.value
         for batch in batches:
             sizes, d1, d2, gids, prefixes = [], [], [], [], []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(3).to_pylist():
                 s = shingle_set(text, words)
                 n = len(s)
                 alike = -(-n * percent // 100)
@@ -95,10 +100,10 @@ def signatures(docs: DataFrame, classes: np.ndarray, words: int, percent: int) -
             offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(sizes, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(gids, pa.int64()), prefix], names=["doc_id", "dk", "n", "d1", "d2", "gid", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), batch.column(2), pa.array(sizes, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(gids, pa.int64()), prefix], names=["doc_id", "dk", "rk", "n", "d1", "d2", "gid", "prefix"])
 
-    rows = docs.select("doc_id", doc_key().alias("dk"), F.col("text").cast("string"))
-    return map_texts(rows, sign, "doc_id long, dk long, n int, d1 long, d2 long, gid long, prefix array<long>")
+    rows = docs.select("doc_id", doc_key().alias("dk"), row_key().alias("rk"), F.col("text").cast("string"))
+    return map_texts(rows, sign, "doc_id long, dk long, rk long, n int, d1 long, d2 long, gid long, prefix array<long>")
 
 
 def fits(n: str, m: str, percent: int) -> Column:
@@ -150,22 +155,30 @@ def sharable(shared: DataFrame, percent: int) -> DataFrame:
     return ranked.join(of_gid.select("gid", "n", "k", "p"), ["gid", "n"]).select("token", "gid", "n", "cnt", "k", "p", at.alias("at"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those ``pairs`` (a, b: document keys) whose texts are alike, compared shingle by shingle.
+def in_bloom(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` whose rk may be one of ``keys`` (rk), by a broadcast Bloom filter of fixed size."""
+    bit = F.pmod(F.xxhash64("rk"), F.lit(1 << BLOOM_BITS))
+    mask = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rk), {1 << BLOOM_BITS}) & 63 AS int))")
+    bloom = keys.select(F.shiftright(bit, 6).alias("word"), mask.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))  # at most 2**(BLOOM_BITS - 6) rows
+    return rows.withColumn("word", F.shiftright(bit, 6)).join(F.broadcast(bloom), "word").filter(F.col("bits").bitwiseAND(mask) != 0).drop("word", "bits")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, repeated: DataFrame | None = None) -> DataFrame:
+    """Those ``pairs`` (a, b: row keys) whose texts are alike, compared shingle by shingle.
 
     Texts that can be part of a pair are found with a Bloom filter of fixed size over the
-    keys, then go to their pairs. No text goes anywhere if there are no pairs.
+    keys, then go to their pairs; of ``repeated`` rows (rk) one goes. No text goes anywhere
+    if there are no pairs.
     """
     pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
-    keys = pairs.select(F.col("a").alias("dk")).union(pairs.select("b"))
-    bit = F.pmod(F.xxhash64("dk"), F.lit(1 << BLOOM_BITS))
-    bits = keys.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(dk), {1 << BLOOM_BITS}) & 63 AS int))").alias("bit"))
-    bloom = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))  # at most 2**(BLOOM_BITS - 6) rows
-    texts = docs.select(doc_key().alias("dk"), F.col("text").cast("string").alias("text")).withColumn("word", F.shiftright(bit, 6))
-    has = F.expr(f"(bits & shiftleft(1L, cast(pmod(xxhash64(dk), {1 << BLOOM_BITS}) & 63 AS int))) <> 0")
-    some = materialise(texts.join(F.broadcast(bloom), "word").filter(has).select("dk", "text"))
-    with_a = skewed_join(pairs.withColumn("dk", F.col("a")), some.withColumnRenamed("text", "ta"), "dk").drop("dk")
-    with_both = skewed_join(with_a.withColumn("dk", F.col("b")), some.withColumnRenamed("text", "tb"), "dk").select("a", "b", "ta", "tb")
+    keys = pairs.select(F.col("a").alias("rk")).union(pairs.select("b"))
+    texts = docs.select(row_key().alias("rk"), F.col("text").cast("string").alias("text"))
+    some = materialise(in_bloom(texts, keys))
+    if repeated is not None:
+        several = skewed_join(some, repeated.withColumn("twice", F.lit(True)), "rk", "left")
+        some = materialise(several.filter("twice is null").drop("twice").unionByName(several.filter("twice").drop("twice").dropDuplicates(["rk"])))
+    with_a = skewed_join(pairs.withColumn("rk", F.col("a")), some.withColumnRenamed("text", "ta"), "rk").drop("rk")
+    with_both = skewed_join(with_a.withColumn("rk", F.col("b")), some.withColumnRenamed("text", "tb"), "rk").select("a", "b", "ta", "tb")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[int, int], np.ndarray] = {}
@@ -191,20 +204,23 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """For every row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, dk.
+    """For every row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, dk, rk, kept.
 
     A document's set are its distinct runs of ``words`` words (between ASCII white space,
     A-Z in lower case); a text with fewer words is one run; null and empty texts have none
-    and are linked with nothing. Documents are linked when 100 * intersection >=
+    and are linked with nothing. Rows are linked when 100 * intersection >=
     ``percent`` * union; component_id is the smallest doc_id reachable by links. A null id
-    counts as the largest one. Rows that share an id count as one document that has the
-    links of each. An empty table gives an empty result; other columns are ignored.
+    counts as the largest one. Every row is compared for itself, so rows without an id or of
+    one id are together only if their texts are. ``kept`` holds for exactly one row of a
+    component, one of the smallest id, and for all rows without words. An empty table gives an empty result; other columns are ignored.
     """
     classes = order_classes(slot_counts(docs.select(F.col("text").cast("string")), words))
-    signs = materialise(signatures(docs, classes, words, percent))
-    nodes = materialise(signs.filter("n > 0").groupBy("d1", "d2", "n", "gid").agg(F.min("dk").alias("dk")))
-    groups = materialise(nodes.groupBy("gid", "n").agg(F.min("dk").alias("leader"), F.count("*").alias("members")))
-    leaders = signs.select("dk", "gid", "n", "prefix").join(groups.select("gid", "n", F.col("leader").alias("dk")), ["gid", "n", "dk"], "left_semi")
+    signs = materialise(signatures(docs, classes, words, percent).withColumn("rid", F.monotonically_increasing_id()))
+    repeated = materialise(signs.filter("n > 0").groupBy("rk").count().filter("count > 1").select("rk"))
+    repeated = None if repeated.isEmpty() else repeated
+    nodes = materialise(signs.filter("n > 0").groupBy("d1", "d2", "n", "gid").agg(F.min(F.struct("dk", "rk", "rid")).alias("first")).withColumns({"rk": F.col("first.rk"), "rid": F.col("first.rid")}))
+    groups = materialise(nodes.groupBy("gid", "n").agg(F.min("rk").alias("leader"), F.min_by("rid", "rk").alias("rid"), F.count("*").alias("members")))
+    leaders = signs.select("rid", "gid", "n", "prefix").join(groups.select("gid", "n", "rid"), ["gid", "n", "rid"], "left_semi")
     postings = leaders.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     tokens = postings.groupBy("token").agg(F.count("*").alias("cnt"), F.min("gid").alias("some"), F.max("gid").alias("other"))
     tokens = materialise(tokens.filter("some <> other").select("token", "cnt"))
@@ -220,11 +236,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     to_pivot = skewed_join(to_pivot, sizes.select(F.col("gid").alias("pivot"), F.col("n").alias("m"), F.col("leader").alias("b")), "pivot").filter(fits("n", "m", percent))
     to_pivot = to_pivot.join(sizes.select("gid", "n", F.col("leader").alias("a")), ["gid", "n"]).select("a", "b")
     several = groups.filter("members > 1").select("gid", "n", F.col("leader").alias("b"))
-    to_leader = skewed_join(nodes.select("gid", F.col("n").alias("m"), F.col("dk").alias("a")), several, "gid").filter("n = m").select("a", "b")
-    families = materialise(components(verified(docs, to_pivot.union(to_leader), words, percent)))
+    to_leader = skewed_join(nodes.select("gid", F.col("n").alias("m"), F.col("rk").alias("a")), several, "gid").filter("n = m").select("a", "b")
+    families = materialise(components(verified(docs, to_pivot.union(to_leader), words, percent, repeated)))
 
     # All other pairs: groups that are not in one component, and share enough of their prefixes.
-    placed = nodes.select("dk", "gid", "n").join(families.withColumnRenamed("node", "dk"), "dk", "left").withColumn("c", F.coalesce("component", "dk")).drop("component")
+    placed = nodes.select("rk", "gid", "n").join(families.withColumnRenamed("node", "rk"), "rk", "left").withColumn("c", F.coalesce("component", "rk")).drop("component")
     placed = materialise(placed)
     of_group = placed.groupBy("gid", "n").agg(F.min("c").alias("c"), F.max("c").alias("c2")).select("gid", "n", "c", (F.col("c") != F.col("c2")).alias("mixed"))
     places = materialise(shared.select("token", "gid", "n", "at", "p").join(of_group, ["gid", "n"]))
@@ -246,30 +262,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     for x in "gh":
         met = skewed_join(met, prefixes.select(F.col("gid").alias(x), F.col("m"), F.col("p").alias(f"p{x}"), F.col("t").alias(f"t{x}"), F.col("a").alias(f"a{x}")), x).filter(F.col("m") == F.col(f"n{x}")).drop("m")
     met = met.filter(enough_shared(percent)).select("g", "h", "ng", "nh")
-    member = placed.select("gid", "n", "dk", "c")
-    across = skewed_join(met, member.select(F.col("gid").alias("g"), F.col("n").alias("n1"), F.col("dk").alias("a"), F.col("c").alias("ca")), "g").filter("n1 = ng")
-    across = skewed_join(across, member.select(F.col("gid").alias("h"), F.col("n").alias("n2"), F.col("dk").alias("b"), F.col("c").alias("cb")), "h").filter("n2 = nh and ca <> cb")
+    member = placed.select("gid", "n", "rk", "c")
+    across = skewed_join(met, member.select(F.col("gid").alias("g"), F.col("n").alias("n1"), F.col("rk").alias("a"), F.col("c").alias("ca")), "g").filter("n1 = ng")
+    across = skewed_join(across, member.select(F.col("gid").alias("h"), F.col("n").alias("n2"), F.col("rk").alias("b"), F.col("c").alias("cb")), "h").filter("n2 = nh and ca <> cb")
     mixed = of_group.filter("mixed").select("gid", "n")
     inner = member.join(mixed, ["gid", "n"])
-    within = skewed_join(inner.select("gid", "n", F.col("dk").alias("a"), F.col("c").alias("ca")), inner.select("gid", F.col("n").alias("m"), F.col("dk").alias("b"), F.col("c").alias("cb")), "gid").filter("n = m and a < b and ca <> cb")
-    more = verified(docs, across.select("a", "b").union(within.select("a", "b")), words, percent)
+    within = skewed_join(inner.select("gid", "n", F.col("rk").alias("a"), F.col("c").alias("ca")), inner.select("gid", F.col("n").alias("m"), F.col("rk").alias("b"), F.col("c").alias("cb")), "gid").filter("n = m and a < b and ca <> cb")
+    more = verified(docs, across.select("a", "b").union(within.select("a", "b")), words, percent, repeated)
     every = families.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
     final = components(every)
 
-    reached = nodes.join(final.withColumnRenamed("node", "dk"), "dk", "left").select("d1", "d2", "n", F.coalesce("component", "dk").alias("c"))
-    reached = materialise(reached.groupBy("d1", "d2", "n").agg(F.min("c").alias("c")))
-    rows = skewed_join(signs.select("doc_id", "dk", "d1", F.col("d2").alias("e2"), F.col("n").alias("m")), reached, "d1", "left").filter("c is null or (d2 = e2 and n = m)")
-    component = F.coalesce("c", "dk")
-    out = rows.select("doc_id", F.col("m").cast("long").alias("n_shingles"), component.alias("c"), "dk")
-    return out.select("doc_id", "n_shingles", F.when(F.col("c") != NULL_ID, F.col("c")).alias("component_id"), "dk")
+    reached = materialise(nodes.join(final.withColumnRenamed("node", "rk"), "rk", "left").select("d1", "d2", "n", "first", F.coalesce("component", "rk").alias("c")))
+    reached = skewed_join(reached.drop("first"), reached.groupBy("c").agg(F.min("first").alias("head")), "c").select("d1", "d2", "n", F.col("head.dk").alias("c"), F.col("head.rid").alias("head"))
+    reached = materialise(reached)
+    rows = skewed_join(signs.select("doc_id", "dk", "rk", "rid", "d1", F.col("d2").alias("e2"), F.col("n").alias("m")), reached, "d1", "left").filter("head is null or (d2 = e2 and n = m)")
+    out = rows.select("doc_id", F.col("m").cast("long").alias("n_shingles"), F.coalesce("c", "dk").alias("c"), "dk", "rk", F.coalesce(F.col("head") == F.col("rid"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("c") != NULL_ID, F.col("c")).alias("component_id"), "dk", "rk", "kept")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with the document of the smallest id of each component, all columns as they were.
+    """``docs`` with one row, of the smallest id, of each component, all columns as they were.
 
-    Documents without words are components of their own and stay.
+    Rows without words are components of their own and stay.
     """
-    dk = fresh(docs, "_dk")[0]
-    found = near_duplicates(docs, words, percent)
-    gone = found.filter(F.coalesce("component_id", F.lit(NULL_ID)) != F.col("dk")).select(F.col("dk").alias(dk)).distinct()
-    return docs.withColumn(dk, doc_key()).join(gone, dk, "left_anti").select(*docs.columns)
+    rk = fresh(docs, "_rk")[0]
+    keys = materialise(near_duplicates(docs, words, percent).groupBy(F.col("rk").alias(rk)).agg(F.max("kept").alias("some"), F.min("kept").alias("every")))
+    keyed = docs.withColumn(rk, row_key())
+    whole = keyed.join(keys.filter("not every").select(rk), rk, "left_anti").select(*docs.columns)
+    several = keys.filter("some and not every").select(rk)  # repeated rows, of which one stays
+    if several.isEmpty():
+        return whole
+    return whole.unionByName(keyed.join(several, rk, "left_semi").dropDuplicates([rk]).select(*docs.columns))
