@@ -1,15 +1,16 @@
 """Mixing sources to target token weights by entropy balancing.
 
-The mix gives each document a rate r_d, the expected number of its copies. Among all
-rates that meet the token constraint of every source (sum of size_d * r_d = target), the
-one of least relative entropy to taking every token once is r_d = exp(lambda_source): an
-exponential tilt. The multipliers maximise a concave dual whose gradient and curvature
-are token totals per source, so each Newton step runs on the table of sources, which
-stays distributed; the documents are read once for those totals.
+The mix gives each document a rate r_d, the expected number of its copies. Among all rates
+that meet the token constraint of every source (sum of size_d * r_d = target) and are at
+most ``most``, it takes those of least relative entropy to one copy of every document.
+These are exponentially tilted by size: r_d = min(most, exp(lambda_source * x_d)), where
+x_d is the size in units of the source's mean size. The multipliers maximise a concave
+dual; a Newton step adds up gradient and curvature of all documents, grouped by source.
+Documents of one source and size have one rate, so they are counted by size first.
 
 Rates become whole copies by systematic rounding over documents sorted by size, in parts
 of about PART documents. What is then missing or over per source is moved by a greedy
-choice among a few documents of each size class.
+choice among a few documents of each size class. Everything runs on built-in functions.
 """
 
 from __future__ import annotations
@@ -18,12 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, doc_key, fresh, join_bounded, materialise, row_hash, text_or_empty
+from .common import WORD, doc_key, join_bounded, materialise, numbered, ranked, row_hash, text_or_empty
 
 PART = 1024
-NEWTON_STEPS = 60
+#: Newton steps end when every source is within this share of its target, or after so many.
+TOLERANCE, MOST_STEPS = 1e-8, 60
+#: Rates are rounded in units of 2**-UNIT, so that sums of them are exact.
+UNIT = 30
 #: Candidates of each size class and source for the last correction.
 CHOICES = 8
+#: What makes a row a document; rows that agree on all of it are interchangeable.
+KEY = ["src", "dk", "rh"]
 
 
 def word_count() -> Column:
@@ -36,77 +42,126 @@ def source_key() -> Column:
 
 
 def waterfill(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """Add ``target`` to (src, source_size): shares of ``share`` times all sizes by repeating ``weights``.
+    """Add ``target`` to (src, source_size, n_docs): shares of ``share`` times all sizes by repeating ``weights``.
 
     A target is never above ``most`` times its source's size; what that cuts off is shared
-    again by weight. All sources then stand at weight * level or at their limit, and the
-    level follows from the limits sorted by limit / weight. The table has a row a source.
+    again by weight. All sources then stand at weight * level or at their limit. The sum of
+    the targets grows with the level in ever flatter pieces, so Newton steps from below,
+    each one aggregation over the sources, meet the level after finitely many.
     """
-    every = W.orderBy("src")
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(every) - 1) % len(weights) + 1).cast("int"))
-    t = sources.withColumn("w", w).withColumn("limit", F.col("source_size") * most)
-    by_ratio = W.orderBy(F.col("limit") / F.col("w"), "src")
-    # Level if every source before this one is at its limit and none from here on.
-    t = t.withColumn("before", F.coalesce(F.sum("limit").over(by_ratio.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-    t = t.withColumn("rest", F.sum("w").over(by_ratio.rowsBetween(W.currentRow, W.unboundedFollowing)))
-    t = t.withColumn("budget", share * F.sum("source_size").over(W.partitionBy()))
-    t = t.withColumn("level", (F.col("budget") - F.col("before")) / F.col("rest"))
-    fits = F.min(F.when(F.col("level") * F.col("w") <= F.col("limit"), F.struct((F.col("limit") / F.col("w")).alias("ratio"), "src", "level"))).over(W.partitionBy())
-    return t.withColumn("target", F.least(F.col("limit"), F.coalesce(F.col("w") * fits["level"], F.col("limit")))).select("src", "source_size", "n_docs", "target")
-
-
-def newton_rate(total: Column, target: Column, most: float, steps: int = NEWTON_STEPS) -> Column:
-    """exp(lambda) where lambda maximises lambda * target - total * exp(lambda), by Newton steps from 0."""
-    def step(x: Column, _: Column) -> Column:
-        mass = total * F.exp(x)  # curvature; the gradient is target - mass
-        return x + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (target - mass) / mass))
-
-    solved = F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step))
-    return F.when((total <= 0) | (target <= 0), F.lit(0.0)).otherwise(F.least(F.lit(float(most)), solved))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    t = ranked(sources, "src").select("src", "source_size", "n_docs", w.alias("w"), (F.col("source_size") * most).alias("limit"))
+    total, of_all, limits = t.agg(F.sum("source_size"), F.sum("w"), F.sum("limit")).first()
+    budget = share * (total or 0)
+    level = budget / of_all if of_all else 0.0
+    while of_all and budget < limits:
+        full = F.col("limit") <= F.col("w") * level
+        at_limit, rest = t.agg(F.sum(F.when(full, F.col("limit"))), F.sum(F.when(~full, F.col("w")))).first()
+        step = (budget - (at_limit or 0.0)) / rest if rest else level
+        if step <= level:
+            break
+        level = step
+    target = F.col("limit") if budget >= (limits or 0) else F.least(F.col("limit"), F.col("w") * level)
+    return t.select("src", "source_size", "n_docs", target.alias("target"))
+
+
+def tilted(lam: Column, x: Column, most: float) -> Column:
+    """Rate of a document of relative size ``x`` under multiplier ``lam``."""
+    return F.exp(F.least(lam * x, F.log(F.lit(float(most)))))
+
+
+def newton_step(points: DataFrame, state: DataFrame, most: float, few: bool) -> DataFrame:
+    """``state`` (src, goal, lam, lo, hi, done) after one step, which adds up ``points`` (src, n, x) once.
+
+    ``few`` says that the sources are few enough to be broadcast.
+    """
+    at = state.filter("not done").select("src", "lam")
+    rate = tilted(F.col("lam"), F.col("x"), most)
+    free = F.col("lam") * F.col("x") < F.log(F.lit(float(most)))
+    met = points.join(F.broadcast(at), "src") if few else join_bounded(points, at, ["src"])
+    moments = met.groupBy("src").agg(F.sum(F.col("n") * F.col("x") * rate).alias("mass"), F.sum(F.when(free, F.col("n") * F.col("x") * F.col("x") * rate)).alias("curvature"))
+    gap = F.col("goal") - F.col("mass")
+    lo, hi = F.when(gap > 0, F.col("lam")).otherwise(F.col("lo")), F.when(gap < 0, F.col("lam")).otherwise(F.col("hi"))
+    newton = F.col("lam") + gap / F.col("curvature")
+    inside = newton.isNotNull() & (lo.isNull() | (newton > lo)) & (hi.isNull() | (newton < hi))
+    outwards = F.col("lam") * 2 + F.signum(gap)
+    lam = F.when(inside, newton).when(lo.isNull() | hi.isNull(), outwards).otherwise((lo + hi) / 2)
+    done = F.col("done") | (F.abs(gap) <= F.col("goal") * TOLERANCE)
+    moments = F.broadcast(moments) if few else moments
+    return state.join(moments, "src", "left").select("src", "goal", F.when(done, F.col("lam")).otherwise(lam).alias("lam"), lo.alias("lo"), hi.alias("hi"), F.coalesce(done, F.col("done")).alias("done"))
+
+
+def multipliers(sizes: DataFrame, sources: DataFrame, most: float) -> DataFrame:
+    """Rows (src, lam): the dual's maximum for each source, by Newton steps inside a bracket.
+
+    ``sizes`` has (src, size, n), ``sources`` (src, source_size, n_docs, target). Each step
+    is one aggregation: gradient target / mean - sum(n * x * rate), curvature the sum of
+    n * x^2 * rate where the rate is under the limit. A step that leaves the bracket is
+    replaced by its middle, or by one twice as far out where that side is still open.
+    Multipliers are rounded, so that the order of additions does not show. Sources at their limit or without words need no multiplier:
+    their rate is the limit everywhere.
+    """
+    x = F.col("size") * F.col("n_docs") / F.col("source_size")
+    goal = F.col("target") * F.col("n_docs") / F.col("source_size")
+    active = sources.filter((F.col("source_size") > 0) & (F.col("target") < F.col("source_size") * most))
+    points = materialise(join_bounded(sizes.filter("size > 0"), active.select("src", "source_size", "n_docs"), ["src"]).select("src", "n", x.alias("x")))
+    unknown = F.lit(None).cast("double")
+    state = materialise(active.select("src", goal.alias("goal"), F.lit(0.0).alias("lam"), unknown.alias("lo"), unknown.alias("hi"), F.lit(False).alias("done")))
+    few = sources.count() <= 200_000
+    for _ in range(MOST_STEPS):
+        state = materialise(newton_step(points, state, most, few))
+        if state.filter("not done").isEmpty():
+            break
+    return state.select("src", F.round("lam", 9).alias("lam"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """For every row of ``docs`` (doc_id, text, source): how often the mix takes it.
 
     Returns doc_id, size (words; null text: 0), source_size, target (its source's), taken
-    (size * copies), copies, rate, dk, rh. ``weights`` go to the sources by code point, null
-    last, repeating. Copies are whole, at most ``most`` rounded up. Sources whose documents
-    have no words get target 0. Ties in size are broken by key; a repeated row is a document
-    of its own, except that the last correction gives repeats the same change. An empty
-    table gives an empty result.
+    (size * copies), copies, rate, src, dk, rh, occ. ``weights`` go to the sources by code
+    point, null last, repeating. Copies are whole, 0 to ``most`` (rounded up). Sources whose
+    documents have no words get target 0. Ties in size are broken by key; rows that repeat
+    id, text and source are documents of their own, numbered by ``occ``. An empty table
+    gives an empty result; other columns are ignored.
     """
     base = docs.select("doc_id", doc_key().alias("dk"), row_hash().alias("rh"), source_key().alias("src"), word_count().alias("size"))
-    base = materialise(base)
-    sources = base.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    rates = waterfill(sources, weights, share, most)
-    rates = materialise(rates.withColumn("rate", newton_rate(F.col("source_size").cast("double"), F.col("target"), most)))
-    rows = join_bounded(base, rates, ["src"])
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("dk", "rh"), F.greatest(F.lit(1), F.floor(F.col("n_docs") / PART))))
-    in_part = W.partitionBy("src", "part").orderBy(F.desc("size"), "dk", "rh")
-    k = F.row_number().over(in_part)
-    phase = F.pmod(F.xxhash64("src", "part"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rows = rows.withColumn("k", k).withColumn("phase", phase)
-    copies = F.floor(F.col("k") * F.col("rate") + F.col("phase")) - F.floor((F.col("k") - 1) * F.col("rate") + F.col("phase"))
-    rounded = materialise(rows.withColumn("copies", copies).select("doc_id", "dk", "rh", "src", "size", "source_size", "target", "rate", "copies"))
-
-    fixes = corrections(rounded, most)
-    mixed = rounded.join(fixes, ["dk", "rh"], "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", "dk", "rh")
+    base = materialise(base.withColumn("rid", F.monotonically_increasing_id()))
+    sizes = materialise(base.groupBy("src", "size").agg(F.count("*").alias("n")))
+    sources = sizes.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
+    sources = materialise(waterfill(sources, weights, share, most))
+    sources = materialise(sources.join(multipliers(sizes, sources, most), "src", "left"))
+    rows = join_bounded(numbered(base, KEY).drop("rid"), sources, ["src"])
+    x = F.col("size") * F.col("n_docs") / F.col("source_size")
+    limit = F.when(F.col("source_size") > 0, F.lit(float(most))).otherwise(1.0)
+    rows = rows.withColumn("rate", F.when(F.col("lam").isNull(), limit).otherwise(tilted(F.col("lam"), x, most)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("dk", "rh", "occ"), F.greatest(F.lit(1), F.floor(F.col("n_docs") / PART))))
+    whole = F.lit(1 << UNIT)
+    in_part = W.partitionBy("src", "part").orderBy(F.desc("size"), "dk", "rh", "occ").rowsBetween(W.unboundedPreceding, 0)
+    units = F.round(F.col("rate") * whole).cast("long")
+    upto = F.sum("units").over(in_part) + F.pmod(F.xxhash64("src", "part"), whole)
+    floor = lambda v: F.shiftright(v, UNIT)
+    copies = F.least(floor(F.col("upto")) - floor(F.col("upto") - F.col("units")), F.lit(-int(-most // 1)))
+    rounded = rows.withColumn("units", units).withColumn("upto", upto).withColumn("copies", copies)
+    rounded = materialise(rounded.select("doc_id", *KEY, "occ", "size", "source_size", "target", "rate", "copies"))
+
+    mixed = rounded.join(corrections(rounded, most), [*KEY, "occ"], "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", *KEY, "occ")
 
 
 def corrections(rounded: DataFrame, most: float) -> DataFrame:
-    """Rows (dk, rh, change of copies): at most CHOICES documents of each size class and source.
+    """Rows (src, dk, rh, occ, change of copies): at most 2 * CHOICES documents of each size class and source.
 
-    Each may gain a copy or lose one. A greedy pass from large to small makes every such
-    change that brings its source nearer to the target, so what remains is about the size of
-    a small document.
+    Each may gain a copy, if it has less than ``most``, or lose one, if it has any. A greedy
+    pass from large to small makes every such change that brings its source nearer to the
+    target, so what remains is about the size of a small document.
     """
     gap = rounded.groupBy("src").agg(F.round(F.first("target") - F.sum(F.col("copies") * F.col("size"))).cast("long").alias("gap"))
     kind = F.floor(F.log2(F.col("size"))).cast("int")
-    pick = F.struct(F.xxhash64("dk", "rh").alias("h"), "dk", "rh", "size")
+    pick = F.struct(F.xxhash64("dk", "rh", "occ").alias("h"), "dk", "rh", "occ", "size")
     options = rounded.filter("size > 0").select("src", kind.alias("kind"), pick.alias("d"), (F.col("copies") + 1 <= int(most)).alias("more"), (F.col("copies") > 0).alias("less"))
     best = options.groupBy("src", "kind", F.pmod("d.h", F.lit(CHOICES)).alias("of")).agg(F.max(F.when(F.col("more"), F.col("d"))).alias("up"), F.max(F.when(F.col("less"), F.col("d"))).alias("down"))
-    move = lambda d, sign: F.struct(d["size"].alias("size"), F.lit(sign).cast("long").alias("change"), d["dk"].alias("dk"), d["rh"].alias("rh"))
+    move = lambda d, sign: F.struct(d["size"].alias("size"), F.lit(sign).cast("long").alias("change"), d["dk"].alias("dk"), d["rh"].alias("rh"), d["occ"].alias("occ"))
     moves = best.select("src", F.explode(F.array(move(F.col("up"), 1), move(F.col("down"), -1))).alias("m")).filter("m.size is not null")
     lists = moves.groupBy("src").agg(F.sort_array(F.collect_list("m"), asc=False).alias("ms")).join(gap, "src")
     empty = F.filter("ms", lambda m: F.lit(False))
@@ -117,13 +172,25 @@ def corrections(rounded: DataFrame, most: float) -> DataFrame:
         return F.struct(F.when(better, left).otherwise(acc["left"]).alias("left"), F.when(better, F.concat(acc["taken"], F.array(m))).otherwise(acc["taken"]).alias("taken"))
 
     taken = F.aggregate("ms", F.struct(F.col("gap").alias("left"), empty.alias("taken")), take)["taken"]
-    return lists.select(F.explode(taken).alias("m")).groupBy("m.dk", "m.rh").agg(F.sum("m.change").alias("change"))
+    return lists.select("src", F.explode(taken).alias("m")).groupBy("src", "m.dk", "m.rh", "m.occ").agg(F.sum("m.change").alias("change"))
 
 
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``docs`` as the mix takes them: every row as often as it has copies, columns as they were."""
-    dk, rh, copies, n = fresh(docs, "_dk", "_rh", "_copies", "_n")
-    plan = mix(docs, weights, share, most).groupBy(F.col("dk").alias(dk), F.col("rh").alias(rh)).agg(F.sum("copies").cast("int").alias(copies))
-    keyed = docs.withColumns({dk: doc_key(), rh: row_hash()}).join(plan.filter(F.col(copies) > 0), [dk, rh])
-    once = keyed.withColumn(n, F.row_number().over(W.partitionBy(dk, rh).orderBy(rh))).filter(F.col(n) == 1)
-    return once.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+    """``docs`` as the mix takes them: every row as often as it has copies, columns as they were.
+
+    Of rows that repeat id, text and source, which one has which number of copies is not
+    defined.
+    """
+    plan = materialise(mix(docs, weights, share, most).select(*KEY, "occ", F.col("copies").cast("int").alias("copies")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(whole, source_key().alias("src"), doc_key().alias("dk"), row_hash().alias("rh"))
+    several = plan.filter("occ > 0").select(*KEY).distinct()
+    taken = plan.filter("copies > 0")
+    if several.isEmpty():
+        out = keyed.join(taken.drop("occ"), KEY)
+    else:
+        several = materialise(several)
+        out = keyed.join(several, KEY, "left_anti").join(taken.drop("occ"), KEY).select("row", "copies")
+        repeated = materialise(keyed.join(several, KEY, "left_semi").withColumn("rid", F.monotonically_increasing_id()))
+        out = out.unionByName(numbered(repeated, KEY).join(taken, [*KEY, "occ"]).select("row", "copies"))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
