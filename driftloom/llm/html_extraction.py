@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import map_texts
 from .html_pages import labelled_pages
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: A tag from its "<" on. Quotes count after "=" only, as in browsers; nothing is tried twice.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
 NAMES = re.compile(r"""\b(class|id|role|data-main)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -36,55 +37,108 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 LISTS = frozenset(["ul", "ol", "dl", "table"])
 
 
+#: Elements nested deeper than this become siblings of the deepest one, as in browsers.
+DEEPEST = 512
+
+
+class Element:
+    """An open element: its tag, the words of its names, its parent, and whether it is marked as main text."""
+
+    __slots__ = ("inherited", "main", "names", "parent", "tag")
+
+    def __init__(self, tag: str, names: frozenset[str], parent: Element | None, main: bool):
+        self.tag, self.names, self.parent = tag, names, parent
+        self.main = main or (parent is not None and parent.main)
+        self.inherited = None  # what a field keeps of its features and its ancestors'
+
+    def own_features(self) -> list[str]:
+        """Features that every block inside has."""
+        out = [] if self.tag in ("html", "body") else [f"in={self.tag}"]
+        out += [f"name={n}" for n in self.names]
+        if self.parent is not None:
+            out.append(f"chain={self.parent.tag}>{self.tag}")
+        return out
+
+    def innermost_features(self) -> list[str]:
+        """Features of the blocks whose innermost element this is."""
+        return [f"tag={self.tag}"] if self.parent is None else [f"tag={self.tag}", f"above={self.parent.tag}"]
+
+
 @dataclass
 class Block:
     text: str
     linked: int  # code points inside links
-    context: tuple[tuple[str, frozenset[str]], ...]  # ancestors from the outermost: tag and name words
+    element: Element | None  # the innermost one
     main: bool
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order, white space collapsed, references decoded, empty ones left out."""
+    """The leaf blocks of a page in order, white space collapsed, references decoded, empty ones left out.
+
+    The work grows with the page's length only: every tag is read once, and what is open of
+    each tag is looked up, not searched for.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], bool]] = []
+    stack: list[Element] = []
+    where: dict[str, list[int]] = {}  # depths of the open elements of each tag
     parts: list[str] = []
     state = {"links": 0, "linked": 0, "dropped": 0}
 
     def flush() -> None:
+        if not parts:
+            return
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, min(state["linked"], len(text)), tuple((t, n) for t, n, _ in stack), any(m for _, _, m in stack)))
+            top = stack[-1] if stack else None
+            out.append(Block(text, min(state["linked"], len(text)), top, top is not None and top.main))
         parts.clear()
         state["linked"] = 0
 
     def say(raw: str) -> None:
         if raw and not state["dropped"]:
-            text = html.unescape(raw) if "&" in raw else raw
+            text = decoded(raw) if "&" in raw else raw
             parts.append(text)
             if state["links"]:
                 state["linked"] += len(text)
 
     def pop_to(depth: int) -> None:
         flush()
-        for t, _, _ in stack[depth:]:
-            state["dropped"] -= t in DROPPED
+        for e in reversed(stack[depth:]):
+            state["dropped"] -= e.tag in DROPPED
+            where[e.tag].pop()
         del stack[depth:]
 
+    def deepest(tags) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=-1)
+
     at, end_of = 0, len(page)
     while at < end_of:
-        m = TOKEN.search(page, at)
-        if not m:
+        start = page.find("<", at)
+        if start < 0 or start + 1 >= end_of:
             say(page[at:])
             break
-        say(page[at : m.start()])
-        at = m.end()
-        close, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
+        say(page[at:start])
+        mark = page[start + 1]
+        if mark in "!?" or (mark == "/" and not page[start + 2 : start + 3].isalpha()):  # comments, declarations, stray ends
+            comment = page.startswith("<!--", start)
+            stop = page.find("-->" if comment else ">", start + (4 if comment else 2))
+            at = end_of if stop < 0 else stop + (3 if comment else 1)
             continue
-        name = name.lower()
+        if mark != "/" and not (mark.isascii() and mark.isalpha()):
+            say("<")
+            at = start + 1
+            continue
+        m = TAG.match(page, start)
+        if not m:
+            if mark == "/" and not page[start + 2].isascii():
+                say("<")
+                at = start + 1
+                continue
+            break  # a tag that is never closed swallows the rest
+        at = m.end()
+        close, name, rest = m[1], m[2].lower(), m[3]
         if name in RAW and not close:
-            stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+            stop = re.compile(rf"</{name}\b[^>]*+>?", re.I).search(page, at)
             at = stop.end() if stop else end_of
         elif name == "br":
             parts.append(" ")
@@ -95,28 +149,27 @@ def blocks(page: str) -> list[Block]:
             if name == "a":
                 state["links"] = 0 if close else 1
         elif close:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is None:
-                flush()
+            if where.get(name):
+                pop_to(where[name][-1])
             else:
-                pop_to(depth)
+                flush()
             state["links"] = 0
         else:
             flush()
             state["links"] = 0
-            if stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
+            if stack and stack[-1].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
                 pop_to(len(stack) - 1)
             if name in CLOSES:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in LISTS:
-                        break
-                    if stack[i][0] in CLOSES[name]:
-                        pop_to(i)
-                        break
+                ends = deepest(CLOSES[name])
+                if ends > deepest(LISTS):
+                    pop_to(ends)
             if name == "body":
                 pop_to(0)
-            names = NAMES.findall(rest) if rest else []
-            stack.append((name, _words(names), any(n[0].lower() == "data-main" for n in names)))
+            if len(stack) >= DEEPEST:
+                pop_to(DEEPEST - 1)
+            names = NAMES.findall(rest) if rest else ()
+            where.setdefault(name, []).append(len(stack))
+            stack.append(Element(name, _words(names) if names else NO_NAMES, stack[-1] if stack else None, any(n[0].lower() == "data-main" for n in names)))
             state["dropped"] += name in DROPPED
             if rest.endswith("/") and name in DROPPED:
                 pop_to(len(stack) - 1)
@@ -124,19 +177,25 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+NO_NAMES: frozenset[str] = frozenset()
+LONG_REFERENCE = re.compile(r"&#0*+[0-9]{8,};?")
+
+
+def decoded(raw: str) -> str:
+    """``raw`` with its character references decoded; numbers beyond any character are U+FFFD."""
+    return html.unescape(LONG_REFERENCE.sub("\ufffd", raw) if "&#" in raw else raw)
+
+
 def _words(names: list[tuple[str, ...]]) -> frozenset[str]:
     return frozenset(w.lower().rstrip("s") or w.lower() for n in names if n[0].lower() != "data-main" for w in PART.findall(n[1] or n[2] or n[3]))
 
 
-def context_features(context: tuple[tuple[str, frozenset[str]], ...]) -> list[str]:
-    out = {f"tag={context[-1][0]}" if context else "tag="}
-    for tag, names in context:
-        if tag not in ("html", "body"):
-            out.add(f"in={tag}")
-        out |= {f"name={n}" for n in names}
-    out |= {f"chain={a}>{b}" for (a, _), (b, _) in zip(context, context[1:], strict=False)}
-    if len(context) > 1:
-        out.add(f"above={context[-2][0]}")
+def context_features(element: Element | None) -> list[str]:
+    """All features of a block from its innermost element and that one's ancestors."""
+    out, e = set(element.innermost_features() if element else ["tag="]), element
+    while e is not None:
+        out.update(e.own_features())
+        e = e.parent
     return sorted(out)
 
 
@@ -160,19 +219,54 @@ class Field:
     moves: np.ndarray
     first: np.ndarray
     last: np.ndarray
-    _context: dict = field(default_factory=dict)
     _text: dict = field(default_factory=dict)
+    _own: dict = field(default_factory=dict)
+    _innermost: dict = field(default_factory=dict)
+
+    def _of_text(self, key: tuple) -> float:
+        found = self._text.get(key)
+        if found is None:
+            found = self._text[key] = sum(self.weights.get(f, 0.0) for f in text_features(key))
+        return found
 
-    def _sum(self, cache: dict, key, features) -> float:
+    def _inherited(self, element: Element) -> tuple[frozenset[str], float]:
+        """The features known here that blocks inside ``element`` have from it and its ancestors, and their sum.
+
+        Kept on every element: it shares its parent's set unless it adds a known feature.
+        """
+        path, e = [], element
+        while e is not None and e.inherited is None:
+            path.append(e)
+            e = e.parent
+        have, total = e.inherited if e is not None else (frozenset(), 0.0)
+        for e in reversed(path):
+            own = self._known(self._own, e, Element.own_features)
+            if own and not own <= have:
+                have, total = have | own, total + sum(self.weights[f] for f in sorted(own - have))
+            e.inherited = have, total
+        return have, total
+
+    def _known(self, cache: dict, e: Element, features) -> frozenset[str]:
+        """Those of an element's features that have a weight."""
+        key = (e.tag, e.names, e.parent.tag if e.parent is not None else None)
         found = cache.get(key)
         if found is None:
             if len(cache) > 50_000:
                 cache.clear()
-            found = cache[key] = sum(self.weights.get(f, 0.0) for f in features(key))
+            found = cache[key] = frozenset(f for f in features(e) if f in self.weights)
         return found
 
     def scores(self, page: list[Block]) -> list[float]:
-        return [self._sum(self._context, b.context, context_features) + self._sum(self._text, text_key(b), text_features) for b in page]
+        out, last, context = [], None, self.weights.get("tag=", 0.0)
+        for b in page:
+            if b.element is not last:
+                last = b.element
+                if last is None:
+                    context = self.weights.get("tag=", 0.0)
+                else:
+                    context = self._inherited(last)[1] + sum(self.weights[f] for f in sorted(self._known(self._innermost, last, Element.innermost_features)))
+            out.append(context + self._of_text(text_key(b)))
+        return out
 
     def viterbi(self, scores: list[float]) -> list[int]:
         """The best labels for blocks with these scores for label 1 (label 0 has 0)."""
@@ -210,7 +304,7 @@ def train(pages: list[str] | None = None, steps: int = 120, rate: float = 0.15,
     for i, chain in enumerate(chains):
         for j, b in enumerate(chain):
             y[i, j], mask[i, j] = b.main, True
-            for f in [*context_features(b.context), *text_features(text_key(b))]:
+            for f in [*context_features(b.element), *text_features(text_key(b))]:
                 rows.append(i * longest + j)
                 columns.append(index.setdefault(f, len(index)))
     rows, columns = np.array(rows), np.array(columns)
@@ -253,8 +347,10 @@ def extract(pages: DataFrame, model: Field | None = None) -> DataFrame:
 
     Blocks of the main text are joined by one line feed in page order; inside a block white
     space is one space. Null html is empty; a page without main text gives the empty
-    string. Broken markup (missing or stray end tags, cut-off pages) is read as browsers
-    do in the common cases, and never fails. Whole pages count, however long.
+    string. White space is what Unicode counts as such, no-break spaces included. Broken
+    markup (missing or stray end tags, cut-off pages) is read as browsers do in the common
+    cases, and never fails; a tag that is cut off by the end of the page is left out.
+    Whole pages count, however long, in time in proportion to their length.
     """
     names = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
     sent = pages.sparkSession.sparkContext.broadcast(model or train())
