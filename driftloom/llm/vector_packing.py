@@ -4,7 +4,8 @@ A document is its token ids and an end token. Documents above the sequence lengt
 from the end into full pieces, so that only the first piece may be shorter. Pieces are
 dealt by hash to groups of about GROUP_DOCS documents; each group packs its pieces, longest
 first, and every piece goes to the open sequence that fits best under three capacities:
-tokens, documents and attention cost (the sum of squared lengths).
+tokens, documents and attention cost (the sum of squared lengths). Sequences that stay
+emptier than most are packed again across groups.
 """
 
 from __future__ import annotations
@@ -21,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import shipped
-from .common import map_texts
+from .common import map_texts, materialise
 
 GROUP_DOCS = 10_000
 END = 2
+#: Sequences filled less than this are packed again together with those of other groups.
+FULL = 0.97
+PACKED = "doc_id, piece, start, length, ids_crc32, slot, sequence_id, offset, open"
 
 
 @lru_cache(maxsize=2)
@@ -32,24 +36,28 @@ def encoder(path: str):
     """A fast encoder for a byte-level BPE vocabulary file, whose ids are merge ranks.
 
     The file spells each byte as a printable character: those that are printable stand for
-    themselves, the others take the code points from 256 on in order. Texts that contain
-    the file's special tokens are encoded as ordinary text.
+    themselves, the others take the code points from 256 on in order. The file's added
+    tokens, wherever they stand in a text, are their ids.
     """
     import tiktoken
 
     model = json.load(open(path, encoding="utf-8"))
+    added = model.get("added_tokens", [])
+    unusual = [t["content"] for t in added if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+    if unusual or model.get("normalizer"):
+        raise ValueError(f"{path} has a normalizer or added tokens with conditions ({unusual}), which this encoder does not know")
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in set(plain)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-    special = {t["content"] for t in model.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in added}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
     # The pattern of byte-level BPE: contractions, words, numbers, other signs, white space.
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    return tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def token_ids(text: str | None, path: str) -> np.ndarray:
-    ids = encoder(path).encode_ordinary(text or "")
+    ids = encoder(path).encode(text or "", allowed_special="all")
     ids.append(END)
     return np.array(ids, dtype="<u4")
 
@@ -114,23 +122,49 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 1024, most_docs: int =
     """Pack every row of ``docs`` (doc_id, text) into sequences of at most ``length`` tokens.
 
     Returns per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null
-    text is empty and is the end token alone. ``most_cost`` (default length squared, which
-    never binds) is raised to a piece's own cost where that is above it. Repeated rows are
-    packed each for themselves. An empty table gives an empty result; other columns are
-    ignored.
+    text is empty and is the end token alone. Of the capacities, ``most_docs`` and
+    ``most_cost`` (attention cost, the sum of squared lengths; default: length squared)
+    never bind at their defaults, as each document has a token and the square of a sum is
+    at least the sum of squares: fewest sequences are asked for. Smaller ones bind, and then
+    cost sequences; ``most_cost`` is raised to a piece's own cost where that is above it.
+
+    Every group packs its pieces, then the sequences that were left emptier than FULL are
+    opened again and their pieces packed once more, many groups together. Repeated rows
+    are packed each for themselves; which of them gets which place depends on how the
+    input is split. An empty table gives an empty result; other columns are ignored.
     """
-    cost = max(most_cost or length * length, length * length if most_cost is None else 1)
+    cost = length * length if most_cost is None else most_cost
     groups = max(1, round(docs.count() / GROUP_DOCS))
-    cut = pieces(docs, vocabulary, length).withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "slot"), F.lit(groups)).cast("long"))
-
-    def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "slot"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        sizes = rows["length"].to_numpy()
-        single = (sizes >= length) | (sizes.astype(np.float64) ** 2 >= cost)  # a sequence each
-        bins, offsets = best_fit(sizes[~single], (length, most_docs, cost), weights, rule)
-        number, offset = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
-        number[single] = np.arange(single.sum())
-        number[~single], offset[~single] = bins + single.sum(), offsets
-        return rows.assign(sequence_id=key[0] * (1 << 40) + number, offset=offset)[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
-
-    return shipped(cut).groupBy("g").applyInPandas(fill, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    cut = pieces(docs, vocabulary, length).withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "slot"), F.lit(groups)).cast("long"))
+
+    def fill(first: int):
+        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32", "slot"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
+            sizes = rows["length"].to_numpy()
+            single = (sizes >= length) | (sizes.astype(np.float64) ** 2 >= cost)  # a sequence each
+            bins, offsets = best_fit(sizes[~single], (length, most_docs, cost), weights, rule)
+            number, offset = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
+            number[single] = np.arange(single.sum())
+            number[~single], offset[~single] = bins + single.sum(), offsets
+            filled = np.bincount(number, weights=sizes)[number]
+            return rows.assign(sequence_id=(key[0] + first) * (1 << 40) + number, offset=offset, open=filled < FULL * length)[[*PACKED.split(", ")]]
+
+        return run
+
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, slot long, sequence_id long, offset long, open boolean"
+    once = shipped(cut).groupBy("g").applyInPandas(fill(0), schema)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    if groups == 1:
+        return once.select(*columns)
+    once = materialise(once)
+    again = once.filter("open").drop("sequence_id", "offset", "open")
+    regroups = max(1, round(again.count() / GROUP_DOCS))
+    again = again.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "slot"), F.lit(regroups)).cast("long"))
+    twice = again.groupBy("g").applyInPandas(fill(groups), schema)
+    return once.filter("not open").select(*columns).unionByName(twice.select(*columns))
+
+
+def fill_rate(packed: DataFrame, length: int = 1024) -> DataFrame:
+    """One row: sequences, tokens, and the share of the sequences' places that tokens take."""
+    sequences = packed.groupBy("sequence_id").agg(F.sum("length").alias("tokens"))
+    return sequences.agg(F.count("*").alias("sequences"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / (F.count("*") * length)).alias("fill_rate"))
