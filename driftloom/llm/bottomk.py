@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, doc_key, row_hash, text_or_empty
+from .common import NULL_ID, SPACE, doc_key, join_bounded, materialise, row_hash, text_or_empty
 
 K, WORDS = 256, 5
 #: Hashes are cut to so many bits, which a fingerprint spells as hexadecimal digits.
 BITS = 48
-#: Documents of one range of ids, which are put next to their neighbours together.
+#: Documents of one cell, which are put next to their neighbours together.
 RANGE_DOCS, MOST_RANGES = 2000, 10_000
 
 
@@ -77,28 +77,53 @@ def unspell(text: Column) -> Column:
     return F.transform(starts, lambda i: F.conv(F.substring(text, i * digits + 1, F.lit(digits)), 16, 10).cast("long"))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, next_text): every text beside that of the next document by id, the last beside the first.
+def with_next(docs: DataFrame, **carried: Column) -> DataFrame:
+    """Rows (doc_id, text, next_text, and columns c and next_c for each of ``carried``, made of ``text``).
 
-    Null ids come last, equal ids are ordered by text hash. Documents are dealt to ranges
-    of ids whose bounds are ids that occur, so the first of a range is known by its id and
-    is also put at the end of the range before; no task sees more than one range.
+    Every document stands beside the next one by id, the last beside the first. Null ids
+    come last, equal ids are ordered by text hash. Documents are dealt to cells: ranges of
+    ids, and for an id with many rows ranges of its text hashes. The first document of each
+    cell is also put at the end of the cell before, so no task sees more than one cell. Of
+    rows that repeat id and text one is dealt; the others are each followed by themselves.
     """
     rows = docs.select("doc_id", doc_key().alias("dk"), row_hash().alias("rh"), text_or_empty().alias("text"))
-    n, low = rows.agg(F.count("*"), F.min("dk")).first()
+    names = ["text", *carried]
+    keys = materialise(rows.groupBy("dk", "rh").count())
+    of_id = keys.groupBy("dk").agg(F.count("*").alias("m"))
+    n, low = keys.agg(F.count("*"), F.min("dk")).first()
     if not n:
-        return rows.select("doc_id", "text", F.col("text").alias("next_text"))
+        return rows.withColumns(carried).select("doc_id", *names, *[F.col(c).alias(f"next_{c}") for c in names])
+    repeated = materialise(keys.filter("count > 1"))
+    once, copies = rows, None
+    if not repeated.isEmpty():
+        marked = join_bounded(rows, repeated, ["dk", "rh"], "left")
+        one = marked.filter("count is not null").dropDuplicates(["dk", "rh"])
+        once = marked.filter("count is null").drop("count").unionByName(one.drop("count"))
+        more = one.withColumn("turn", F.explode(F.sequence(F.lit(2), F.col("count").cast("int")))).withColumns(carried)
+        copies = more.select("doc_id", *names, *[F.col(c).alias(f"next_{c}") for c in names])
+
+    # At most MOST_RANGES ranges and as many ids with cells of their own.
     parts = max(1, min(MOST_RANGES, n // RANGE_DOCS))
-    cuts = rows.agg(F.percentile_approx("dk", [i / parts for i in range(parts)], max(10_000, 20 * parts))).first()[0]
-    bounds = sorted({low, *cuts})
-    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("dk"))) if len(bounds) <= 8 else _place(bounds)
-    ghost = F.col("dk").isin(bounds)
-    before = F.when(F.col("range") == 1, F.lit(len(bounds))).otherwise(F.col("range") - 1)
-    here = F.struct(F.col("range").alias("range"), F.lit(0).alias("turn"))
-    there = F.struct(before.cast("int").alias("range"), F.lit(1).alias("turn"))
-    dealt = rows.withColumn("range", place.cast("int")).withColumn("at", F.explode(F.when(ghost, F.array(here, there)).otherwise(F.array(here))))
-    dealt = dealt.select("doc_id", "dk", "rh", "text", "at.range", "at.turn")
-    return dealt.withColumn("next_text", F.lead("text").over(W.partitionBy("range").orderBy("turn", "dk", "rh"))).filter("turn = 0")
+    each = max(RANGE_DOCS, n // parts)
+    hot = materialise(of_id.filter(F.col("m") > 2 * each).select("dk", F.ceil(F.log2(F.col("m") / each)).cast("int").alias("bits")))
+    cuts = keys.agg(F.percentile_approx("dk", [i / parts for i in range(parts)], max(10_000, 20 * parts))).first()[0]
+    alone = {x for r in hot.collect() for x in (r.dk, min(r.dk + 1, NULL_ID))}
+    place = _place(sorted({low, *cuts, *alone}))
+
+    def celled(keyed: DataFrame) -> DataFrame:
+        sub = F.coalesce(F.expr("shiftright(rh, 64 - bits)"), F.lit(0))
+        return keyed.join(F.broadcast(hot), "dk", "left").withColumn("cell", F.struct(place.alias("range"), sub.alias("sub"))).drop("bits")
+
+    cells = celled(keys).groupBy("cell").agg(F.min(F.struct("dk", "rh")).alias("first"))
+    before = F.coalesce(F.lag("cell").over(W.orderBy("cell")), F.max("cell").over(W.partitionBy()))
+    firsts = materialise(cells.select("first.dk", "first.rh", before.alias("before")))
+    dealt = celled(once).join(F.broadcast(firsts), ["dk", "rh"], "left").withColumns(carried)
+    here, there = F.struct("cell", F.lit(0).alias("turn")), F.struct(F.col("before").alias("cell"), F.lit(1).alias("turn"))
+    dealt = dealt.withColumn("at", F.explode(F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, there))))
+    dealt = dealt.select("doc_id", "dk", "rh", *names, "at.cell", "at.turn")
+    in_cell = W.partitionBy("cell").orderBy("turn", "dk", "rh")
+    out = dealt.select("doc_id", *names, *[F.lead(c).over(in_cell).alias(f"next_{c}") for c in names], "turn").filter("turn = 0").drop("turn")
+    return out if copies is None else out.unionByName(copies)
 
 
 def _place(bounds: list[int]) -> Column:
@@ -122,8 +147,8 @@ def fingerprints(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     an empty table gives an empty result; other columns are ignored.
     """
     q = F.floor(F.col("n_chars") / 4).cast("int")
-    d = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
+    d = with_next(docs, a=sketch(F.col("text"), k, words)).withColumn("n_chars", F.length("text").cast("long"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - q).cast("int")), F.substring(F.col("next_text"), F.lit(1), q))
     d = d.withColumn("edited", edited)
-    d = d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text"), k, words).alias("a"), sketch(F.col("edited"), k, words).alias("b"), sketch(F.col("next_text"), k, words).alias("c"))
+    d = d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", sketch(F.col("edited"), k, words).alias("b"), F.col("next_a").alias("c"))
     return d.select("doc_id", "n_chars", "edited_sha256", spell(F.col("a")).alias("fingerprint"), spell(F.col("b")).alias("edited_fingerprint"), resemblance(F.col("a"), F.col("b"), k).alias("near_edited"), resemblance(F.col("a"), F.col("c"), k).alias("near_next"), distinct_count(F.col("a"), k).alias("n_shingles"))
