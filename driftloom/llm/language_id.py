@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, with_text_columns
 from .features import LETTERS, document_frequencies, ngram_counts, weigh
 
 DIMS, SIZES = 1 << 13, (1, 2, 3)
@@ -78,23 +78,25 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def train(docs: DataFrame, use: Column, per_language: int = 600, centroids: int = 4, most_languages: int = 300, most_texts: int = 24_000) -> Centroids:
+def train(docs: DataFrame, use: Column, per_language: int = 600, centroids: int = 4, most_texts: int = 24_000, most_centroids: int = 1200) -> Centroids:
     """Fit centroids on the rows of ``docs`` (doc_id, text, lang) where ``use`` holds and text and lang are not null.
 
-    About ``per_language`` texts of a language are clustered, fewer where all languages
-    together would have more than ``most_texts``; frequencies are of all. Of texts that
-    share an id one at most is clustered. Languages beyond the ``most_languages`` most
-    frequent ones are not learned. One scan samples all languages.
+    Every language is learned. About ``per_language`` texts of each are clustered, fewer
+    where all languages together would have more than ``most_texts`` (but a few of each),
+    into ``centroids`` groups, fewer where there would be more than ``most_centroids``;
+    frequencies are of all texts. Of texts that share an id one at most is clustered. One
+    scan samples all languages.
     """
     rows = docs.filter(use & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     df, total = document_frequencies(rows, counts_of, DIMS)
     idf = np.log((total + 1) / (df + 1)) + 0.1
-    languages = sorted((r.lang, r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect())
+    languages = sorted((r.lang, r["count"]) for r in rows.groupBy("lang").count().collect())
     if not languages:
         return Centroids([], np.zeros((0, DIMS), np.float32), idf)
-    each, parts = min(per_language, most_texts // len(languages)), 1 << 30
-    share = F.create_map(*[F.lit(x) for lang, n in languages for x in (lang, int(parts * min(1.0, each / n)))])
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(parts)) < F.try_element_at(share, F.col("lang")))
+    each, parts = max(4, min(per_language, most_texts // len(languages))), 1 << 30
+    centroids = max(1, min(centroids, most_centroids // len(languages)))
+    shares = docs.sparkSession.createDataFrame([(lang, int(parts * min(1.0, each / n))) for lang, n in languages], "lang string, share long")
+    sample = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(parts)) < F.col("share")).select("doc_id", "text", "lang")
 
     def vectors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,19 +162,16 @@ def floors(docs: DataFrame, model: Centroids, least: float, share: float = 0.5,
 def predict(docs: DataFrame, model: Centroids, reject_below: float | Floors = 0.0, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
     """``docs`` (with a column text) with the language and its cosine appended as ``names``, other columns as they are.
 
-    Null texts, texts without letters, and texts whose best cosine is under ``reject_below``
-    (a number, or floors by language and size) are ``und``. Whole texts count, however long.
+    Columns that have these names already are replaced. Null texts, texts without letters,
+    and texts whose best cosine is under ``reject_below`` (a number, or floors by language
+    and size) are ``und``. Whole texts count, however long.
     """
-    columns, at = docs.columns, docs.columns.index("text")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     under = reject_below.under if isinstance(reject_below, Floors) else lambda lang, score, size: score < reject_below
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for batch in batches:
-            got = [m.measured(t) for t in batch.column(at).to_pylist()]
-            pred = [UNKNOWN if under(*found) else found[0] for found in got]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array([s for _, s, _ in got], pa.float64())], names=[*columns, *names])
+    def label(texts: list[str | None]) -> list[pa.Array]:
+        got = [sent.value.measured(t) for t in texts]
+        pred = [UNKNOWN if under(*found) else found[0] for found in got]
+        return [pa.array(pred, pa.string()), pa.array([s for _, s, _ in got], pa.float64())]
 
-    schema = docs.select(*columns).schema.add(names[0], "string").add(names[1], "double")
-    return map_texts(docs, label, schema)
+    return with_text_columns(docs, label, {names[0]: "string", names[1]: "double"})
