@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, with_text_columns
 from .features import LETTERS, bounded_sample, word_hashes
 
 
@@ -140,16 +140,13 @@ def _presence(sets: list[np.ndarray], vocabulary: np.ndarray) -> Presence:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (with a column text) with score and predicted (score >= 0.5) appended, other columns as they are.
 
-    Null text counts as empty and, like any text without known words, gets the score of the
+    Columns that have these names already are replaced. Null text counts as empty and, like any text without known words, gets the score of the
     bias alone. Whole texts count, however long.
     """
-    names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for batch in batches:
-            s = [m.score(t) for t in batch.column(names.index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=[*names, "score", "predicted"])
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        s = np.array([sent.value.score(t) for t in texts], dtype=np.float64)
+        return [pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())]
 
-    return map_texts(docs, run, docs.select(*names).schema.add("score", "double").add("predicted", "integer"))
+    return with_text_columns(docs, run, {"score": "double", "predicted": "integer"})
