@@ -1,7 +1,8 @@
 """Text quality by nearest-neighbour voting in a latent-semantic space.
 
-Texts are unit TF-IDF vectors of hashed n-grams of their spelling shape (letters of one
-case, digits and each other sign are one class) and of markers of repetition. A truncated
+Texts are unit TF-IDF vectors of hashed words, of hashed n-grams of their spelling shape
+(letters of one case, digits and each other sign are one class) and of markers of
+repetition. A truncated
 singular value decomposition of a bounded sample of labelled texts gives the space; those
 texts' vectors are broadcast, every document's cosine with all of them is computed
 exactly, block by block, and the nearest vote with their similarity as weight.
@@ -17,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
-from .features import SPACED, bounded_sample, document_frequencies, ngram_counts, weigh, word_hashes
+from .common import map_texts, with_text_columns
+from .features import LETTERS, SPACED, bounded_sample, document_frequencies, ngram_counts, weigh, word_hashes
 
 DIMS, SIZES, BLOCK = 1 << 12, (1, 2, 3), 512
-#: The last slots of a vector count repetition.
+#: The slots after those of shapes count repetition, the last ones words.
 REPEATED_WORD, REPEATED_LINE, RARE_WORDS = DIMS, DIMS + 1, DIMS + 2
-WIDTH = DIMS + 3
+WORD_BITS = 13
+WIDTH = DIMS + 3 + (1 << WORD_BITS)
 SHAPE = np.arange(256, dtype=np.uint8)
 SHAPE[65:91], SHAPE[97:123], SHAPE[48:58], SHAPE[128:] = 65, 97, 48, 97
 
@@ -38,6 +40,8 @@ def counts_of(text: str) -> np.ndarray:
         out[RARE_WORDS] = max(0, len(words) // 2 - len(np.unique(words)))
     lines = text.split("\n")
     out[REPEATED_LINE] = len(lines) - len(set(lines))
+    letters = word_hashes(data.lower(), LETTERS)
+    out[DIMS + 3 :] = np.bincount(letters >> np.uint64(64 - WORD_BITS), minlength=1 << WORD_BITS)
     return out
 
 
@@ -115,16 +119,13 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, most_labelled: int =
 def score(docs: DataFrame, model: Neighbours) -> DataFrame:
     """``docs`` (with a column text) with score and predicted (score >= 0.5) appended, other columns as they are.
 
-    Null text counts as empty. Texts alike to no labelled one, empty ones among them, get
+    Columns that have these names already are replaced. Null text counts as empty. Texts alike to no labelled one, empty ones among them, get
     the mean label. Whole texts count, however long.
     """
-    names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for batch in batches:
-            s = np.clip(m.vote(batch.column(names.index("text")).to_pylist()), 0.0, 1.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=[*names, "score", "predicted"])
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        s = np.clip(sent.value.vote(texts), 0.0, 1.0).astype(np.float64)
+        return [pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())]
 
-    return map_texts(docs, run, docs.select(*names).schema.add("score", "double").add("predicted", "integer"))
+    return with_text_columns(docs, run, {"score": "double", "predicted": "integer"})
