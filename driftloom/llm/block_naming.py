@@ -104,8 +104,12 @@ def exact_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with one row of each class of equal texts, all columns as they were."""
-    dk, rh, n = fresh(docs, "_dk", "_rh", "_n")
-    kept = exact_copies(docs, block_bytes).filter("kept").select(F.col("dk").alias(dk), F.col("rh").alias(rh)).distinct()
-    keyed = docs.withColumns({dk: doc_key(), rh: row_hash()}).join(kept, [dk, rh], "left_semi")
-    once = keyed.withColumn(n, F.row_number().over(W.partitionBy(dk, rh).orderBy(rh)))
-    return once.filter(F.col(n) == 1).select(*docs.columns)
+    dk, rh = fresh(docs, "_dk", "_rh")
+    copies = exact_copies(docs, block_bytes).groupBy(F.col("dk").alias(dk), F.col("rh").alias(rh)).agg(F.max("kept").alias("some"), F.min("kept").alias("every"))
+    kept = materialise(copies.filter("some"))
+    keyed = docs.withColumns({dk: doc_key(), rh: row_hash()})
+    once = keyed.join(kept.filter("every").select(dk, rh), [dk, rh], "left_semi").select(*docs.columns)
+    several = kept.filter("not every").select(dk, rh)  # repeated rows, of which one stays
+    if several.isEmpty():
+        return once
+    return once.unionByName(keyed.join(several, [dk, rh], "left_semi").dropDuplicates([dk, rh]).select(*docs.columns))
