@@ -30,6 +30,10 @@ from .features import SPACED, shingles, word_hashes
 EXTRA = 16
 #: Slots in which all shingles are counted for the order, and the bits of a Bloom filter.
 SLOT_BITS, BLOOM_BITS = 18, 25
+#: Partitions of the input that one task of the first pass counts.
+PARTS = 16
+#: Row keys up to which texts are found by a Bloom filter of 2**BLOOM_BITS bits; more are joined.
+MOST_KEYS = 1 << (BLOOM_BITS - 3)
 #: Prefix shingles of so many groups get a pivot first.
 FAMILY = 32
 
@@ -56,8 +60,9 @@ def slot_counts(texts: DataFrame, words: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["slot", "n"])
 
-    # One row for each slot and task; few tasks with several partitions each keep that small.
-    few = texts.coalesce(4 * texts.sparkSession.sparkContext.defaultParallelism)
+    # One row for each slot and task: up to PARTS partitions in a task keep that small beside the input.
+    parts = texts.rdd.getNumPartitions()
+    few = texts.coalesce(max(4 * texts.sparkSession.sparkContext.defaultParallelism, parts // PARTS))
     got = map_texts(few, count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(slots, dtype=np.int64)
     out[got["slot"].to_numpy()] = got["n"].to_numpy()
@@ -156,7 +161,12 @@ def sharable(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def in_bloom(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """``rows`` whose rk may be one of ``keys`` (rk), by a broadcast Bloom filter of fixed size."""
+    """``rows`` whose rk may be one of ``keys`` (rk), by a broadcast Bloom filter of fixed size.
+
+    Where the filter would be full, a join by key finds exactly those rows.
+    """
+    if keys.count() > MOST_KEYS:
+        return skewed_join(rows, keys.distinct(), "rk", "left_semi")
     bit = F.pmod(F.xxhash64("rk"), F.lit(1 << BLOOM_BITS))
     mask = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rk), {1 << BLOOM_BITS}) & 63 AS int))")
     bloom = keys.select(F.shiftright(bit, 6).alias("word"), mask.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))  # at most 2**(BLOOM_BITS - 6) rows
@@ -164,10 +174,10 @@ def in_bloom(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, repeated: DataFrame | None = None) -> DataFrame:
-    """Those ``pairs`` (a, b: row keys) whose texts are alike, compared shingle by shingle.
+    """Those ``pairs`` (a, b: row keys) whose texts are alike, compared by 64-bit hashes of all their shingles.
 
-    Texts that can be part of a pair are found with a Bloom filter of fixed size over the
-    keys, then go to their pairs; of ``repeated`` rows (rk) one goes. No text goes anywhere
+    Texts that can be part of a pair are found with a Bloom filter over the keys, or by a
+    join if there are many, then go to their pairs; of ``repeated`` rows (rk) one goes. No text goes anywhere
     if there are no pairs.
     """
     pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
