@@ -295,7 +295,6 @@ def test_pieces_round_trip_through_the_tokenizer(spark, awkward):
 
     path = queries.vocabulary_path()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rows = pack(awkward, path).collect()
     assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
     by_sequence = collections.defaultdict(list)
@@ -318,7 +317,6 @@ def test_encoder_equals_the_tokenizer(text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.vocabulary_path())
-    tokenizer.encode_special_tokens = True
     assert token_ids(text, queries.vocabulary_path()).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, END]
 
 
