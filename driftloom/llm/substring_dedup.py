@@ -117,7 +117,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, bits: int = BITS, least: i
     A chunk is repeated if it stands at several places; its first place is the foremost in
     the document of the smallest id. Maximal runs of repeated chunks of at least ``span``
     code points count. A run is split where the document stops being the first place for
-    ``span`` code points or more. Returns a row for each part: doc_id, start, length,
+    ``span`` code points or more; shorter first places beside such parts have no row. Returns a row for each part: doc_id, start, length,
     first_doc_id (of the first place of most of its chunks), n_places (of its most frequent
     chunk), kept (whether this is the first place), key.
 
@@ -142,7 +142,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, bits: int = BITS, least: i
     runs = hits.withColumn("run", place()).withColumn("extent", extent("run")).filter(F.col("extent") >= span)
     parts = runs.withColumn("turn", place("run", "kept")).withColumn("kept", F.col("kept") | (extent("run", "kept", "turn") < span))
     spans = parts.withColumn("turn", place("run", "kept")).groupBy("key", "run", "kept", "turn").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.mode("first_key", True).alias("first_key"), F.max("n").alias("n_places"))
-    spans = spans.select("key", "start", (F.col("stop") - F.col("start")).alias("length"), "first_key", "n_places", "kept")
+    spans = spans.select("key", "start", (F.col("stop") - F.col("start")).alias("length"), "first_key", "n_places", "kept").filter(~F.col("kept") | (F.col("length") >= span))
     if shared is None:
         return spans.select(_id("key").alias("doc_id"), "start", "length", _id("first_key").alias("first_doc_id"), "n_places", "kept", "key")
     names = materialise(keyed.filter(F.col("key") >= HASHED).groupBy("key").agg(F.max("doc_id").cast("long").alias("name")))

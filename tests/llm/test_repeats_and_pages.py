@@ -49,7 +49,7 @@ def brute_spans(texts, span):
                         merged[-1][1] = b
                     else:
                         merged.append([a, b, first])
-                out |= {(key, a, b - a, first) for a, b, first in merged}
+                out |= {(key, a, b - a, first) for a, b, first in merged if not first or b - a >= span}
             run = []
     return out
 
