@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.equations import Equation
 from ..functions.scalars import finite
+from .panel import Panel
 
 
 def simulate(spark: SparkSession, drift: Equation, variable: str, start: float, step: float, steps: int, diffusion: Equation | None = None, sims: int = 1, method: str = "euler", seed: int = 42) -> DataFrame:
@@ -59,8 +60,20 @@ def fan(paths: DataFrame) -> DataFrame:
 
 
 def compare(observed: DataFrame, summary: DataFrame) -> DataFrame:
-    """Rows (metric, value): how simulated paths' summary meets the observed values at the same times."""
-    both = observed.join(summary, "t")
+    """Rows (metric, value): how simulated paths' summary meets the observed values.
+
+    The summary is taken at the observed times, linear between its own; observations
+    outside of them do not count.
+    """
+    from .windows import interpolate
+
+    columns = ["mean", "q50", "q05", "q95"]
+    one = Panel(keys=("_one",), value="observed")
+    known = summary.select(F.lit(1).alias("_one"), "t", F.struct(*columns).alias("s"))
+    both = observed.withColumn("_one", F.lit(1))
+    for c in columns:
+        both = interpolate(both, known.select("_one", "t", F.col(f"s.{c}").alias(c)), one, c, clamp=False)
+    both = both.filter(" and ".join(f"{c} is not null" for c in columns))
     y = F.col("observed")
     err = lambda c: F.sqrt(F.avg((y - F.col(c)) * (y - F.col(c))))
     inside = F.avg(((y >= F.col("q05")) & (y <= F.col("q95"))).cast("double"))

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame
 def settled(df: DataFrame) -> DataFrame:
     """``df`` as a reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir).
 
-    A folder of its own is only set where the session names none.
+    Only in local mode a temporary folder stands in where the session names none.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         local = context.master.startswith("local[") or context.master == "local"
-        context.setCheckpointDir(named or (tempfile.mkdtemp(prefix="driftloom-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_driftloom"))
+        if not named and not local:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftloom-"))
     return df.checkpoint()

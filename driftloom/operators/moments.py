@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import tails
 from ..functions.scalars import finite
@@ -51,18 +55,47 @@ def ljung_box(df: DataFrame, panel: Panel = Panel(), most: int = 10) -> DataFram
     return q.select(*panel.keys, "df", (F.col("n") * (F.col("n") + 2) * F.col("s")).alias("statistic"))
 
 
-def arch(df: DataFrame, panel: Panel = Panel()) -> DataFrame:
-    """n * R^2 of the regression of squared values on the squares one step before."""
-    x = F.col(panel.value)
-    d = df.withColumn("_y", x * x).withColumn("_x", F.lag(x * x).over(panel.order))
-    return d.groupBy(*panel.keys).agg((F.count(F.lit(1)) * F.regr_r2("_y", "_x")).alias("statistic"))
-
-
-def breusch_pagan(df: DataFrame, panel: Panel, residual: str, predictor: str) -> DataFrame:
-    """n * R^2 of the regression of squared residuals (about their line in the predictor) on the predictor."""
-    line = df.groupBy(*panel.keys).agg(F.regr_slope(residual, predictor).alias("_b"), F.regr_intercept(residual, predictor).alias("_a"))
-    e = F.col(residual) - F.col("_a") - F.col("_b") * F.col(predictor)
-    return df.join(line, list(panel.keys)).withColumn("_e2", e * e).groupBy(*panel.keys).agg((F.count(F.lit(1)) * F.regr_r2("_e2", predictor)).alias("statistic"))
+def arch(df: DataFrame, panel: Panel = Panel(), most: int = 5) -> DataFrame:
+    """n * R^2 of the regression of squares on the min(most, n/10) squares before them, for series of at least 20 rows.
+
+    Returns keys, df (the number of lags), statistic. Sums of products are one aggregation;
+    lags that a short series does not use are zero columns, which a minimum-norm solve skips.
+    """
+    x2, k = F.col(panel.value) * F.col(panel.value), most + 1
+    d = row_numbers(df, panel).withColumn("df", F.least(F.lit(most), F.floor(F.col("n") / 10)).cast("int"))
+    lags = {f"_x{i}": F.when(F.col("df") >= i, F.lag(x2, i).over(panel.order)).otherwise(0.0) for i in range(1, k)}
+    d = d.withColumns({"_x0": F.lit(1.0), "_y": x2, **lags}).filter((F.col("n") >= 20) & (F.col("rn") > F.col("df")))
+    xs = [F.col(f"_x{i}") for i in range(k)]
+    sums = [F.sum(xs[i] * xs[j]).alias(f"_m{i}_{j}") for i in range(k) for j in range(k)] + [F.sum(xs[i] * F.col("_y")).alias(f"_v{i}") for i in range(k)]
+    m = d.groupBy(*panel.keys, "df", F.col("n").cast("long").alias("n")).agg(F.sum(F.col("_y") * F.col("_y")).alias("_yy"), *sums)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            xx = b[[f"_m{i}_{j}" for i in range(k) for j in range(k)]].to_numpy(float).reshape(-1, k, k)
+            xy, yy, out = b[[f"_v{i}" for i in range(k)]].to_numpy(float), b["_yy"].to_numpy(float), []
+            for a, v, total in zip(xx, xy, yy, strict=True):
+                scale = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+                beta = np.linalg.lstsq(a / scale[:, None] / scale, v / scale, rcond=1e-12)[0] / scale
+                spread = total - v[0] ** 2 / a[0, 0]
+                out.append(1 - (total - beta @ v) / spread if spread > 0 else np.nan)
+            yield b[[*panel.keys, "df"]].assign(statistic=b["n"].to_numpy(float) * np.array(out, dtype=float))
+
+    return shipped(m).mapInPandas(solve, StructType(list(m.select(*panel.keys, "df").schema.fields)).add("statistic", "double"))
+
+
+def breusch_pagan(df: DataFrame, panel: Panel, residual: str, predictors: str | list[str]) -> DataFrame:
+    """n * R^2 of the regression of squared residuals (about their fit on the predictors) on the predictors; df is their number."""
+    from .regression import least_squares
+
+    names, keys = [predictors] if isinstance(predictors, str) else list(predictors), list(panel.keys)
+    terms = {p: F.col(p) for p in names}
+    fit = least_squares(df, keys, F.col(residual), terms)
+    fit = fit.select(*keys, F.col("(Intercept)").alias("_b"), *[F.col(f"`{p}`").alias(f"_b_{p}") for p in names])
+    e = F.col(residual) - F.col("_b")
+    for p in names:
+        e = e - F.col(f"_b_{p}") * F.col(p)
+    second = least_squares(df.join(fit, keys).withColumn("_e2", e * e), keys, F.col("_e2"), terms)
+    return second.select(*keys, F.lit(len(names)).alias("df"), (F.col("n") * (1 - F.col("rss") / F.nullif(F.col("tss"), F.lit(0.0)))).alias("statistic"))
 
 
 def jarque_bera(df: DataFrame, panel: Panel = Panel()) -> DataFrame:
@@ -84,14 +117,23 @@ def runs(df: DataFrame, panel: Panel = Panel()) -> DataFrame:
     return s.select(*panel.keys, F.col("r").cast("long").alias("runs"), F.when(F.col("var") > 0, (F.col("r") - (pq / F.col("n") + 1)) / F.sqrt(F.when(F.col("var") > 0, F.col("var")))).alias("statistic"))
 
 
-def diagnostics(df: DataFrame, panel: Panel = Panel()) -> DataFrame:
-    """Rows (keys, test, statistic, p_value): Ljung-Box, ARCH, Jarque-Bera and runs of every series."""
+def diagnostics(df: DataFrame, panel: Panel = Panel(), predictors: list[str] | None = None) -> DataFrame:
+    """Rows (keys, test, statistic, p_value): Ljung-Box, ARCH, Jarque-Bera, runs, and Breusch-Pagan if there are predictors."""
     keys = list(panel.keys)
-    lb = ljung_box(shipped(df), panel).select(*keys, F.lit("Ljung-Box").alias("test"), "statistic", tails.chi2_tail(F.col("statistic"), F.col("df")).alias("p_value"))
-    ar = arch(df, panel).select(*keys, F.lit("ARCH").alias("test"), "statistic", tails.chi2_tail(F.col("statistic"), F.lit(1)).alias("p_value"))
-    jb = jarque_bera(df, panel).select(*keys, F.lit("Jarque-Bera").alias("test"), "statistic", "p_value")
-    ru = runs(df, panel).select(*keys, F.lit("Runs").alias("test"), "statistic", tails.normal_tails(F.col("statistic")).alias("p_value"))
-    return lb.unionByName(ar).unionByName(jb).unionByName(ru)
+
+    def chi2(d: DataFrame, name: str) -> DataFrame:
+        return d.select(*keys, F.lit(name).alias("test"), "statistic", tails.chi2_tail(F.col("statistic"), F.col("df")).alias("p_value"))
+
+    out = chi2(ljung_box(shipped(df), panel), "Ljung-Box").unionByName(chi2(arch(df, panel), "ARCH"))
+    out = out.unionByName(jarque_bera(df, panel).select(*keys, F.lit("Jarque-Bera").alias("test"), "statistic", "p_value"))
+    out = out.unionByName(runs(df, panel).select(*keys, F.lit("Runs").alias("test"), "statistic", tails.normal_tails(F.col("statistic")).alias("p_value")))
+    return out if not predictors else out.unionByName(chi2(breusch_pagan(df, panel, panel.value, predictors), "Breusch-Pagan"))
+
+
+def issues(tests: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame:
+    """Per key the tests of ``diagnostics`` whose p-value is below ``alpha``, in order of name."""
+    found = F.sort_array(F.collect_list(F.when(F.col("p_value") < alpha, F.col("test"))))
+    return tests.groupBy(*keys).agg(found.alias("issues"))
 
 
 def normal_fit(df: DataFrame, panel: Panel = Panel()) -> DataFrame:

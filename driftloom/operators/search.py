@@ -20,9 +20,9 @@ CONSTANTS = {"pi": 3.141592653589793, "e": 2.718281828459045, "phi": 1.618033988
 
 
 def pareto_front(results: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Candidates (complexity, mse, equation) that no simpler one equals in error, with rmse."""
-    front = rising_minimum(results, ["complexity", "mse", "equation"], "mse")
-    return front.withColumn("rmse", F.sqrt("mse")).select("complexity", "mse", "rmse", "equation")
+    """Candidates (complexity, mse, equation) that no simpler one of their ``keys`` equals in error, with rmse."""
+    front = rising_minimum(results, ["complexity", "mse", "equation"], "mse", keys)
+    return front.withColumn("rmse", F.sqrt("mse")).select(*(keys or []), "complexity", "mse", "rmse", "equation")
 
 
 def best_by_complexity(results: DataFrame) -> DataFrame:
@@ -58,10 +58,9 @@ def exhaustive(df: DataFrame, target: str, predictors: list[str], weight: Column
     """Rows (complexity, equation, mse): a line in each predictor, its inverse, square and log, and in pairs.
 
     A product of a pair comes with both its main effects. All candidates share one pass over
-    the data for their sums of products; text carries the fitted numbers.
+    the data for their sums of products; text carries the fitted numbers. Candidates that
+    are not finite on every row, or whose terms are not independent, are left out.
     """
-    from .regression import least_squares
-
     terms: dict[str, Column] = {}
     forms: list[tuple[int, list[str]]] = []
     for p in predictors:
@@ -72,14 +71,26 @@ def exhaustive(df: DataFrame, target: str, predictors: list[str], weight: Column
         for q in predictors[i + 1 :]:
             terms[f"{p} * {q}"] = F.col(p).cast("double") * F.col(q)
             forms += [(3, [p, q]), (3, [p, q, f"{p} * {q}"])]
-    one = df.withColumn("_one", F.lit(1))
-    out = None
+    names = list(terms)
+    xs, y, w = [F.lit(1.0), *terms.values()], F.col(target).cast("double"), weight if weight is not None else F.lit(1.0)
+    k = len(xs)
+    rows = df.filter(" and ".join(f"`{c}` is not null" for c in (target, *predictors)))
+    # One row of (k + 1)^2 sums for all candidates; each candidate solves its block of them.
+    sums = [F.sum(w * xs[i] * xs[j]) for i in range(k) for j in range(k)] + [F.sum(w * x * y) for x in xs] + [F.sum(w * y * y), F.count(y)]
+    got = [float(v) if v is not None else np.nan for v in rows.agg(*[v.alias(f"s{i}") for i, v in enumerate(sums)]).first()]
+    xx, xy, (yy, n) = np.array(got[: k * k]).reshape(k, k), np.array(got[k * k : k * k + k]), got[k * k + k :]
+    out = []
     for complexity, used in forms:
-        fit = least_squares(one, ["_one"], F.col(target), {u: terms[u] for u in used}, weight)
-        text = F.concat(F.format_number(F.col("`(Intercept)`"), 6), *[x for u in used for x in (F.lit(" + "), F.format_number(F.col(f"`{u}`"), 6), F.lit(f" * {u}"))])
-        row = fit.select(F.lit(complexity).alias("complexity"), F.lit(" + ".join(used)).alias("form"), F.regexp_replace(text, ",", "").alias("equation"), (F.col("rss") / F.col("n")).alias("mse"))
-        out = row if out is None else out.unionByName(row)
-    return out
+        at = [0, *(names.index(u) + 1 for u in used)]
+        block, v = xx[np.ix_(at, at)], xy[at]
+        scale = np.sqrt(np.maximum(np.diag(block), 1e-300))
+        unit = block / scale[:, None] / scale
+        if not np.isfinite(unit).all() or np.linalg.matrix_rank(unit, tol=1e-10) < len(at):
+            continue
+        beta = np.linalg.solve(unit, v / scale) / scale
+        text = " + ".join([f"{beta[0]:.6f}", *(f"{b:.6f} * {u}" for b, u in zip(beta[1:], used, strict=True))])
+        out.append((complexity, " + ".join(used), text, max(float(yy - beta @ v), 0.0) / n))
+    return df.sparkSession.createDataFrame(out, "complexity int, form string, equation string, mse double")
 
 
 def ensemble(results: DataFrame) -> DataFrame:
@@ -156,55 +167,62 @@ def spelled(t: tuple) -> str:
             return f"{f}({spelled(a)})"
 
 
-def genetic(df: DataFrame, target: str, predictors: list[str], runs: int = 5, population: int = 60, generations: int = 30, penalty: float = 0.05, most_complexity: int = 30, most_rows: int = 20_000, seed: int = 42) -> DataFrame:
+def errors(df: DataFrame, target: str, equations: list[str]) -> list[float]:
+    """Mean squared error of every equation over all rows of ``df``; infinite where it is not finite.
+
+    One pass: tasks add up squared errors of their rows for all equations, block by block.
+    """
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros(len(equations)), 0
+        for b in batches:
+            data = {c: b[c].to_numpy(float) for c in b.columns}
+            n += len(b)
+            with np.errstate(all="ignore"):
+                for i, text in enumerate(equations):
+                    gap = Equation(text).values(data) - data[target]
+                    total[i] += float(np.sum(np.broadcast_to(gap, len(b)) ** 2))
+        yield pd.DataFrame({"i": np.arange(len(equations)), "sse": total, "n": n})
+
+    got = shipped(df).mapInPandas(add, "i int, sse double, n long").groupBy("i").agg((F.sum("sse") / F.nullif(F.sum("n"), F.lit(0))).alias("mse")).collect()
+    out = [np.inf] * len(equations)
+    for r in got:
+        if r.mse is not None and np.isfinite(r.mse):
+            out[r.i] = r.mse
+    return out
+
+
+def genetic(df: DataFrame, target: str, predictors: list[str], runs: int = 5, population: int = 100, generations: int = 50, penalty: float = 0.05, most_complexity: int = 30, seed: int = 42) -> DataFrame:
     """Rows (run_id, complexity, mse, equation) of the last populations of independent genetic searches.
 
-    Every run is a task of its own. They score candidates on a sample of at most about
-    ``most_rows`` rows (a parameter); what they find is then scored on all rows, as columns
-    of one aggregation.
+    Every generation of all runs is scored over all rows in one Spark job; populations, a
+    few hundred texts, are bred here. Rows with a null in any of the columns are left out.
     """
-    spark = df.sparkSession
-    n = df.count()
-    rows = df.select(target, *predictors)
-    if n > most_rows:
-        rows = rows.filter(F.pmod(F.xxhash64(*rows.columns, F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * most_rows / n)).limit(2 * most_rows)
-    data = {c: np.asarray(v, dtype=float) for c, v in rows.toPandas().items()}
-    sent = spark.sparkContext.broadcast(data)
-
-    def evolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        y = sent.value[target]
-        for batch in batches:
-            for run in batch["run_id"]:
-                rng = np.random.default_rng(seed + 1000 * int(run))
-                make, known = Genome(rng, predictors), {}
-
-                def score(t: tuple) -> tuple[float, float]:
-                    text = spelled(t)
-                    if text not in known:
-                        with np.errstate(all="ignore"):
-                            mse = float(np.mean((Equation(text).values(sent.value) - y) ** 2)) if size(t) <= most_complexity else np.inf
-                        known[text] = mse if np.isfinite(mse) else np.inf
-                    return known[text] + penalty * size(t), known[text]
-
-                pool = [make.tree(4) for _ in range(population)]
-                for _ in range(generations):
-                    ranked = sorted(pool, key=lambda t: score(t)[0])
-                    pick = lambda: ranked[int(min(rng.integers(0, population, 3)))]  # noqa: B023, E731
-                    children = [ranked[0]]
-                    while len(children) < population:
-                        child = make.cross(pick(), pick()) if rng.random() < 0.7 else pick()
-                        children.append(make.mutate(child) if rng.random() < 0.3 else child)
-                    pool = children
-                found = {spelled(t): (size(t), score(t)[1]) for t in pool if np.isfinite(score(t)[1])}
-                yield pd.DataFrame({"run_id": int(run), "complexity": [v[0] for v in found.values()], "equation": list(found)})
-
-    tasks = spark.range(runs).select(F.col("id").cast("int").alias("run_id")).repartition(runs, "run_id")
-    found = shipped(tasks).mapInPandas(evolve, "run_id int, complexity int, equation string").collect()
-    texts = sorted({r.equation for r in found})
-    errors: dict[str, float] = {}
-    for at in range(0, len(texts), 60):
-        part = texts[at : at + 60]
-        got = df.agg(*[F.avg(F.pow(F.col(target) - Equation(t).column(), F.lit(2.0))).alias(f"m{i}") for i, t in enumerate(part)]).first()
-        errors |= dict(zip(part, got, strict=True))
-    good = [(r.run_id, r.complexity, float(errors[r.equation]), r.equation) for r in found if errors[r.equation] is not None and np.isfinite(errors[r.equation])]
+    spark, columns = df.sparkSession, [target, *predictors]
+    rows = df.select(*[F.col(c).cast("double") for c in columns]).dropna()
+    makers = [Genome(np.random.default_rng(seed + 1000 * run), predictors) for run in range(runs)]
+    pools = [[m.tree(4) for _ in range(population)] for m in makers]
+    known: dict[str, float] = {}
+
+    def learn() -> None:
+        texts = sorted({spelled(t) for pool in pools for t in pool if size(t) <= most_complexity} - known.keys())
+        if texts:
+            known.update(zip(texts, errors(rows, target, texts), strict=True))
+
+    def score(t: tuple) -> float:
+        return known.get(spelled(t), np.inf) + penalty * size(t)
+
+    for _ in range(generations):
+        learn()
+        for run, (maker, pool) in enumerate(zip(makers, pools, strict=True)):
+            order, rng = sorted(pool, key=score), maker.rng
+            children = [order[0]]
+            while len(children) < population:
+                first = order[int(min(rng.integers(0, population, 3)))]
+                child = maker.cross(first, order[int(min(rng.integers(0, population, 3)))]) if rng.random() < 0.7 else first
+                children.append(maker.mutate(child) if rng.random() < 0.3 else child)
+            pools[run] = children
+    learn()
+    found = {(run, spelled(t)): size(t) for run, pool in enumerate(pools) for t in pool}
+    good = [(run, n, known[text], text) for (run, text), n in sorted(found.items()) if np.isfinite(known.get(text, np.inf))]
     return spark.createDataFrame(good, "run_id int, complexity int, mse double, equation string")

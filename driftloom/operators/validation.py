@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.equations import Equation
-from .moments import weighted_deviance
 from .panel import Panel, row_numbers
 from .regression import least_squares
 
@@ -62,16 +61,6 @@ def cv_summary(scores: DataFrame, keys: list[str]) -> DataFrame:
     return scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("folds"), F.avg("rmse").alias("mean_rmse"), F.avg("mae").alias("mean_mae"), (1 - F.sum("ss_res") / F.nullif(F.sum("ss_tot"), F.lit(0.0))).alias("r_squared_pooled"))
 
 
-def blocked_score(df: DataFrame, panel: Panel, equation: Equation, target: str, weight: str, blocks: int = 5) -> DataFrame:
-    """Weighted deviance of the equation as it stands over ``blocks`` blocks by time, weighted by their mass."""
-    d = row_numbers(df, panel)
-    d = d.withColumn("block", F.least(F.lit(blocks), F.floor((F.col("rn") * blocks - 1) / F.col("n")) + 1).cast("int")).withColumn("_fit", equation.column())
-    per = weighted_deviance(d, [*panel.keys, "block"], target, "_fit", weight)
-    mass = d.groupBy(*panel.keys, "block").agg(F.sum(weight).alias("mass"), F.count(F.lit(1)).alias("rows"))
-    both = per.join(mass, [*panel.keys, "block"]).filter("rows >= 2")
-    return both.groupBy(*panel.keys).agg((F.sum(F.col("deviance") * F.col("mass")) / F.sum("mass")).alias("score"))
-
-
 def select_iteration(scores: DataFrame, score: str = "score") -> DataFrame:
     """The iteration of the smallest finite score, the earliest among equals."""
     s = F.col(score)

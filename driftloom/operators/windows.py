@@ -90,7 +90,7 @@ def interpolate(left: DataFrame, right: DataFrame, panel: Panel = Panel(), value
     return line.select("_row.*", F.when(p.isNotNull() & q.isNotNull(), between).otherwise(edge).alias(value))
 
 
-def rising_minimum(df: DataFrame, order: list[str], value: str) -> DataFrame:
-    """Rows whose value is below all before them in ``order``: a Pareto front."""
-    before = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+def rising_minimum(df: DataFrame, order: list[str], value: str, keys: list[str] | None = None) -> DataFrame:
+    """Rows whose value is below all before them in ``order``: a Pareto front, one per key if there are ``keys``."""
+    before = (W.partitionBy(*keys) if keys else W.partitionBy()).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return df.withColumn("_best", F.min(value).over(before)).filter(F.col("_best").isNull() | (F.col(value) < F.col("_best"))).drop("_best")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +25,22 @@ def transformations(df: DataFrame, variables: list[str]) -> DataFrame:
     return df.withColumns(out)
 
 
+def summands(text: str) -> list[str]:
+    """The terms of a sum, split at the plus signs outside of parentheses."""
+    terms, depth = [""], 0
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        if c == "+" and depth == 0 and terms[-1].strip() and terms[-1].strip()[-1] not in "*/^(+-" and not re.search(r"\d[eE]$", terms[-1]):
+            terms.append("")
+        else:
+            terms[-1] += c
+    return [t.strip() for t in terms]
+
+
 def formulas(df: DataFrame, named: dict[str, str]) -> DataFrame:
     """Add a column for each named formula; one with several terms gives name_1, name_2, ..."""
     for name, text in named.items():
-        terms = [t.strip() for t in text.lstrip("~").split("+")]
+        terms = summands(text.lstrip("~ "))
         for i, t in enumerate(terms, 1):
             e = Equation(t)
             if not e.free(df.columns):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.equations import Equation
-from ..operators import dynamics, moments, validation
+from ..operators import dynamics, moments, refit, validation
 from ..operators.lineage import settled
 from ..operators.panel import Panel
 from ..operators.regression import least_squares, quadratic_variation, to_sd
@@ -17,17 +17,18 @@ from ..operators.regression import least_squares, quadratic_variation, to_sd
 def compare(df: DataFrame, equations: dict[str, Equation], target: str) -> DataFrame:
     """Rows (model, k, r_squared, adj_r_squared, rmse, aic, bic), best BIC first.
 
-    All models' predictions are columns of one aggregation.
+    All models' sums are columns of one aggregation of the data.
     """
-    d = df.withColumn("_all", F.lit(1))
-    parts = []
-    for name, e in equations.items():
-        k = max(1, len(e.coefficients))
-        s = moments.fit_statistics(d.withColumn("_fit", e.column()), ["_all"], target, "_fit", k)
-        parts.append(s.select(F.lit(name).alias("model"), F.lit(k).alias("k"), "r_squared", "adj_r_squared", "rmse", "aic", "bic"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    y, sums = F.col(target), []
+    for i, e in enumerate(equations.values()):
+        gap = y - e.column()
+        sums.append(F.struct(F.count(gap).alias("n"), F.sum(gap * gap).alias("rss"), F.var_pop(F.when(gap.isNotNull(), y)).alias("v")).alias(f"s{i}"))
+    each = [F.struct(F.lit(name).alias("model"), F.lit(max(1, len(e.coefficients))).alias("k"), F.col(f"s{i}").alias("s")) for i, (name, e) in enumerate(equations.items())]
+    t = df.agg(*sums).select(F.inline(F.array(*each))).select("model", "k", "s.*")
+    n, rss, k = F.col("n"), F.col("rss"), F.col("k")
+    t = t.withColumn("r_squared", 1 - rss / F.nullif(n * F.col("v"), F.lit(0.0)))
+    loglik = n * (F.ln(F.when(rss > 0, rss) / n) + moments.TWO_PI + 1)
+    out = t.select("model", "k", "r_squared", (1 - (1 - F.col("r_squared")) * (n - 1) / F.nullif(n - k, F.lit(0))).alias("adj_r_squared"), F.sqrt(rss / n).alias("rmse"), (loglik + 2 * (k + 1)).alias("aic"), (loglik + F.ln(n) * (k + 1)).alias("bic"))
     return out.orderBy("bic", "model")
 
 
@@ -99,14 +100,23 @@ def stochastic_model(df: DataFrame, panel: Panel, target: str, predictors: list[
     return StochasticModel(every.join(best, [*keys, "iteration"]), least_squares(local, keys, F.col("diffusion"), terms), scores)
 
 
-def validate_model(df: DataFrame, panel: Panel, equation: Equation, target: str, predictor: str, folds: int = 5) -> dict[str, DataFrame]:
-    """Block cross-validation, fit statistics and residual tests of an equation, as DataFrames."""
+def validate_model(df: DataFrame, panel: Panel, equation: Equation, target: str, folds: int = 5, weight: str | None = None, method: str = "block", horizon: int = 1) -> dict[str, DataFrame]:
+    """Cross-validation of an equation with refit, its fit statistics and residual tests, as DataFrames.
+
+    ``method`` is block, random or rolling (test windows of ``horizon`` rows at the end).
+    """
     keys = list(panel.keys)
     d = df.filter(F.col(target).isNotNull()).withColumn("_fit", equation.column()).withColumn("residual", F.col(target) - F.col("_fit"))
-    scores = validation.cross_validate(validation.block_folds(d, panel, folds), keys, target, predictor)
+    if method == "rolling":
+        roles = validation.rolling_folds(d, panel, folds, horizon)
+    else:
+        numbered = {"block": validation.block_folds, "random": validation.random_folds}[method](d, panel, folds)
+        roles = refit.with_roles(numbered, folds)
+    scores = refit.cross_validate_equation(roles, keys, equation, target, weight)
     from dataclasses import replace
 
     return {
+        "folds": scores,
         "cross_validation": validation.cv_summary(scores, keys),
         "fit": moments.fit_statistics(d, keys, target, "_fit", max(1, len(equation.coefficients))),
         "residual_tests": moments.diagnostics(d, replace(panel, value="residual")),

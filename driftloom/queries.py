@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.equations import Equation, structure
-from .operators import derivatives, dynamics, moments, regression, search, validation, windows
+from .operators import derivatives, dynamics, moments, refit, regression, search, validation, windows
 from .operators.panel import Panel, row_numbers
 from .plans import explore, models
 from .sources import tables, writers
@@ -59,13 +60,22 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return rounded(with_derivative(spark, d), "t").withColumn("d_z", r("d_z", 4))
 
 
-SG = derivatives.savgol_weights(3, 11)[5]
+def savgol_rows() -> list[list[float]]:
+    """What each of eleven values counts in the derivative, at each of eleven places, of their least-squares cubic."""
+    at = np.arange(11.0) - 5
+    powers = np.linalg.pinv(np.vander(at, 4, increasing=True))
+    return [(powers[1] + 2 * u * powers[2] + 3 * u * u * powers[3]).tolist() for u in at]
 
 
-@query("dv03_savgol_interior", "WITH " + Q + ", s AS (SELECT *, (max(t) OVER (PARTITION BY series_id) - min(t) OVER (PARTITION BY series_id)) / (n - 1) AS step FROM q), f AS (SELECT series_id, rn, n, (" + " + ".join(f"({float(c)!r})::DOUBLE * {'lag' if j < 5 else 'lead'}(z, {abs(j - 5)}) OVER w" for j, c in enumerate(SG)) + ") / step AS d_z FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t)) SELECT series_id, rn::INTEGER AS rn, round(d_z, 5) + 0.0 AS d_z FROM f WHERE rn > 5 AND rn <= n - 5")
-def savgol_interior(spark: SparkSession, d: str) -> DataFrame:
+SG = "CASE place " + " ".join(f"WHEN {i} THEN {[float(f'{x:.17g}') for x in w]}" for i, w in enumerate(savgol_rows())) + " END"
+
+
+@query("dv03_savgol", f"""WITH {Q}, s AS (SELECT series_id, n, (max(t) - min(t)) / (n - 1) AS step, list(z ORDER BY t) AS zs FROM q GROUP BY series_id, n),
+f AS (SELECT q.series_id, rn, q.n, step, zs, least(greatest(rn - 6, 0), q.n - 11) AS first FROM q JOIN s USING (series_id)), g AS (SELECT *, (rn - 1 - first)::INTEGER AS place FROM f)
+SELECT series_id, rn::INTEGER AS rn, round(list_inner_product({SG}, zs[first + 1 : first + 11]) / step, 5) + 0.0 AS d_z FROM g""")
+def savgol(spark: SparkSession, d: str) -> DataFrame:
     s = row_numbers(derivatives.savitzky_golay(panel(spark, d), PANEL, 3, 11), PANEL)
-    return s.filter("rn > 5 and rn <= n - 5").select("series_id", "rn", r("d_z", 5).alias("d_z"))
+    return s.select("series_id", "rn", r("d_z", 5).alias("d_z"))
 
 
 @query("wn02_reconstruction", f"WITH {D}, e AS (SELECT *, d_z * (lead(t) OVER w - t) AS part, first_value(z) OVER w AS z1 FROM d WINDOW w AS {W}) SELECT series_id, rn::INTEGER AS rn, round(z1 + coalesce(sum(part) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) + 0.0 AS z_hat FROM e")
@@ -125,15 +135,32 @@ def ljung_box(spark: SparkSession, d: str) -> DataFrame:
     return rounded(moments.ljung_box(panel(spark, d), PANEL), "statistic", digits=5)
 
 
-@query("ag05_arch", f"WITH {Q}, s AS (SELECT series_id, z * z AS y, lag(z * z) OVER {W} AS x FROM q) SELECT series_id, round(count(*) * regr_r2(y, x), 6) + 0.0 AS statistic FROM s GROUP BY series_id")
+def projected(source: str, columns: list[str], target: str, over: str) -> tuple[str, str]:
+    """SQL that regresses ``target`` on ``columns`` of the table ``source`` inside ``over``: CTEs that make each column orthogonal to those before, and R^2."""
+    out, done = [], []
+    centred = ", ".join(f"{c} - avg({c}) OVER {over} AS {c}" for c in [*columns, target])
+    out.append(f"o0 AS (SELECT * REPLACE ({centred}) FROM {source})")
+    for i, c in enumerate(columns):
+        less = "".join(f" - {d} * coalesce(sum({c} * {d}) OVER {over} / nullif(sum({d} * {d}) OVER {over}, 0), 0)" for d in done)
+        out.append(f"o{i + 1} AS (SELECT * REPLACE ({c}{less} AS {c}) FROM o{i})")
+        done.append(c)
+    explained = " + ".join(f"coalesce(sum({target} * {c}) ** 2 / nullif(sum({c} * {c}), 0), 0)" for c in columns)
+    return ", ".join(out), f"({explained}) / sum({target} * {target})"
+
+
+ARCH_LAGS = ", ".join(f"CASE WHEN df >= {i} THEN lag(z * z, {i}) OVER w ELSE 0 END AS x{i}" for i in range(1, 6))
+ARCH, ARCH_R2 = projected("e", [f"x{i}" for i in range(1, 6)], "y", "(PARTITION BY series_id)")
+
+
+@query("ag05_arch", f"WITH {Q}, l AS (SELECT *, least(5, floor(n / 10))::INTEGER AS df FROM q), e0 AS (SELECT series_id, rn, n, df, z * z AS y, {ARCH_LAGS} FROM l WINDOW w AS {W}), e AS (SELECT * FROM e0 WHERE n >= 20 AND rn > df), {ARCH} SELECT series_id, df, round(n * {ARCH_R2}, 4) + 0.0 AS statistic FROM o5 GROUP BY series_id, df, n")
 def arch(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(moments.arch(panel(spark, d), PANEL), "statistic")
+    return rounded(moments.arch(panel(spark, d), PANEL), "statistic", digits=4)
 
 
 @query("ag06_breusch_pagan", f"""WITH {Q}, f AS (SELECT series_id, regr_slope(z, t) AS b, regr_intercept(z, t) AS a FROM q GROUP BY series_id), e AS (SELECT q.series_id, t, (z - a - b * t) ** 2 AS e2 FROM q JOIN f USING (series_id))
 SELECT series_id, round(count(*) * regr_r2(e2, t), 4) + 0.0 AS statistic FROM e GROUP BY series_id""")
 def breusch_pagan(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(moments.breusch_pagan(panel(spark, d), PANEL, "z", "t"), "statistic", digits=4)
+    return rounded(moments.breusch_pagan(panel(spark, d), PANEL, "z", "t").drop("df"), "statistic", digits=4)
 
 
 @query("ag07_jarque_bera", f"""WITH {P}, c AS (SELECT series_id, z - avg(z) OVER (PARTITION BY series_id) AS x FROM p),
@@ -318,18 +345,26 @@ def ensemble(spark: SparkSession, d: str) -> DataFrame:
     return rounded(search.ensemble(candidates(spark, d)), "mean_loss", "std_loss", "consistency")
 
 
-@query("ss04_exhaustive", """WITH x AS (SELECT l_extendedprice / 1e4 AS y, l_quantity AS a, l_discount * 100 + 1 AS b FROM lineitem),
-v AS (SELECT * FROM (SELECT 1 AS complexity, 'a' AS form, (regr_syy(y, a) - regr_sxy(y, a) ** 2 / regr_sxx(y, a)) / count(*) AS mse FROM x UNION ALL SELECT 2, 'inv(a)', (regr_syy(y, 1 / a) - regr_sxy(y, 1 / a) ** 2 / regr_sxx(y, 1 / a)) / count(*) FROM x UNION ALL SELECT 2, 'square(a)', (regr_syy(y, a * a) - regr_sxy(y, a * a) ** 2 / regr_sxx(y, a * a)) / count(*) FROM x UNION ALL SELECT 2, 'log(abs(a) + 1e-10)', (regr_syy(y, ln(a + 1e-10)) - regr_sxy(y, ln(a + 1e-10)) ** 2 / regr_sxx(y, ln(a + 1e-10))) / count(*) FROM x UNION ALL SELECT 1, 'b', (regr_syy(y, b) - regr_sxy(y, b) ** 2 / regr_sxx(y, b)) / count(*) FROM x))
+def one_regressor(form: str, complexity: int, x: str) -> str:
+    return f"SELECT {complexity} AS complexity, '{form}' AS form, (regr_syy(y, {x}) - regr_sxy(y, {x}) ** 2 / regr_sxx(y, {x})) / count(*) AS mse FROM x"
+
+
+SINGLES = " UNION ALL ".join(one_regressor(form.format(p), c, x.format(p)) for p in "ab" for form, c, x in (("{}", 1, "{}"), ("inv({})", 2, "(1 / {})"), ("square({})", 2, "({0} * {0})"), ("log(abs({}) + 1e-10)", 2, "ln({} + 1e-10)")))
+PAIRS, PAIR_R2 = projected("x", ["a", "b"], "y", "()")
+TRIPLES, TRIPLE_R2 = projected("x3", ["a", "b", "ab"], "y", "()")
+
+
+@query("ss04_exhaustive", f"""WITH x AS (SELECT l_extendedprice / 1e4 AS y, l_quantity::DOUBLE AS a, l_discount::DOUBLE * 100 + 1 AS b FROM lineitem), x3 AS (SELECT *, a * b AS ab FROM x),
+v AS ({SINGLES} UNION ALL SELECT * FROM (WITH {PAIRS} SELECT 3, 'a + b', (1 - {PAIR_R2}) * sum(y * y) / count(*) FROM o2) UNION ALL SELECT * FROM (WITH {TRIPLES} SELECT 3, 'a + b + a * b', (1 - {TRIPLE_R2}) * sum(y * y) / count(*) FROM o3))
 SELECT complexity, form, round(mse, 6) + 0.0 AS mse FROM v""")
 def exhaustive(spark: SparkSession, d: str) -> DataFrame:
-    x = tables.read(spark, d, "lineitem").select((F.col("l_extendedprice") / 1e4).alias("y"), F.col("l_quantity").cast("double").alias("a"), (F.col("l_discount") * 100 + 1).alias("b"))
-    found = search.exhaustive(x, "y", ["a", "b"])
-    return found.filter(F.col("form").isin("a", "inv(a)", "square(a)", "log(abs(a) + 1e-10)", "b")).select("complexity", "form", r("mse").alias("mse"))
+    x = tables.read(spark, d, "lineitem").select((F.col("l_extendedprice") / 1e4).alias("y"), F.col("l_quantity").cast("double").alias("a"), (F.col("l_discount") * 100 + 1).cast("double").alias("b"))
+    return search.exhaustive(x, "y", ["a", "b"]).select("complexity", "form", r("mse").alias("mse"))
 
 
 @query("ss02_genetic")
 def genetic(spark: SparkSession, d: str) -> DataFrame:
-    found = search.genetic(with_derivative(spark, d).filter("d_z is not null"), "d_z", ["z"], runs=2, population=30, generations=8)
+    found = search.genetic(with_derivative(spark, d).filter("d_z is not null"), "d_z", ["z"])
     return search.pareto_front(found)
 
 
@@ -348,7 +383,7 @@ f AS (SELECT a.series_id, k.fold, regr_slope(z, rn) AS s, regr_intercept(z, rn)
 SELECT series_id, fold, count(*) AS n_test, round(sqrt(avg((z - i - s * rn) ** 2)), 4) + 0.0 AS rmse, round(avg(abs(z - i - s * rn)), 4) + 0.0 AS mae, round(1 - sum((z - i - s * rn) ** 2) / sum((z - m) ** 2), 4) + 0.0 AS r_squared FROM b JOIN f USING (series_id, fold) GROUP BY series_id, fold""")
 def cross_validate(spark: SparkSession, d: str) -> DataFrame:
     b = validation.block_folds(panel(spark, d), PANEL, 5)
-    s = validation.cross_validate(b, ["series_id"], "z", "rn")
+    s = refit.cross_validate_equation(refit.with_roles(b, 5), ["series_id"], Equation("a + b * rn", {"a": 0.0, "b": 0.0}), "z")
     return s.select("series_id", "fold", "n_test", r("rmse", 4).alias("rmse"), r("mae", 4).alias("mae"), r("r_squared", 4).alias("r_squared"))
 
 
@@ -390,27 +425,31 @@ def fixed_points(spark: SparkSession, d: str) -> DataFrame:
     return rounded(f, "fixed_point", "eigenvalue")
 
 
-@query("fp04_bifurcations", "WITH g AS (SELECT round(-1 + i * 0.1, 6) AS r FROM (SELECT unnest(range(0, 21)) AS i)), x AS (SELECT r, sqrt(r) AS z FROM g WHERE r > 0 UNION ALL SELECT r, -sqrt(r) FROM g WHERE r > 0 UNION ALL SELECT r, 0 FROM g WHERE r = 0) SELECT (r + 0.0)::DOUBLE AS r, round(z, 5) + 0.0 AS fixed_point, CASE WHEN z > 0 THEN 'stable' WHEN z < 0 THEN 'unstable' END AS stability FROM x WHERE r <> 0")
+@query("fp04_bifurcations", "WITH g AS (SELECT round(-1 + i * 0.1, 6) AS r FROM (SELECT unnest(range(0, 21)) AS i)), x AS (SELECT r, sqrt(r) AS z FROM g WHERE r > 0 UNION ALL SELECT r, -sqrt(r) FROM g WHERE r > 0 UNION ALL SELECT r, 0 FROM g WHERE r = 0) SELECT (r + 0.0)::DOUBLE AS r, round(z, 5) + 0.0 AS fixed_point, CASE WHEN z > 0 THEN 'stable' WHEN z < 0 THEN 'unstable' ELSE 'marginal' END AS stability FROM x")
 def bifurcations(spark: SparkSession, d: str) -> DataFrame:
     found, _ = dynamics.analyse_bifurcations(spark, Equation("r - z^2", {"r": 0.0}), "z", "r", -1.0, 1.0, 21, -2.0, 2.0, 173)
-    return found.filter(F.abs("r") > 1e-9).select(r("r").alias("r"), r("fixed_point", 5).alias("fixed_point"), "stability")
+    return found.select(r("r").alias("r"), r("fixed_point", 5).alias("fixed_point"), "stability")
 
 
-@query("fp04_status", "SELECT round(-1 + i * 0.1, 6)::DOUBLE + 0.0 AS r, CASE WHEN i > 10 THEN 2 ELSE 0 END::BIGINT AS n_fixed_points, CASE WHEN i > 10 THEN 'ok' ELSE 'none' END AS status FROM (SELECT unnest(range(0, 21)) AS i) WHERE i <> 10")
+@query("fp04_status", "SELECT round(-1 + i * 0.1, 6)::DOUBLE + 0.0 AS r, CASE WHEN i > 10 THEN 2 WHEN i = 10 THEN 1 ELSE 0 END::BIGINT AS n_fixed_points, CASE WHEN i >= 10 THEN 'ok' ELSE 'none' END AS status FROM (SELECT unnest(range(0, 21)) AS i)")
 def bifurcation_status(spark: SparkSession, d: str) -> DataFrame:
     _, status = dynamics.analyse_bifurcations(spark, Equation("r - z^2", {"r": 0.0}), "z", "r", -1.0, 1.0, 21, -2.0, 2.0, 173)
-    return status.filter(F.abs("r") > 1e-9).select(r("r").alias("r"), "n_fixed_points", "status")
+    return status.select(r("r").alias("r"), "n_fixed_points", "status")
 
 
-@query("fp03_consensus", f"""WITH {P}, x AS (SELECT series_id AS draw, z AS fixed_point, CASE WHEN z > 10 THEN 'stable' ELSE 'unstable' END AS stability FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) AS k FROM p) WHERE k <= 2 + series_id % 2),
-c AS (SELECT i AS draw, count(x.draw) AS m FROM (SELECT unnest(range(1, 101)) AS i) LEFT JOIN x ON x.draw = i GROUP BY i), mode AS (SELECT m, count(*) AS freq FROM c GROUP BY m ORDER BY freq DESC, m LIMIT 1),
+@query("fp03_consensus", f"""WITH {P}, h AS (SELECT series_id AS draw, min(z) AS lo, max(z) AS hi, avg(z) AS mid, count(*) AS n FROM p GROUP BY series_id),
+x AS (SELECT draw, lo AS fixed_point, 'unstable' AS stability FROM h UNION ALL SELECT draw, hi, CASE WHEN hi - mid > 3 * (mid - lo) THEN 'stable' ELSE 'unstable' END FROM h UNION ALL SELECT draw, mid, 'stable' FROM h WHERE n % 3 > 0),
+c AS (SELECT draw, count(*) AS m FROM x GROUP BY draw), mode AS (SELECT m, count(*) AS freq FROM c GROUP BY m ORDER BY freq DESC, m LIMIT 1),
 k AS (SELECT x.*, freq, row_number() OVER (PARTITION BY x.draw ORDER BY fixed_point) AS branch FROM x JOIN c USING (draw) JOIN mode USING (m)),
 s AS (SELECT branch, stability, count(*) AS n, row_number() OVER (PARTITION BY branch ORDER BY count(*) DESC, stability) AS r FROM k GROUP BY branch, stability)
-SELECT k.branch::INTEGER AS branch, round(median(fixed_point), 6) + 0.0 AS fixed_point, round(quantile_cont(fixed_point, 0.05), 6) + 0.0 AS lower, round(quantile_cont(fixed_point, 0.95), 6) + 0.0 AS upper, any_value(s.stability) AS stability, round(any_value(s.n) / count(*), 6) + 0.0 AS prob_stability, round(any_value(freq) / 100, 6) + 0.0 AS prob_n_fixed_points FROM k JOIN s ON s.branch = k.branch AND s.r = 1 GROUP BY k.branch""")
+SELECT k.branch::INTEGER AS branch, round(median(fixed_point), 6) + 0.0 AS fixed_point, round(quantile_cont(fixed_point, 0.05), 6) + 0.0 AS lower, round(quantile_cont(fixed_point, 0.95), 6) + 0.0 AS upper, any_value(s.stability) AS stability, round(any_value(s.n) / count(*), 6) + 0.0 AS prob_stability, round(any_value(freq) / (SELECT count(*) FROM h), 6) + 0.0 AS prob_n_fixed_points FROM k JOIN s ON s.branch = k.branch AND s.r = 1 GROUP BY k.branch""")
 def consensus(spark: SparkSession, d: str) -> DataFrame:
-    rows = row_numbers(panel(spark, d), PANEL).filter("rn <= 2 + series_id % 2")
-    points = rows.select(F.col("series_id").alias("draw"), F.col("z").alias("fixed_point"), F.when(F.col("z") > 10, "stable").otherwise("unstable").alias("stability"))
-    return rounded(dynamics.consensus(points, 100), "fixed_point", "lower", "upper", "prob_stability", "prob_n_fixed_points")
+    h = panel(spark, d).groupBy(F.col("series_id").alias("draw")).agg(F.min("z").alias("lo"), F.max("z").alias("hi"), F.avg("z").alias("mid"), F.count("*").alias("n"))
+    point = lambda c, s: F.struct(c.alias("fixed_point"), s.alias("stability"))
+    upper = F.when(F.col("hi") - F.col("mid") > 3 * (F.col("mid") - F.col("lo")), "stable").otherwise("unstable")
+    every = F.array(point(F.col("lo"), F.lit("unstable")), point(F.col("hi"), upper), F.when(F.col("n") % 3 > 0, point(F.col("mid"), F.lit("stable"))))
+    points = h.select("draw", F.explode(every).alias("p")).filter("p is not null").select("draw", "p.*")
+    return rounded(dynamics.consensus(points, h.count()), "fixed_point", "lower", "upper", "prob_stability", "prob_n_fixed_points")
 
 
 @query("ex02_phase", f"""WITH {D} SELECT series_id, round(corr(z, d_z), 6) + 0.0 AS correlation, round(regr_slope(d_z, z), 5) + 0.0 AS slope, round(regr_intercept(d_z, z), 4) + 0.0 AS intercept, round(count(*) * ln((regr_syy(d_z, z) - regr_sxy(d_z, z) ** 2 / regr_sxx(d_z, z)) / count(*)) + count(*) * ln(2 * pi()) + count(*) + 6, 3) + 0.0 AS aic_linear FROM d GROUP BY series_id""")
@@ -500,17 +539,30 @@ def json_rows(spark: SparkSession, d: str) -> DataFrame:
     return writers.to_json(tables.read(spark, d, "region").select("r_regionkey", "r_name"))
 
 
-@query("cv06_blocked_score", f"""WITH {Q}, b AS (SELECT *, least(5, floor((rn * 5 - 1) / n) + 1) AS block FROM q), s AS (SELECT series_id, block, sum(rn * (z - 10) ** 2) / sum(rn) AS dev, sum(rn) AS mass, count(*) AS c FROM b GROUP BY ALL)
-SELECT series_id, round(sum(dev * mass) / sum(mass), 4) + 0.0 AS score FROM s WHERE c >= 2 GROUP BY series_id""")
+BLOCKS = """b AS (SELECT *, rn::DOUBLE AS w, least(5, floor((rn * 5 - 1) / n) + 1) AS block FROM q),
+s AS (SELECT series_id, block, sum(w) AS w0, sum(w * rn) AS w1, sum(w * rn * rn) AS w2, sum(w * z) AS v0, sum(w * rn * z) AS v1, count(*) AS c FROM b GROUP BY ALL),
+o AS (SELECT series_id, block, w0 AS mass, c, sum(w0) OVER u - w0 AS a0, sum(w1) OVER u - w1 AS a1, sum(w2) OVER u - w2 AS a2, sum(v0) OVER u - v0 AS y0, sum(v1) OVER u - v1 AS y1 FROM s WINDOW u AS (PARTITION BY series_id)),
+f AS (SELECT *, (a0 * y1 - a1 * y0) / (a0 * a2 - a1 * a1) AS slope FROM o),
+e AS (SELECT series_id, block, any_value(mass) AS mass, sum(w * (z - (y0 - slope * a1) / a0 - slope * rn) ** 2) / any_value(mass) AS line, sum(w * (z - y0 / a0) ** 2) / any_value(mass) AS level FROM b JOIN f USING (series_id, block) WHERE c >= 2 GROUP BY ALL)"""
+
+
+def weighted_rows(spark: SparkSession, d: str) -> DataFrame:
+    return row_numbers(panel(spark, d), PANEL).withColumn("w", F.col("rn").cast("double")).withColumn("x", F.col("rn").cast("double")).drop("rn", "n")
+
+
+@query("cv06_blocked_score", f"WITH {Q}, {BLOCKS} SELECT series_id, round(sum(line * mass) / sum(mass), 2) + 0.0 AS score FROM e GROUP BY series_id")
 def blocked_score(spark: SparkSession, d: str) -> DataFrame:
-    rows = row_numbers(panel(spark, d), PANEL).withColumn("w", F.col("rn").cast("double")).drop("rn", "n")
-    return rounded(validation.blocked_score(rows, PANEL, Equation("a", {"a": 10.0}), "z", "w"), "score", digits=4)
+    s = refit.blocked_score(weighted_rows(spark, d), PANEL, Equation("a + b * x", {"a": 0.0, "b": 0.0}), "z", "w")
+    return rounded(s.select("series_id", "score"), "score", digits=2)
 
 
-@query("cv07_select_iteration", f"WITH {P} SELECT series_id::INTEGER AS iteration, round(avg(z), 6) + 0.0 AS score FROM p GROUP BY series_id ORDER BY avg(z), series_id LIMIT 1")
+@query("cv07_select_iteration", f"WITH {Q}, {BLOCKS}, m AS (SELECT series_id, sum(line * mass) / sum(mass) AS line, sum(level * mass) / sum(mass) AS level FROM e GROUP BY series_id), c AS (SELECT 1 AS iteration, avg(level) AS score FROM m UNION ALL SELECT 2, avg(line) FROM m) SELECT iteration, round(score, 2) + 0.0 AS score FROM c ORDER BY c.score, iteration LIMIT 1")
 def select_iteration(spark: SparkSession, d: str) -> DataFrame:
-    s = panel(spark, d).groupBy(F.col("series_id").cast("int").alias("iteration")).agg(F.avg("z").alias("score"))
-    return rounded(validation.select_iteration(s), "score")
+    rows, scores = weighted_rows(spark, d), None
+    for i, e in enumerate((Equation("a", {"a": 0.0}), Equation("a + b * x", {"a": 0.0, "b": 0.0})), 1):
+        s = refit.blocked_score(rows, PANEL, e, "z", "w").agg(F.lit(i).alias("iteration"), F.avg("score").alias("score"))
+        scores = s if scores is None else scores.unionByName(s)
+    return rounded(validation.select_iteration(scores), "score", digits=2)
 
 
 @query("ag15_compare_trajectories", "SELECT metric, round(value, 6) + 0.0 AS value FROM (WITH RECURSIVE s(step, v) AS (SELECT 0, 0.1::DOUBLE UNION ALL SELECT step + 1, v + 0.05 * (2 * v - v * v) FROM s WHERE step < 100), o AS (SELECT v, v + 0.01 * (step % 3) AS y FROM s) SELECT 'RMSE (mean)' AS metric, sqrt(avg((y - v) ** 2)) AS value FROM o UNION ALL SELECT 'RMSE (median)', sqrt(avg((y - v) ** 2)) FROM o UNION ALL SELECT 'MAD (mean)', avg(abs(y - v)) FROM o UNION ALL SELECT 'Correlation', corr(y, v) FROM o UNION ALL SELECT 'Coverage (90% CI)', avg((y = v)::INT) FROM o)")
