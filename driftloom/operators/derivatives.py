@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import shipped
+from . import banded
 from .panel import Panel, row_numbers
 
 
@@ -79,36 +80,31 @@ def smoothing_spline(df: DataFrame, panel: Panel = Panel(), out: str = "d_z", pe
 
 
 def spline_derivative(t: np.ndarray, z: np.ndarray, penalties: int = 40) -> np.ndarray:
+    """Slopes of the spline: for each penalty one solve with five bands, whose inverse's bands give the degrees of freedom."""
     n = len(z)
     if n < 4 or (np.diff(t) <= 0).any():
         return np.gradient(z, t) if n > 1 and (np.diff(t) > 0).all() else np.full(n, np.nan)
     h = np.diff(t)
-    q = np.zeros((n, n - 2))
-    r = np.zeros((n - 2, n - 2))
-    for j in range(n - 2):
-        q[j : j + 3, j] = [1 / h[j], -1 / h[j] - 1 / h[j + 1], 1 / h[j + 1]]
-        r[j, j] = (h[j] + h[j + 1]) / 3
-        if j + 1 < n - 2:
-            r[j, j + 1] = r[j + 1, j] = h[j + 1] / 6
-    # In the eigenbasis of the roughness matrix each penalty is a diagonal shrinkage.
-    values, vectors = np.linalg.eigh(q @ np.linalg.solve(r, q.T))
-    values, along = np.maximum(values, 0), vectors.T @ z
-    top = values[-1]
+    a, b, c = banded.second_differences(h)
+    rough, bend = banded.gram(a, b, c), ((h[:-1] + h[1:]) / 3, h[1:-1] / 6)
+    turns = a * z[:-2] + b * z[1:-1] + c * z[2:]
+    unit = bend[0].sum() / rough[0].sum()
     best = None
-    for penalty in np.logspace(-8, 4, penalties) / max(top, 1e-300) * n:
-        shrink = 1 / (1 + penalty * values)
-        rss, df = (((1 - shrink) * along) ** 2).sum(), shrink.sum()
-        score = n * rss / max(n - df, 1e-9) ** 2
+    for penalty in np.logspace(-8, 4, penalties) * unit * n:
+        factors = banded.factor((bend[0] + penalty * rough[0], bend[1] + penalty * rough[1], penalty * rough[2]))
+        second = banded.solve(factors, turns)
+        inverse = banded.inverse_bands(factors)
+        left = penalty * sum(k * float(i @ r) for k, i, r in zip((1, 2, 2), inverse, rough, strict=True))  # n less the degrees of freedom
+        off = np.zeros(n)
+        off[:-2] += a * second
+        off[1:-1] += b * second
+        off[2:] += c * second
+        score = n * penalty * penalty * float(off @ off) / max(left, 1e-9) ** 2
         if best is None or score < best[0]:
-            best = (score, shrink)
-    g = vectors @ (best[1] * along)
-    second = np.zeros(n)
-    second[1:-1] = np.linalg.solve(r, q.T @ g)
+            best = (score, z - penalty * off, second)
+    g, second = best[1], np.concatenate([[0.0], best[2], [0.0]])
     slope = np.diff(g) / h
-    out = np.empty(n)
-    out[:-1] = slope - h * (2 * second[:-1] + second[1:]) / 6
-    out[-1] = slope[-1] + h[-1] * (second[-2] + 2 * second[-1]) / 6
-    return out
+    return np.append(slope - h * (2 * second[:-1] + second[1:]) / 6, slope[-1] + h[-1] * (second[-2] + 2 * second[-1]) / 6)
 
 
 def total_variation(df: DataFrame, panel: Panel = Panel(), penalty: float | None = None, out: str = "d_z") -> DataFrame:
@@ -117,7 +113,7 @@ def total_variation(df: DataFrame, panel: Panel = Panel(), penalty: float | None
     Minimises |(z - z1)/s - A u|^2 + penalty/s * |D u|_1 with A summing u * dt up to each
     point and s the standard deviation; the derivative is u * s. Without ``penalty`` it is
     the largest of a grid whose reconstruction error is within one standard error of the
-    smallest.
+    smallest. Times that do not rise, and values that are not finite, give NaN for the series.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -129,11 +125,13 @@ def total_variation(df: DataFrame, panel: Panel = Panel(), penalty: float | None
 
 
 def tv_derivative(z: np.ndarray, t: np.ndarray, penalty: float | None = None) -> tuple[np.ndarray, float]:
+    if not (np.diff(t) > 0).all() or not np.isfinite(z).all():
+        return np.full(len(z), np.nan), float("nan")
     if len(z) < 5:
         return (np.gradient(z, t) if len(z) > 1 else np.full(len(z), np.nan)), float("nan")
     if penalty is not None:
         return _tv(z, t, penalty), penalty
-    grid = np.logspace(-4, 2, 13)
+    grid = np.logspace(-4, 2, 30)
     found = [(_tv(z, t, p)) for p in grid]
     errors = np.array([((z - _rebuild(z[0], d, t)) ** 2).mean() for d in found])
     within = errors <= errors.min() + errors.std(ddof=1) / np.sqrt(len(errors))
@@ -145,22 +143,15 @@ def _rebuild(first: float, d: np.ndarray, t: np.ndarray) -> np.ndarray:
     return first + np.concatenate([[0.0], np.cumsum(d[:-1] * np.diff(t))])
 
 
-def _tv(z: np.ndarray, t: np.ndarray, penalty: float, rounds: int = 300) -> np.ndarray:
-    """ADMM on the jumps of u: quadratic step by one Cholesky factor, then soft thresholding."""
-    n, dt = len(z), np.diff(t)
+def _tv(z: np.ndarray, t: np.ndarray, penalty: float) -> np.ndarray:
+    """The running sum x of u is the variable: u is its slope, so jumps of u are changes of slope of x.
+
+    The last value of u is not in the sum; at the optimum it equals the one before.
+    """
+    h = np.diff(t)
     s = max(float((z - z[0]).std(ddof=1)), np.finfo(float).eps)
-    y = (z - z[0]) / s
-    a = np.tril(np.tile(np.append(dt, 0.0), (n, 1)), -1)
-    d = np.eye(n, k=1)[:-1] - np.eye(n)[:-1]
-    gram, rho = 2 * a.T @ a, max(1e-6, 2 * float(np.trace(a.T @ a)) / n)
-    factor = np.linalg.inv(gram + rho * d.T @ d + 1e-12 * np.eye(n) * np.trace(gram))
-    v, dual, right = np.zeros(n - 1), np.zeros(n - 1), 2 * a.T @ y
-    for _ in range(rounds):
-        u = factor @ (right + rho * d.T @ (v - dual))
-        jump = d @ u
-        v = np.sign(jump + dual) * np.maximum(np.abs(jump + dual) - penalty / s / rho, 0)
-        dual += jump - v
-    return u * s
+    slope = np.diff(banded.least_turning((z - z[0]) / s, h, penalty / s / 2)) / h
+    return np.append(slope, slope[-1]) * s
 
 
 def derivative(df: DataFrame, panel: Panel = Panel(), method: str = "tvr", out: str = "d_z", **options) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..shipping import shipped
+from .banded import order_balance
 from .panel import Panel, row_numbers
 
 
@@ -37,14 +42,19 @@ def change_points(df: DataFrame, panel: Panel = Panel()) -> DataFrame:
     The window is a tenth of the series to each side, at least 5 rows. Series of up to 20
     rows, and series with more than five such rows, have none.
     """
-    d = row_numbers(df, panel).withColumn("half", F.greatest(F.lit(5), F.floor(F.col("n") / 10)).cast("int"))
-    longest = d.agg(F.max("half")).first()[0] or 5
-    near = F.collect_list(F.struct(F.col("rn").alias("r"), F.col(panel.value).alias("v"))).over(panel.frame(-longest, longest))
-    mine = F.transform(F.filter(near, lambda s: F.abs(s["r"] - F.col("rn")) <= F.col("half")), lambda s: s["v"])
-    d = d.withColumn("_m", mine)
-    mean = F.aggregate("_m", F.lit(0.0), lambda a, x: a + x) / F.size("_m")
-    d = d.withColumn("_mean", mean)
-    d = d.withColumn("variance", F.aggregate("_m", F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean"))) / F.nullif(F.size("_m") - 1, F.lit(0)))
+    x, half = F.col(panel.value).cast("double"), F.greatest(F.lit(5), F.floor(F.col("n") / 10)).cast("int")
+    d = row_numbers(df, panel).withColumn("_x", x - F.avg(x).over(panel.whole))
+    # A row counts from ``half`` places before its own to ``half`` after: it enters and leaves running sums.
+    known, zero = F.col("_x").isNotNull(), F.lit(0.0)
+    part = lambda at, sign, row: F.struct(at.alias("_at"), (sign * F.coalesce("_x", zero)).alias("_s"), (sign * F.coalesce(F.col("_x") * F.col("_x"), zero)).alias("_q"), (sign * known.cast("int")).alias("_m"), row.alias("_row"))
+    row = F.struct(panel.time, "rn", "n")
+    none = F.lit(None).cast(d.select(row.alias("r")).schema["r"].dataType)
+    events = F.array(part(F.col("rn") - half, F.lit(1), none), part(F.col("rn") + half + 1, F.lit(-1), none), part(F.col("rn"), F.lit(0), row))
+    so_far = W.partitionBy(*panel.keys).orderBy("_at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    d = d.select(*panel.keys, F.inline(events)).withColumns({c: F.sum(c).over(so_far) for c in ("_s", "_q", "_m")}).filter("_row is not null")
+    m = F.col("_m")
+    variance = F.greatest((F.col("_q") - F.col("_s") * F.col("_s") / F.nullif(m, F.lit(0))) / F.nullif(m - 1, F.lit(0)), zero)
+    d = d.select(*panel.keys, "_row.*", F.when(m > 1, variance).alias("variance"))
     v = F.col("variance")
     limit = F.avg(v).over(panel.whole) + 2 * F.stddev_samp(v).over(panel.whole)
     peak = (v > limit) & (v > F.lag(v).over(panel.order)) & (v > F.lead(v).over(panel.order)) & (F.col("n") > 20)
@@ -56,18 +66,18 @@ def change_points(df: DataFrame, panel: Panel = Panel()) -> DataFrame:
 def kendall(df: DataFrame, panel: Panel = Panel()) -> DataFrame:
     """Rows (keys, tau): sum of the signs of all later-minus-earlier differences over the number of pairs.
 
-    A theta join within each series, whose work is quadratic in a series' length: meant for
-    series of bounded length, as the statistic itself is.
+    Merge counting on each series; null and NaN values are in no pair but count for the number of
+    pairs. Null for a single row.
     """
-    d = row_numbers(df, panel).select(*panel.keys, "rn", "n", F.col(panel.value).alias("v"))
-    a, b = d.alias("a"), d.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in panel.keys]
-    on = F.col("a.rn") > F.col("b.rn")
-    for s in same:
-        on = on & s
-    pairs = a.join(b, on)
-    s = pairs.groupBy(*[F.col(f"a.{k}").alias(k) for k in panel.keys]).agg(F.sum(F.signum(F.col("a.v") - F.col("b.v"))).alias("s"), F.first("a.n").alias("n"))
-    return s.select(*panel.keys, (F.col("s") / (F.col("n") * (F.col("n") - 1) / 2)).alias("tau"))
+    keys = list(panel.keys)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        v = rows.sort_values(panel.time, kind="stable")[panel.value].to_numpy(float)
+        pairs = len(v) * (len(v) - 1) / 2
+        return rows[keys].head(1).assign(tau=order_balance(v[~np.isnan(v)]) / pairs if pairs else None)
+
+    d = df.select(*keys, panel.time, panel.value)
+    return shipped(d).groupBy(*keys).applyInPandas(one, StructType([*d.select(*keys).schema.fields, StructField("tau", DoubleType())]))
 
 
 def interpolate(left: DataFrame, right: DataFrame, panel: Panel = Panel(), value: str = "x", clamp: bool = True) -> DataFrame:
