@@ -59,8 +59,13 @@ def change_points(df: DataFrame, panel: Panel = Panel()) -> DataFrame:
     limit = F.avg(v).over(panel.whole) + 2 * F.stddev_samp(v).over(panel.whole)
     peak = (v > limit) & (v > F.lag(v).over(panel.order)) & (v > F.lead(v).over(panel.order)) & (F.col("n") > 20)
     d = d.withColumn("_peak", peak)
-    found = d.withColumn("_k", F.count_if("_peak").over(panel.whole)).filter("_peak and _k <= 5")
-    return found.select(*panel.keys, panel.time, F.col("rn").cast("long").alias("rn"), "variance")
+    found = d.withColumn("_k", F.count_if("_peak").over(panel.whole)).filter("_peak and _k <= 5").select(*panel.keys, panel.time, "rn", half.alias("_half"))
+    # Running sums cancel; what is returned is computed again from each peak's own rows, at most n a series.
+    rows = row_numbers(df, panel).select(*panel.keys, F.col("rn").alias("_other"), F.col(panel.value).alias("_v"))
+    near = found.join(rows, list(panel.keys)).filter(F.abs(F.col("_other") - F.col("rn")) <= F.col("_half"))
+    own = W.partitionBy(*panel.keys, panel.time, "rn")
+    near = near.withColumn("_d", F.col("_v") - F.avg("_v").over(own))
+    return near.groupBy(*panel.keys, panel.time, F.col("rn").cast("long").alias("rn")).agg((F.sum(F.col("_d") * F.col("_d")) / F.nullif(F.count("_v") - 1, F.lit(0))).alias("variance"))
 
 
 def kendall(df: DataFrame, panel: Panel = Panel()) -> DataFrame:

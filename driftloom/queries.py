@@ -452,6 +452,42 @@ def consensus(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dynamics.consensus(points, h.count()), "fixed_point", "lower", "upper", "prob_stability", "prob_n_fixed_points")
 
 
+LINE = f"{D}, b AS (SELECT series_id AS draw, regr_slope(d_z, z) AS b, regr_intercept(d_z, z) AS a FROM d GROUP BY series_id HAVING regr_sxx(d_z, z) > 0)"
+
+
+def fitted_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of change of each series as a line in its value, as draws of (a, b)."""
+    fit = regression.least_squares(with_derivative(spark, d), ["series_id"], F.col("d_z"), {"z": F.col("z")})
+    return fit.select(F.col("series_id").alias("draw"), F.col("`(Intercept)`").alias("a"), F.col("z").alias("b")).filter("b is not null")
+
+
+@query("fp01_fitted_fixed_points", f"WITH {LINE} SELECT draw, round(-a / b, 3) + 0.0 AS fixed_point, CASE WHEN b < -1e-6 THEN 'stable' WHEN b > 1e-6 THEN 'unstable' ELSE 'marginal' END AS stability FROM b WHERE abs(a / b) < 1000")
+def fitted_fixed_points(spark: SparkSession, d: str) -> DataFrame:
+    f = dynamics.analyse_fixed_points(spark, Equation("a + b * z"), "z", -1000.0, 1000.0, 201, draws=fitted_lines(spark, d), n_draws=None)
+    return f.select("draw", r("fixed_point", 3).alias("fixed_point"), "stability")
+
+
+@query("fp07_posterior_sweep", f"""WITH {LINE}, x AS (SELECT i::DOUBLE * 2 - 10 AS u, draw, -(a + i * 2 - 10) / b AS z, b FROM b, (SELECT unnest(range(0, 11)) AS i)), k AS (SELECT * FROM x WHERE abs(z) < 1000),
+n AS (SELECT u, count(*) AS n, (SELECT count(*) FROM b) AS n_all, count(*) FILTER (b < -1e-6) AS stable, count(*) FILTER (b > 1e-6) AS unstable, median(z) AS fixed_point, quantile_cont(z, 0.05) AS lower, quantile_cont(z, 0.95) AS upper FROM k GROUP BY u)
+SELECT u + 0.0 AS u, 1 AS branch, round(fixed_point, 3) + 0.0 AS fixed_point, round(lower, 3) + 0.0 AS lower, round(upper, 3) + 0.0 AS upper, CASE WHEN stable >= unstable THEN 'stable' ELSE 'unstable' END AS stability, round(greatest(stable, unstable) / n, 6) + 0.0 AS prob_stability, round(n / n_all, 6) + 0.0 AS prob_n_fixed_points FROM n WHERE n > n_all - n""")
+def posterior_sweep(spark: SparkSession, d: str) -> DataFrame:
+    draws = fitted_lines(spark, d)
+    found, _ = dynamics.analyse_bifurcations(spark, Equation("u + a + b * z"), "z", "u", -10.0, 10.0, 11, -1000.0, 1000.0, 201, draws=draws, n_draws=None)
+    out = dynamics.consensus(found, draws.count(), keys=["u"]).withColumn("u", r("u"))
+    return rounded(rounded(out, "prob_stability", "prob_n_fixed_points"), "fixed_point", "lower", "upper", digits=3)
+
+
+@query("sm01_uneven_times", """WITH RECURSIVE e AS (SELECT date_diff('day', DATE '1992-01-01', date_trunc('month', o_orderdate)::DATE)::DOUBLE AS t, avg(o_totalprice) / 1e5 AS x FROM orders GROUP BY 1), k AS (SELECT i AS step, i * 7.0::DOUBLE + i % 3 AS t FROM (SELECT unnest(range(0, 61)) AS i)),
+p AS (SELECT k.step, k.t, (SELECT max(t) FROM e WHERE e.t <= k.t) AS ta, (SELECT min(t) FROM e WHERE e.t >= k.t) AS tb FROM k), x AS (SELECT step, p.t, CASE WHEN ta IS NULL THEN b.x WHEN tb IS NULL OR ta = tb THEN a.x ELSE a.x + (b.x - a.x) * (p.t - ta) / (tb - ta) END AS x FROM p LEFT JOIN e a ON a.t = ta LEFT JOIN e b ON b.t = tb),
+s(step, t, value) AS (SELECT step, t, 1.0::DOUBLE FROM x WHERE step = 0 UNION ALL SELECT n.step, n.t, s.value + (n.t - s.t) * (0.1 * x.x - 0.08 * s.value) FROM s JOIN x ON x.step = s.step JOIN x n ON n.step = s.step + 1)
+SELECT step::INTEGER AS step, t, round(value, 6) + 0.0 AS value FROM s""")
+def uneven_times(spark: SparkSession, d: str) -> DataFrame:
+    month = F.datediff(F.trunc(F.col("o_orderdate").cast("date"), "month"), F.lit("1992-01-01")).cast("double")
+    x = tables.read(spark, d, "orders").groupBy(month.alias("t")).agg((F.avg("o_totalprice") / 1e5).alias("x"))
+    s = dynamics.simulate_at(spark, Equation("0.1 * x - 0.08 * z"), "z", 1.0, [i * 7.0 + i % 3 for i in range(61)], exogenous=x)
+    return s.select("step", "t", r("value").alias("value"))
+
+
 @query("ex02_phase", f"""WITH {D} SELECT series_id, round(corr(z, d_z), 6) + 0.0 AS correlation, round(regr_slope(d_z, z), 5) + 0.0 AS slope, round(regr_intercept(d_z, z), 4) + 0.0 AS intercept, round(count(*) * ln((regr_syy(d_z, z) - regr_sxy(d_z, z) ** 2 / regr_sxx(d_z, z)) / count(*)) + count(*) * ln(2 * pi()) + count(*) + 6, 3) + 0.0 AS aic_linear FROM d GROUP BY series_id""")
 def phase(spark: SparkSession, d: str) -> DataFrame:
     f = explore.phase(with_derivative(spark, d), ["series_id"], "d_z", "z")
