@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, doc_key, fresh, map_texts, materialise
 from .components import components, skewed_join
-from .features import SPACED, shingles, word_hashes
+from .features import exact_word_hashes, shingles
 
 #: Shingles that two alike sets must share in their prefixes (fewer for small sets).
 EXTRA = 16
@@ -40,7 +40,7 @@ FAMILY = 32
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a text (A-Z in lower case); none without words."""
-    return np.unique(shingles(word_hashes((text or "").encode("utf-8", "replace"), SPACED), words))
+    return np.unique(shingles(exact_word_hashes((text or "").encode("utf-8", "replace")), words))
 
 
 def row_key() -> Column:
