@@ -8,9 +8,15 @@ hashes ``ROWS`` values of one kind; sets of likeness s share at least one of ``B
 but for (1 - s**ROWS)**BANDS, 4.7e-7 for 0.8. Two sets in one bucket of a band are a
 candidate, and all links are confirmed on the full sets.
 
-Equal sets are one node. In a bucket each node first meets its pivot, the node that shares
-most buckets with others; what one confirmed pivot joins needs no further comparison. Only
-nodes of different components that still share a bucket are then compared with each other.
+Equal sets are one node. In a bucket each node first meets the pivot, the node that shares
+most buckets with others; what one pivot joins needs no further comparison. A large family
+of near copies also has members that are not alike to their pivot, and two of the family
+can still be. They are told by what sets them apart from the pivot P: if A is not alike to P,
+and A and B differ from P in no shingle in the same way, A and B are not alike either. So
+such links need a shared difference, and are found by joining differences, not members;
+the sizes of the sets and the number of shared differences give the likeness exactly. All
+other nodes of one bucket that are still in different components are compared pair by pair,
+unless their distances from a common pivot rule it out.
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ from .ngram_join import fits, in_bloom, shingle_set
 #: Values in a band and number of bands; each permutation gives two values.
 ROWS, BANDS = 6, 48
 PERMUTATIONS = ROWS * BANDS // 2
+#: Distance from a pivot up to which differences from it are listed.
+NEAR = 0.5
 #: Shingles that are permuted at once.
 BLOCK = 4096
 
@@ -86,18 +94,21 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
     return map_texts(rows, sign, "doc_id long, dk long, k1 long, k2 long, n int, d1 long, d2 long, bands array<long>")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, repeated: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those ``pairs`` (u, v: nodes) whose full shingle sets are alike."""
-    pairs = materialise(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct())
+def compared(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, repeated: DataFrame, words: int, percent: int) -> DataFrame:
+    """The full sets of ``pairs`` (u, v: nodes): rows (u, v, nu, nv, alike, dist, diff).
+
+    ``dist`` is the Jaccard distance; ``diff`` has what only u has (even numbers) and what
+    only v has (odd ones), null for a distance over NEAR.
+    """
+    pairs = materialise(pairs.filter("u <> v"))
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", F.col("k1").alias("rk"), F.col("k2").alias("o2")), "node")
     wanted = materialise(wanted)
     rows = docs.select(*keyed(), F.col("text").cast("string").alias("text")).withColumnRenamed("k1", "rk")
     some = skewed_join(in_bloom(rows, wanted.select("rk")), wanted, "rk").filter("k2 = o2").select("node", "text")
     some = materialise(some.join(repeated.withColumn("twice", F.lit(True)), "node", "left"))
     texts = some.filter("twice is null").select("node", "text").unionByName(some.filter("twice").select("node", "text").dropDuplicates(["node"]))
-    texts = materialise(texts)
-    with_u = skewed_join(pairs, texts.select("node", F.col("text").alias("tu")).withColumnRenamed("node", "u"), "u")
-    with_both = skewed_join(with_u, texts.select("node", F.col("text").alias("tv")).withColumnRenamed("node", "v"), "v").select("u", "v", "tu", "tv")
+    with_u = skewed_join(pairs.select("u", "v"), texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u")
+    with_both = skewed_join(with_u, texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v").select("u", "v", "tu", "tv")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -110,30 +121,55 @@ def confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, repeated: Dat
             return known[node]
 
         for batch in batches:
-            good = []
+            sizes, dists, alike, diffs = [], [], [], []
             for u, v, tu, tv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x, y = of(u, tu), of(v, tv)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
-
-    return map_texts(with_both, compare, "u long, v long").distinct()
-
-
-def still_apart(shared: DataFrame, families: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of nodes that share a bucket of ``shared`` and fit in size, but are in different components.
+                shared = np.isin(x, y, assume_unique=True)
+                both = int(shared.sum())
+                union = len(x) + len(y) - both
+                sizes.append((len(x), len(y)))
+                alike.append(100 * both >= percent * union)
+                dists.append(1 - both / union)
+                one = np.uint64(1)
+                diffs.append(np.concatenate([x[~shared] & ~one, np.setdiff1d(y, x[shared], assume_unique=True) | one]).astype(np.int64) if dists[-1] <= NEAR else None)
+            nu, nv = ([n[i] for n in sizes] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nu, pa.int64()), pa.array(nv, pa.int64()), pa.array(alike, pa.bool_()), pa.array(dists, pa.float64()), pa.array(diffs, pa.list_(pa.int64()))], names=["u", "v", "nu", "nv", "alike", "dist", "diff"])
+
+    return map_texts(with_both, compare, "u long, v long, nu long, nv long, alike boolean, dist double, diff array<long>")
+
+
+def by_differences(first: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) of nodes in different components that have the same pivot, by the differences they share."""
+    near = first.filter("diff is not null").select(F.col("u").alias("node"), F.col("v").alias("pivot"), F.col("nu").alias("n"), "alike", "diff")
+    near = skewed_join(near, materialise(near.filter("not alike").select("pivot").distinct()), "pivot", "left_semi")
+    near = skewed_join(near, families, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    tokens = materialise(near.select("node", "pivot", "n", "alike", "c", F.size("diff").alias("k"), F.explode("diff").alias("token")).withColumn("at", F.xxhash64("pivot", "token")))
+    one = tokens.filter("not alike").select("at", "pivot", "token", *[F.col(x).alias(f"{x}1") for x in ("node", "n", "c", "k")])
+    two = tokens.select("at", F.col("pivot").alias("pivot2"), F.col("token").alias("token2"), *[F.col(x).alias(f"{x}2") for x in ("node", "n", "c", "k", "alike")])
+    both = skewed_join(one, two, "at").filter("pivot = pivot2 and token = token2 and c1 <> c2 and (alike2 or node1 < node2)")
+    both = both.groupBy("node1", "node2", "n1", "n2", "k1", "k2").agg(F.count("*").alias("same"))
+    apart, size = F.col("k1") + F.col("k2") - 2 * F.col("same"), F.col("n1") + F.col("n2")
+    return both.filter(100 * (size - apart) >= percent * (size + apart)).select(F.col("node1").alias("u"), F.col("node2").alias("v"))
+
+
+def still_apart(shared: DataFrame, first: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of nodes that share a bucket of ``shared`` and fit in size, in different components, and not compared yet.
 
     In a bucket the members of its largest component are not paired with each other.
     """
+    of_pivot = first.select(F.col("u").alias("node"), F.col("v").alias("p"), "dist", F.col("diff").isNotNull().alias("near"))
     placed = skewed_join(shared.select("band", "node", "n"), families, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     placed = materialise(placed)
     parts = placed.groupBy("band", "c").agg(F.count("*").alias("k"))
     opened = parts.groupBy("band").agg(F.max(F.struct("k", "c"))["c"].alias("major"), F.count("*").alias("parts")).filter("parts > 1").select("band", "major")
-    opened = materialise(skewed_join(placed, opened, "band"))
-    minor = opened.filter("c <> major").select("band", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu"))
-    other = opened.select("band", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"), (F.col("c") != F.col("major")).alias("small"))
-    apart = (F.col("cu") != F.col("cv")) & ((F.col("u") < F.col("v")) | ~F.col("small")) & fits("nu", "nv", percent)
-    return skewed_join(minor, other, "band").filter(apart).select("u", "v")
+    opened = materialise(skewed_join(skewed_join(placed, opened, "band"), of_pivot, "node", "left").fillna({"p": -1, "near": False, "dist": 0.0}))
+    minor = opened.filter("c <> major").select("band", *[F.col(x).alias(f"{x}1") for x in ("node", "n", "c", "p", "dist", "near")])
+    other = opened.select("band", (F.col("c") != F.col("major")).alias("small"), *[F.col(x).alias(f"{x}2") for x in ("node", "n", "c", "p", "dist", "near")])
+    new = "c1 <> c2 and (node1 < node2 or not small) and node1 <> p2 and node2 <> p1"
+    same = "(p1 = p2 and p1 >= 0)"
+    far = f"{same} and ((near1 and near2) or abs(dist1 - dist2) > {1 - percent / 100 + 1e-9})"
+    found = skewed_join(minor, other, "band").filter(F.expr(f"{new} and not ({far})") & fits("n1", "n2", percent))
+    return found.select(F.least("node1", "node2").alias("u"), F.greatest("node1", "node2").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -161,13 +197,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     shared = materialise(skewed_join(postings, several, "band"))
     central = shared.groupBy("node").agg(F.sum("cnt").alias("mass"))
     central = skewed_join(shared.select("band", "node", "n"), central, "node")
-    pivots = materialise(central.groupBy("band").agg(F.max(F.struct("mass", "node", "n")).alias("p")).select("band", F.col("p.node").alias("pivot"), F.col("p.n").alias("m")))
+    pivots = materialise(central.groupBy("band").agg(F.max(F.struct("mass", "node", "n")).alias("p")).select("band", "p.mass", F.col("p.node").alias("pivot"), F.col("p.n").alias("m")))
     met = skewed_join(shared.select("band", "node", "n"), pivots, "band").filter(F.col("node") != F.col("pivot")).filter(fits("n", "m", percent))
-    met = met.groupBy("node", "pivot").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "pivot"))["pivot"].alias("v"))
-    links = materialise(confirmed(docs, met.select(F.col("node").alias("u"), "v"), nodes, repeated, words, percent))
+    met = met.groupBy("node", "pivot").agg(F.count("*").alias("c"), F.max("mass").alias("mass"))
+    most = met.groupBy("node").agg(F.max("c").alias("most"))
+    met = met.join(most, "node").filter("2 * c >= most").groupBy("node").agg(F.max(F.struct("mass", "pivot"))["pivot"].alias("v"))
+    first = materialise(compared(docs, met.select(F.col("node").alias("u"), "v"), nodes, repeated, words, percent))
+    links = first.filter("alike").select("u", "v")
+    links = materialise(links.unionByName(by_differences(first, materialise(components(links)), percent)))
     families = materialise(components(links))
-    more = confirmed(docs, still_apart(shared, families, percent), nodes, repeated, words, percent)
-    final = components(links.unionByName(more))
+    more = compared(docs, still_apart(shared, first, families, percent), nodes, repeated, words, percent)
+    final = components(links.unionByName(more.filter("alike").select("u", "v")))
 
     reached = skewed_join(nodes.select("d1", "d2", "n", "node", "dk"), final, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     reached = materialise(reached)
