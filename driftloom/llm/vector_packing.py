@@ -11,6 +11,7 @@ emptier than most are packed again across groups.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -56,8 +57,29 @@ def encoder(path: str):
     return tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: White space runs from this length on are cut out before the pattern sees them.
+LONG_RUN = 10_000
+# The white space of the pattern.
+BLANK = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_BLANK = re.compile(f"[{BLANK}]{{{LONG_RUN},}}")
+
+
 def token_ids(text: str | None, path: str) -> np.ndarray:
-    ids = encoder(path).encode(text or "", allowed_special="all")
+    """Ids of a text and END. Very long white space, on which the pattern would exhaust its stack, is one word by the pattern's own rule.
+
+    That is all of a run at the end of the text or before an added token, else all but its
+    last character, which belongs to what follows.
+    """
+    code, text = encoder(path), text or ""
+    ids, at = [], 0
+    for m in LONG_BLANK.finditer(text):
+        end = m.end()
+        if end < len(text) and not any(text.startswith(t, end) for t in code.special_tokens_set):
+            end -= 1
+        ids += code.encode(text[at : m.start()], allowed_special="all")
+        ids += code._encode_single_piece(text[m.start() : end])
+        at = end
+    ids += code.encode(text[at:], allowed_special="all")
     ids.append(END)
     return np.array(ids, dtype="<u4")
 
