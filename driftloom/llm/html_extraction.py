@@ -35,6 +35,7 @@ BREAKS = frozenset(["hr", "input"])  # void elements that end a block
 INLINE = frozenset(["a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "picture", "map", "output", "meter", "progress", "nobr"])
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "option": {"option"}}
 LISTS = frozenset(["ul", "ol", "dl", "table"])
+IN_HEAD = frozenset(["title", "meta", "link", "style", "script", "base", "noscript", "template"])  # anything else ends an open head
 
 
 #: Elements nested deeper than this become siblings of the deepest one, as in browsers.
@@ -95,6 +96,8 @@ def blocks(page: str) -> list[Block]:
         state["linked"] = 0
 
     def say(raw: str) -> None:
+        if raw and stack and stack[-1].tag == "head" and not raw.isspace():
+            pop_to(len(stack) - 1)  # text ends a head whose end tag was left out
         if raw and not state["dropped"]:
             text = decoded(raw) if "&" in raw else raw
             parts.append(text)
@@ -111,7 +114,7 @@ def blocks(page: str) -> list[Block]:
     def deepest(tags) -> int:
         return max((where[t][-1] for t in tags if where.get(t)), default=-1)
 
-    at, end_of = 0, len(page)
+    at, end_of, last_noscript = 0, len(page), None
     while at < end_of:
         start = page.find("<", at)
         if start < 0 or start + 1 >= end_of:
@@ -165,6 +168,13 @@ def blocks(page: str) -> list[Block]:
                     pop_to(ends)
             if name == "body":
                 pop_to(0)
+            elif name not in IN_HEAD and where.get("head"):
+                pop_to(where["head"][-1])
+            if name == "noscript":
+                if last_noscript is None:
+                    last_noscript = max((e.start() for e in re.finditer(r"</noscript", page, re.I)), default=-1)
+                if at > last_noscript:  # never closed: it hides nothing
+                    continue
             if len(stack) >= DEEPEST:
                 pop_to(DEEPEST - 1)
             names = NAMES.findall(rest) if rest else ()
