@@ -42,7 +42,10 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def chunk_ends(data: np.ndarray, bits: int = BITS, least: int = LEAST, most: int = MOST) -> list[int]:
-    """Ends of the chunks of a text's bytes, in order; none for an empty text."""
+    """Ends of the chunks of a text's UTF-8 bytes, in order; none for an empty text.
+
+    An end inside a character moves behind it, so a chunk has whole characters.
+    """
     ends, last = [], 0
     for at in range(0, len(data), 1 << 22):  # long texts in pieces, with what a hash needs from before
         back = min(at, 31)
@@ -59,7 +62,12 @@ def chunk_ends(data: np.ndarray, bits: int = BITS, least: int = LEAST, most: int
         ends.append(last)
     if last < len(data):
         ends.append(len(data))
-    return ends
+    e = np.array(ends, dtype=np.int64)
+    for _ in range(3):  # a character has at most three bytes more
+        inside = e < len(data)
+        inside[inside] = (data[e[inside]] & 0xC0) == 0x80
+        e += inside
+    return np.unique(e).tolist()
 
 
 def shared_ids(docs: DataFrame) -> DataFrame | None:
