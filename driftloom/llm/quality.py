@@ -92,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, most_labelled: int =
     """Fit on the rows of ``docs`` (doc_id, text) where ``use`` holds and ``labels`` (doc_id, quality) has a label.
 
     Document frequencies cover all of them; at most about ``most_labelled`` make the space
-    and vote. Without labels every score is 0.5.
+    and vote, one text of each id. Without labels every score is 0.5.
     """
     known = labels.filter(use & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
     n = known.count()
@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, most_labelled: int =
             got = [weigh(counts_of(t or ""), idf) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array([a.astype("<i4").tobytes() for a, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], names=["doc_id", "label", "slots", "values"])
 
-    got = map_texts(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality"), vectors_of, "doc_id long, label int, slots binary, values binary").toArrow().sort_by("doc_id").to_pydict()
+    got = map_texts(rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality"), vectors_of, "doc_id long, label int, slots binary, values binary").toArrow().sort_by("doc_id").to_pydict()
     x = np.zeros((len(got["label"]), WIDTH), dtype=np.float32)
     for i, (a, v) in enumerate(zip(got["slots"], got["values"], strict=True)):
         x[i, np.frombuffer(a, dtype="<i4")] = np.frombuffer(v, dtype=np.float32)

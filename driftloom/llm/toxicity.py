@@ -105,8 +105,9 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, most_positive: int =
     prior = min(0.95, max(1e-4, n_toxic / n_known))
     texts = docs.filter(use).select("doc_id", "text")
     ids = bounded_sample(known.filter("toxic = 1").select("doc_id"), most_positive, n_toxic, F.col("doc_id"))
-    toxic = _word_sets(texts.join(F.broadcast(ids), "doc_id", "left_semi"))
-    plain = _word_sets(bounded_sample(texts, most_unlabelled, texts.count(), F.col("doc_id")))
+    # One text of each toxic id, and rows by their id and text: repeated ids neither enlarge a sample nor empty it.
+    toxic = _word_sets(texts.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    plain = _word_sets(bounded_sample(texts, most_unlabelled, texts.count(), F.xxhash64("doc_id", "text")))
     words, n_p = np.unique(np.concatenate(toxic), return_counts=True)
     frequent = n_p >= max(2, 0.004 * len(toxic))
     words, n_p = words[frequent], n_p[frequent]
