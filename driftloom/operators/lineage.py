@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
+_written: list[tuple[SparkSession, str]] = []
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir).
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir).
 
     Only in local mode a temporary folder stands in where the session names none.
     """
-    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        local = context.master.startswith("local[") or context.master == "local"
-        if not named and not local:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftloom-"))
-    return df.checkpoint()
+    if not (context.master.startswith("local[") or context.master == "local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = tempfile.mkdtemp(prefix="driftloom-")
+    return _local[context.applicationId]
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, and safe from lost executors. Files go at the end."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/driftloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(_clean)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session has ended before
+            return

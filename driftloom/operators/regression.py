@@ -14,44 +14,91 @@ from ..shipping import shipped
 from .panel import Panel
 
 
+def centred_moments(df: DataFrame, keys: list[str], columns: list[Column], weight: Column | None = None) -> DataFrame:
+    """Per key: n, mass, means ``_m<i>`` and centred sums of products ``_s<i>_<j>`` of the columns, over rows where all are given.
+
+    Without weights one aggregation of mergeable moments; with weights the means come first
+    and go back to the rows. Sums of raw products, which lose all digits when data lie far
+    from zero, are never formed.
+    """
+    k = len(columns)
+    weigh = [] if weight is None else [weight.cast("double").alias("_w")]
+    rows = df.select(*keys, *[c.cast("double").alias(f"_v{i}") for i, c in enumerate(columns)], *weigh)
+    whole = F.lit(True)
+    for c in rows.columns[len(keys) :]:
+        whole = whole & F.col(c).isNotNull()
+    rows = rows.withColumn("_ok", whole)
+    v = [F.when(F.col("_ok"), F.col(f"_v{i}")) for i in range(k)]
+    n = F.count_if("_ok")
+    if weight is None:
+        sums = [(F.covar_pop(v[i], v[j]) * n).alias(f"_s{i}_{j}") for i in range(k) for j in range(i, k)]
+        return rows.groupBy(*keys).agg(n.alias("n"), n.cast("double").alias("mass"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(v)], *sums)
+    w = F.when(F.col("_ok"), F.col("_w"))
+    means = rows.groupBy(*keys).agg(*[(F.sum(w * c) / F.sum(w)).alias(f"_m{i}") for i, c in enumerate(v)])
+    near = rows.join(means, keys) if keys else rows.crossJoin(F.broadcast(means))
+    e = [c - F.col(f"_m{i}") for i, c in enumerate(v)]
+    # What the rounding of the means leaves over is taken out of the sums again.
+    sums = [(F.sum(w * e[i] * e[j]) - F.sum(w * e[i]) * F.sum(w * e[j]) / F.sum(w)).alias(f"_s{i}_{j}") for i in range(k) for j in range(i, k)]
+    return near.groupBy(*keys).agg(n.alias("n"), F.sum(w).alias("mass"), *[(F.first(f"_m{i}") + F.sum(w * e[i]) / F.sum(w)).alias(f"_m{i}") for i in range(k)], *sums)
+
+
+def moment_arrays(b: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means (groups, k) and centred sums of products (groups, k, k) of a batch of ``centred_moments``."""
+    m, s = np.zeros((len(b), k)), np.zeros((len(b), k, k))
+    for i in range(k):
+        m[:, i] = b[f"_m{i}"].to_numpy(float)
+        for j in range(i, k):
+            s[:, i, j] = s[:, j, i] = b[f"_s{i}_{j}"].to_numpy(float)
+    return m, s
+
+
+def solve_centred(mean: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """Coefficients (intercept first), the inverse of the centred products, and rss, of column 0 on the others; None if these are dependent.
+
+    Products are scaled to correlations first; terms count as dependent when the smallest
+    singular value of the scaled terms is below 1e-6.
+    """
+    sxx, sxy = s[1:, 1:], s[1:, 0]
+    if not np.isfinite(s).all() or not np.isfinite(mean).all():
+        return None
+    scale = np.sqrt(np.maximum(np.diag(sxx), 0.0))
+    if len(scale) and not (scale > 1e-14 * np.abs(mean[1:])).all():
+        return None
+    unit = sxx / scale[:, None] / scale
+    if len(scale) and np.linalg.eigvalsh(unit)[0] < 1e-12:
+        return None
+    slopes = np.linalg.solve(unit, sxy / scale) / scale if len(scale) else np.zeros(0)
+    inverse = np.linalg.inv(unit) / scale[:, None] / scale if len(scale) else np.zeros((0, 0))
+    return np.r_[mean[0] - slopes @ mean[1:], slopes], inverse, max(float(s[0, 0] - slopes @ sxy), 0.0)
+
+
 def least_squares(df: DataFrame, keys: list[str], target: Column, terms: dict[str, Column], weight: Column | None = None) -> DataFrame:
     """Weighted least squares with intercept of ``target`` on ``terms``, one fit per key.
 
-    The sums of products are one aggregation of the rows; only those, one row per key, are
-    solved, in batches. Returns keys, n, rss, tss, one column per coefficient
-    (``(Intercept)`` first) and its standard error ``se_<name>``; null where the terms are
-    not independent.
+    Centred sums of products are aggregated; only those, one row per key, are solved, in
+    batches. Rows with a null in a column are left out. Returns keys, n, rss, tss, one
+    column per coefficient (``(Intercept)`` first) and its standard error ``se_<name>``;
+    null where the terms are not independent.
     """
-    names = ["(Intercept)", *terms]
-    xs = [F.lit(1.0), *(c.cast("double") for c in terms.values())]
-    w, y, k = weight if weight is not None else F.lit(1.0), target.cast("double"), len(names)
-    sums = [F.sum(w * xs[i] * xs[j]).alias(f"_x{i}_{j}") for i in range(k) for j in range(i, k)]
-    sums += [F.sum(w * xs[i] * y).alias(f"_y{i}") for i in range(k)]
-    moments = df.groupBy(*keys).agg(F.count(y).alias("n"), F.sum(w * y * y).alias("_yy"), *sums)
+    names, k = ["(Intercept)", *terms], len(terms) + 1
+    moments = centred_moments(df, keys, [target, *terms.values()], weight)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            m = len(b)
-            xx = np.zeros((m, k, k))
-            for i in range(k):
-                for j in range(i, k):
-                    xx[:, i, j] = xx[:, j, i] = b[f"_x{i}_{j}"]
-            xy = np.stack([b[f"_y{i}"].to_numpy(float) for i in range(k)], axis=1) if m else np.zeros((0, k))
-            scale = np.sqrt(np.maximum(np.einsum("mii->mi", xx), 1e-300))
-            unit = np.nan_to_num(xx / scale[:, :, None] / scale[:, None, :])
-            good = np.array([np.linalg.matrix_rank(u, tol=1e-10) == k for u in unit], dtype=bool)
-            beta, inverse = np.full((m, k), np.nan), np.full((m, k, k), np.nan)
-            if good.any():
-                inverse[good] = np.linalg.inv(unit[good]) / scale[good][:, :, None] / scale[good][:, None, :]
-                beta[good] = np.linalg.solve(unit[good], (xy / scale)[good][:, :, None])[:, :, 0] / scale[good]
-            n, yy = b["n"].to_numpy(float), b["_yy"].to_numpy(float)
-            rss = np.maximum(yy - (beta * xy).sum(axis=1), 0.0)
-            with np.errstate(all="ignore"):
-                se = np.sqrt(np.einsum("mii->mi", inverse) * (rss / (n - k))[:, None])
-                tss = yy - xy[:, 0] ** 2 / xx[:, 0, 0]
-            out = b[[*keys, "n"]].assign(rss=rss, tss=tss)
+            means, sums = moment_arrays(b, k)
+            n, mass = b["n"].to_numpy(float), b["mass"].to_numpy(float)
+            beta, se, rss = np.full((len(b), k), np.nan), np.full((len(b), k), np.nan), np.full(len(b), np.nan)
+            for g in range(len(b)):
+                got = solve_centred(means[g], sums[g])
+                if got is None:
+                    continue
+                beta[g], inverse, rss[g] = got
+                if n[g] > k:
+                    spread = np.r_[1 / mass[g] + means[g, 1:] @ inverse @ means[g, 1:], np.diag(inverse)]
+                    se[g] = np.sqrt(np.maximum(spread, 0) * rss[g] / (n[g] - k))
+            out = b[[*keys, "n"]].assign(rss=rss, tss=sums[:, 0, 0])
             for i, name in enumerate(names):
-                out[name], out[f"se_{name}"] = beta[:, i], np.where(n > k, se[:, i], np.nan)
+                out[name], out[f"se_{name}"] = beta[:, i], se[:, i]
             yield out
 
     schema = moments.select(*keys, "n").schema.add("rss", "double").add("tss", "double")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.equations import Equation, structure
 from ..functions.scalars import inverse, ln
 from ..shipping import shipped
+from .regression import centred_moments, moment_arrays, solve_centred
 from .windows import rising_minimum
 
 # Physical and mathematical constants that fitted numbers are compared with.
@@ -72,24 +73,19 @@ def exhaustive(df: DataFrame, target: str, predictors: list[str], weight: Column
             terms[f"{p} * {q}"] = F.col(p).cast("double") * F.col(q)
             forms += [(3, [p, q]), (3, [p, q, f"{p} * {q}"])]
     names = list(terms)
-    xs, y, w = [F.lit(1.0), *terms.values()], F.col(target).cast("double"), weight if weight is not None else F.lit(1.0)
-    k = len(xs)
     rows = df.filter(" and ".join(f"`{c}` is not null" for c in (target, *predictors)))
-    # One row of (k + 1)^2 sums for all candidates; each candidate solves its block of them.
-    sums = [F.sum(w * xs[i] * xs[j]) for i in range(k) for j in range(k)] + [F.sum(w * x * y) for x in xs] + [F.sum(w * y * y), F.count(y)]
-    got = [float(v) if v is not None else np.nan for v in rows.agg(*[v.alias(f"s{i}") for i, v in enumerate(sums)]).first()]
-    xx, xy, (yy, n) = np.array(got[: k * k]).reshape(k, k), np.array(got[k * k : k * k + k]), got[k * k + k :]
-    out = []
+    # One row of centred sums for all candidates; each candidate solves its block of them.
+    got = centred_moments(rows, [], [F.col(target), *terms.values()], weight).toPandas()
+    (mean,), (sums,) = moment_arrays(got, len(names) + 1)
+    n, mass, out = int(got["n"][0]), float(got["mass"][0] or 0), []
     for complexity, used in forms:
         at = [0, *(names.index(u) + 1 for u in used)]
-        block, v = xx[np.ix_(at, at)], xy[at]
-        scale = np.sqrt(np.maximum(np.diag(block), 1e-300))
-        unit = block / scale[:, None] / scale
-        if not np.isfinite(unit).all() or np.linalg.matrix_rank(unit, tol=1e-10) < len(at):
+        solved = solve_centred(mean[at], sums[np.ix_(at, at)]) if n else None
+        if solved is None:
             continue
-        beta = np.linalg.solve(unit, v / scale) / scale
-        text = " + ".join([f"{beta[0]:.6f}", *(f"{b:.6f} * {u}" for b, u in zip(beta[1:], used, strict=True))])
-        out.append((complexity, " + ".join(used), text, max(float(yy - beta @ v), 0.0) / n))
+        beta, _, rss = solved
+        text = " + ".join([f"{beta[0]:.10g}", *(f"{b:.10g} * {u}" for b, u in zip(beta[1:], used, strict=True))])
+        out.append((complexity, " + ".join(used), text, rss / mass))
     return df.sparkSession.createDataFrame(out, "complexity int, form string, equation string, mse double")
 
 

@@ -36,26 +36,6 @@ def rolling_folds(df: DataFrame, panel: Panel = Panel(), k: int = 5, horizon: in
     return d.withColumn("role", role).filter("role is not null")
 
 
-def cross_validate(df: DataFrame, keys: list[str], target: str, predictor: str, fold: str = "fold") -> DataFrame:
-    """Per key and fold: scores of a line in ``predictor`` fitted on the other folds.
-
-    Sums of products are taken once for each fold; those of the training rows are the total
-    less the fold's. R^2 is about the mean of the training rows.
-    """
-    x, y = F.col(predictor), F.col(target)
-    names = ["n", "sx", "sy", "sxx", "sxy"]
-    part = df.groupBy(*keys, fold).agg(F.count(y).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"))
-    total = W.partitionBy(*keys)
-    train = part.select(*keys, fold, *[(F.sum(c).over(total) - F.col(c)).alias(c) for c in names])
-    det = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    slope = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(det, F.lit(0.0))
-    train = train.withColumn("slope", slope).withColumn("intercept", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n")).withColumn("train_mean", F.col("sy") / F.col("n"))
-    scored = df.join(train.select(*keys, fold, "slope", "intercept", "train_mean"), [*keys, fold])
-    e, m = y - F.col("intercept") - F.col("slope") * x, y - F.col("train_mean")
-    s = scored.groupBy(*keys, fold).agg(F.count(y).alias("n_test"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.sum(e * e).alias("ss_res"), F.sum(m * m).alias("ss_tot"))
-    return s.withColumn("r_squared", 1 - F.col("ss_res") / F.nullif(F.col("ss_tot"), F.lit(0.0)))
-
-
 def cv_summary(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Means over folds and the pooled R^2 (ratio of sums)."""
     return scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("folds"), F.avg("rmse").alias("mean_rmse"), F.avg("mae").alias("mean_mae"), (1 - F.sum("ss_res") / F.nullif(F.sum("ss_tot"), F.lit(0.0))).alias("r_squared_pooled"))

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField
 
 from ..functions import tails
 from ..functions.equations import Equation
 from ..operators import moments, windows
 from ..operators.panel import Panel
-from ..operators.regression import least_squares
+from ..operators.regression import centred_moments, least_squares, moment_arrays, solve_centred
+from ..shipping import shipped
 
 
 def transformations(df: DataFrame, variables: list[str]) -> DataFrame:
@@ -48,22 +53,58 @@ def formulas(df: DataFrame, named: dict[str, str]) -> DataFrame:
     return df
 
 
-def aic(n, rss, k: int):
-    return n * F.ln(F.when(rss > 0, rss) / n) + n * math.log(2 * math.pi) + n + 2 * (k + 1)
+#: Residual sums below this share of the total are rounding: the fit is exact, and simpler exact forms come first.
+EXACT = 1e-13
+FORMS = ("linear", "quadratic", "cubic")
 
 
 def phase(df: DataFrame, keys: list[str], target: str, x: str) -> DataFrame:
-    """Correlation, line, AIC of a line, parabola and cubic of ``target`` in ``x``, and the form of least AIC."""
+    """Line, parabola and cubic of ``target`` in ``x`` per key: the published fits of a phase portrait.
+
+    Returns keys, correlation, low and high (the range of x), for each form its AIC and its
+    coefficients by power of x (an array; null where the powers are not independent),
+    intercept and slope of the line, and the form of least AIC. Powers are of x less its
+    mean over its spread, so a far origin costs no digits; the coefficients are
+    turned back to powers of x itself. All forms share one aggregation.
+    """
     d = df.filter(F.col(target).isNotNull() & F.col(x).isNotNull())
     c = F.col(x).cast("double")
-    powers = {"x1": c, "x2": c * c, "x3": c * c * c}
-    out = d.groupBy(*keys).agg(F.corr(x, target).alias("correlation"), F.min(x).alias("low"), F.max(x).alias("high"))
-    for k, form in ((1, "linear"), (2, "quadratic"), (3, "cubic")):
-        fit = least_squares(d, keys, F.col(target), {p: powers[p] for p in list(powers)[:k]})
-        more = [F.col("`(Intercept)`").alias("intercept"), F.col("x1").alias("slope")] if k == 1 else []
-        out = out.join(fit.select(*keys, aic(F.col("n"), F.col("rss"), k + 1).alias(f"aic_{form}"), *more), keys)
-    best = F.least("aic_linear", "aic_quadratic", "aic_cubic")
-    return out.withColumn("form", F.when(F.col("aic_linear") <= best, "linear").when(F.col("aic_quadratic") <= best, "quadratic").when(F.col("aic_cubic") <= best, "cubic"))
+    about = d.groupBy(*keys).agg(F.try_divide(F.covar_pop(x, target), F.stddev_pop(x) * F.stddev_pop(target)).alias("correlation"), F.min(x).alias("low"), F.max(x).alias("high"), F.avg(c).alias("_mean"), F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias("_sd"))
+    u = (c - F.col("_mean")) / F.col("_sd")
+    unit = d.join(about.select(*keys, "_mean", "_sd"), keys) if keys else d.crossJoin(F.broadcast(about.select("_mean", "_sd")))
+    m = centred_moments(unit, keys, [F.col(target), u, u * u, u * u * u])
+    m = m.join(about, keys) if keys else m.crossJoin(F.broadcast(about))
+    made = [f"{w}_{f}" for f in FORMS for w in ("aic", "coefficients")]
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            means, sums = moment_arrays(b, 4)
+            found: dict[str, list] = {name: [None] * len(b) for name in made}
+            for g in range(len(b)):
+                n, centre, spread = int(b["n"].iloc[g]), float(b["_mean"].iloc[g]), float(b["_sd"].iloc[g])
+                for k, form in enumerate(FORMS, 1):
+                    got = solve_centred(means[g, : k + 1], sums[g, : k + 1, : k + 1]) if n else None
+                    if got is None:
+                        continue
+                    beta, _, rss = got
+                    rss = max(rss, EXACT * sums[g, 0, 0])
+                    if rss > 0:
+                        found[f"aic_{form}"][g] = n * math.log(rss / n) + n * math.log(2 * math.pi) + n + 2 * (k + 2)
+                    raw = np.polynomial.Polynomial(beta)(np.polynomial.Polynomial([-centre / spread, 1 / spread])).coef
+                    found[f"coefficients_{form}"][g] = [float(v) for v in np.r_[raw, np.zeros(k + 1 - len(raw))]]
+            yield b[[*keys, "n", "correlation", "low", "high"]].assign(**found)
+
+    schema = m.select(*keys, "n", "correlation", "low", "high").schema
+    for name in made:
+        schema = schema.add(StructField(name, DoubleType() if name.startswith("aic") else ArrayType(DoubleType())))
+    out = shipped(m).mapInPandas(solve, schema)
+    aics = [F.when(F.col(f"aic_{f}").isNotNull() & ~F.isnan(f"aic_{f}"), F.col(f"aic_{f}")) for f in FORMS]
+    out = out.withColumns({f"aic_{f}": a for f, a in zip(FORMS, aics, strict=True)})
+    best, form = F.least(*[F.col(f"aic_{f}") for f in FORMS]), F.lit(None).cast("string")
+    for f in reversed(FORMS):
+        form = F.when(F.col(f"aic_{f}") <= best, f).otherwise(form)
+    line = F.col("coefficients_linear")
+    return out.withColumns({"form": form, "intercept": F.get(line, F.lit(0)), "slope": F.get(line, F.lit(1))})
 
 
 def tertile_slopes(df: DataFrame, keys: list[str], target: str, x: str) -> DataFrame:

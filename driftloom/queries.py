@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.equations import Equation, structure
-from .operators import derivatives, dynamics, moments, refit, regression, search, validation, windows
+from .operators import bounded, derivatives, dynamics, glm, moments, refit, regression, search, validation, windows
 from .operators.panel import Panel, row_numbers
 from .plans import explore, models
 from .sources import tables, writers
@@ -241,6 +241,14 @@ def least_squares(spark: SparkSession, d: str) -> DataFrame:
     return fit.select("series_id", "n", r(F.col("`(Intercept)`"), 5).alias("intercept"), r("rn").alias("slope"), r("rss", 3).alias("rss"))
 
 
+@query("ft01_weighted", f"""WITH {Q}, x AS (SELECT *, t + 1e6 AS x, z + 1e7 AS y, 1.0 + rn % 3 AS w FROM q), m AS (SELECT series_id, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM x GROUP BY series_id), s AS (SELECT series_id, count(*) AS n, sum(w * (x - mx) ** 2) AS sxx, sum(w * (x - mx) * (y - my)) AS sxy, sum(w * (y - my) ** 2) AS syy FROM x JOIN m USING (series_id) GROUP BY series_id)
+SELECT series_id, n, round(sxy / sxx, 5) + 0.0 AS slope, round(syy - sxy ** 2 / sxx, 2) + 0.0 AS rss, round(syy, 2) + 0.0 AS tss FROM s""")
+def weighted_least_squares(spark: SparkSession, d: str) -> DataFrame:
+    rows = row_numbers(panel(spark, d), PANEL)
+    fit = regression.least_squares(rows, ["series_id"], F.col("z") + 1e7, {"x": F.col("t") + 1e6}, 1.0 + F.col("rn") % 3)
+    return fit.select("series_id", "n", r("x", 5).alias("slope"), r("rss", 2).alias("rss"), r("tss", 2).alias("tss"))
+
+
 @query("ft11_variance_model", f"""WITH {Q}, c AS (SELECT series_id, avg(z) AS m FROM q GROUP BY series_id), e AS (SELECT q.series_id, rn, abs(z - m) AS y FROM q JOIN c USING (series_id))
 SELECT series_id, round(regr_intercept(y, rn), 5) + 0.0 AS intercept, round(regr_slope(y, rn), 6) + 0.0 AS slope FROM e GROUP BY series_id""")
 def variance_model(spark: SparkSession, d: str) -> DataFrame:
@@ -263,6 +271,46 @@ def start_values(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(got["a"], got["b"])], "a double, b double")
 
 
+@query("ft03_bounded", f"""WITH {Q}, w AS (SELECT *, 1.0 + rn % 3 AS w FROM q), m AS (SELECT series_id, sum(w * rn) / sum(w) AS mx, sum(w * z) / sum(w) AS mz FROM w GROUP BY series_id),
+s AS (SELECT series_id, mx, mz, count(*) AS n, sum(w * (rn - mx) ** 2) AS sxx, sum(w * (rn - mx) * (z - mz)) AS sxz, sum(w * (z - mz) ** 2) AS szz FROM w JOIN m USING (series_id) GROUP BY ALL), b AS (SELECT *, greatest(-0.02, least(0.02, sxz / sxx)) AS b FROM s)
+SELECT series_id, n, round(mz - b * mx, 3) + 0.0 AS a, round(b, 5) + 0.0 AS b, round(szz - 2 * b * sxz + b * b * sxx, 2) + 0.0 AS rss, CASE WHEN abs(b) >= 0.02 THEN 'b' ELSE '' END AS at_bound FROM b""")
+def bounded_fit(spark: SparkSession, d: str) -> DataFrame:
+    rows = row_numbers(panel(spark, d), PANEL).withColumn("w", 1.0 + F.col("rn") % 3)
+    fit = bounded.fit_bounded(rows.drop("n"), ["series_id"], Equation("a + b * rn"), "z", {"a": 0.0, "b": 1.0}, {"b": -0.02}, {"b": 0.02}, "w")
+    return fit.select("series_id", "n", r("a", 3).alias("a"), r("b", 5).alias("b"), r("rss", 2).alias("rss"), F.array_join("at_bound", ",").alias("at_bound"))
+
+
+@query("ft03_cascade")
+def cascade(spark: SparkSession, d: str) -> DataFrame:
+    """A start at which the loss is not finite: the grid takes over."""
+    rows = row_numbers(panel(spark, d), PANEL).drop("n")
+    fit = bounded.fit_bounded(rows, ["series_id"], Equation("a * exp(b * rn / 100)"), "z", {"a": 1.0, "b": 1e5})
+    return fit.select("series_id", "n", "a", "b", "rss", "converged", "method")
+
+
+GLM_CASES = {"poisson": ("l_linenumber", "ln({})", "2 * sum(CASE WHEN y = 0 THEN 0 ELSE y * ln(y / m) END - (y - m))"), "binomial": ("CAST(l_discount > 0.05 AS INT)", "ln({0} / (1 - {0}))", "2 * sum(CASE WHEN y = 1 THEN -ln(m) ELSE -ln(1 - m) END)"), "gamma": ("l_extendedprice", "1 / ({})", "-2 * sum(ln(y / m) - (y - m) / m)")}
+GLM_SQL = " UNION ALL ".join(f"SELECT '{name}' AS family, l_returnflag, count(*) AS n, round({link.format('avg(y) FILTER (x = 0)')}, 8) + 0.0 AS intercept, round({link.format('avg(y) FILTER (x = 1)')} - ({link.format('avg(y) FILTER (x = 0)')}), 8) + 0.0 AS slope, round({dev}, 3) + 0.0 AS deviance FROM (SELECT l_returnflag, x, y, avg(y) OVER (PARTITION BY l_returnflag, x) AS m FROM (SELECT l_returnflag, CAST(l_quantity > 25 AS INT) AS x, ({target})::DOUBLE AS y FROM lineitem)) GROUP BY l_returnflag" for name, (target, link, dev) in GLM_CASES.items())
+
+
+@query("ft02_glm", GLM_SQL)
+def generalised(spark: SparkSession, d: str) -> DataFrame:
+    """Models with one indicator, whose solutions are known from group means."""
+    rows, out = tables.read(spark, d, "lineitem"), None
+    x = {"x": (F.col("l_quantity") > 25).cast("double")}
+    for family, (target, *_) in GLM_CASES.items():
+        fit = glm.glm(rows.withColumn("y", F.expr(target)), ["l_returnflag"], "y", x, family)
+        part = fit.select(F.lit(family).alias("family"), "l_returnflag", "n", r("`(Intercept)`", 8).alias("intercept"), r("x", 8).alias("slope"), r("deviance", 3).alias("deviance"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("pr10_glm_folds")
+def glm_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Poisson cross-validation on the scale of the response."""
+    rows = tables.read(spark, d, "lineitem").select("l_returnflag", F.col("l_linenumber").alias("y"), (F.col("l_quantity") / 50).cast("double").alias("x"), (F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(5)) + 1).cast("int").alias("fold"))
+    return glm.cross_validate_glm(rows, ["l_returnflag"], "y", {"x": F.col("x")}, "poisson")
+
+
 CASES = ["2.5 * x^2 + 3", "-1.5 * x", "x + 1e-14", "sin(2 * x) - 0.5", "inv(x + 3) * -2"]
 
 
@@ -488,10 +536,31 @@ def uneven_times(spark: SparkSession, d: str) -> DataFrame:
     return s.select("step", "t", r("value").alias("value"))
 
 
-@query("ex02_phase", f"""WITH {D} SELECT series_id, round(corr(z, d_z), 6) + 0.0 AS correlation, round(regr_slope(d_z, z), 5) + 0.0 AS slope, round(regr_intercept(d_z, z), 4) + 0.0 AS intercept, round(count(*) * ln((regr_syy(d_z, z) - regr_sxy(d_z, z) ** 2 / regr_sxx(d_z, z)) / count(*)) + count(*) * ln(2 * pi()) + count(*) + 6, 3) + 0.0 AS aic_linear FROM d GROUP BY series_id""")
+CURVE, _ = projected("u", ["u1", "u2", "u3"], "d_z", "(PARTITION BY series_id)")
+
+
+def phase_sql(rows: str) -> str:
+    """Twin of the three fits of d_z in z: powers of the standardised z made orthogonal, so that a far origin costs no digits."""
+    return f"""WITH {D}, s AS (SELECT series_id, z{rows} AS z, d_z FROM d), u0 AS (SELECT *, (z - avg(z) OVER w) / coalesce(nullif(stddev_pop(z) OVER w, 0), 1) AS u1 FROM s WINDOW w AS (PARTITION BY series_id)), u AS (SELECT series_id, z, u1, u1 * u1 AS u2, u1 * u1 * u1 AS u3, d_z FROM u0), {CURVE},
+e AS (SELECT series_id, count(*) AS n, min(z) AS low, max(z) AS high, sum(d_z * d_z) AS y0, sum(d_z * u1) ** 2 / sum(u1 * u1) AS y1, sum(d_z * u2) ** 2 / nullif(sum(u2 * u2), 0) AS y2, sum(d_z * u3) ** 2 / nullif(sum(u3 * u3), 0) AS y3 FROM o3 GROUP BY series_id),
+a AS (SELECT series_id, n, low, high, n * ln(2 * pi() * (y0 - y1) / n) + n + 6 AS a1, n * ln(2 * pi() * (y0 - y1 - y2) / n) + n + 8 AS a2, n * ln(2 * pi() * (y0 - y1 - y2 - y3) / n) + n + 10 AS a3 FROM e),
+l AS (SELECT series_id, corr(u1, d_z) AS correlation, regr_slope(d_z, u1) / stddev_pop(z) AS slope FROM u GROUP BY series_id)
+SELECT series_id, n, round(low, 6) + 0.0 AS low, round(high, 6) + 0.0 AS high, round(correlation, 6) + 0.0 AS correlation, round(slope, 5) + 0.0 AS slope, round(a1, 3) + 0.0 AS aic_linear, round(a2, 3) + 0.0 AS aic_quadratic, round(a3, 3) + 0.0 AS aic_cubic, CASE WHEN a1 <= least(a2, a3) THEN 'linear' WHEN a2 <= a3 THEN 'quadratic' ELSE 'cubic' END AS form FROM a JOIN l USING (series_id)"""
+
+
+def phase_of(rows: DataFrame) -> DataFrame:
+    f = explore.phase(rows, ["series_id"], "d_z", "z")
+    return f.select("series_id", "n", "form", *[r(c).alias(c) for c in ("low", "high", "correlation")], r("slope", 5).alias("slope"), *[r(f"aic_{k}", 3).alias(f"aic_{k}") for k in explore.FORMS])
+
+
+@query("ex02_phase", phase_sql(""))
 def phase(spark: SparkSession, d: str) -> DataFrame:
-    f = explore.phase(with_derivative(spark, d), ["series_id"], "d_z", "z")
-    return f.select("series_id", r("correlation").alias("correlation"), r("slope", 5).alias("slope"), r("intercept", 4).alias("intercept"), r("aic_linear", 3).alias("aic_linear"))
+    return phase_of(with_derivative(spark, d))
+
+
+@query("ex02_phase_far_origin", phase_sql(" + 19700"))
+def phase_far_origin(spark: SparkSession, d: str) -> DataFrame:
+    return phase_of(with_derivative(spark, d).withColumn("z", F.col("z") + 19700))
 
 
 @query("ex03_tertiles", f"""WITH {Q}, b AS (SELECT series_id, quantile_cont(z, 1 / 3.0) AS a, quantile_cont(z, 2 / 3.0) AS c FROM q GROUP BY series_id), x AS (SELECT q.*, CASE WHEN z <= a THEN 1 WHEN z <= c THEN 2 ELSE 3 END AS bin FROM q JOIN b USING (series_id))
