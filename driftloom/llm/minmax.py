@@ -11,7 +11,7 @@ candidate, and all links are confirmed on the full sets.
 Equal sets are one node. In a bucket each node first meets the pivot, the node that shares
 most buckets with others; what one pivot joins needs no further comparison. A large family
 of near copies also has members that are not alike to their pivot, and two of the family
-can still be. They are told by what sets them apart from the pivot P: if A is not alike to P,
+can still be. They are told by what sets them apart from a member P: if A is not alike to P,
 and A and B differ from P in no shingle in the same way, A and B are not alike either. So
 such links need a shared difference, and are found by joining differences, not members;
 the sizes of the sets and the number of shared differences give the likeness exactly. All
@@ -139,17 +139,39 @@ def compared(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, repeated: Data
 
 
 def by_differences(first: DataFrame, families: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) of nodes in different components that have the same pivot, by the differences they share."""
-    near = first.filter("diff is not null").select(F.col("u").alias("node"), F.col("v").alias("pivot"), F.col("nu").alias("n"), "alike", "diff")
-    near = skewed_join(near, materialise(near.filter("not alike").select("pivot").distinct()), "pivot", "left_semi")
-    near = skewed_join(near, families, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    tokens = materialise(near.select("node", "pivot", "n", "alike", "c", F.size("diff").alias("k"), F.explode("diff").alias("token")).withColumn("at", F.xxhash64("pivot", "token")))
+    """Links (u, v) of nodes with the same pivot, by the differences they share.
+
+    A pivot can be an odd one of its family, which all others then differ from alike. So
+    each family is first seen from its middle: the member nearest to what most of it has.
+    """
+    members = first.filter("diff is not null").select(F.col("u").alias("node"), F.col("v").alias("pivot"), F.col("nu").alias("n"), "alike", "diff")
+    open_ = materialise(members.filter("not alike").select("pivot").distinct())
+    heads = skewed_join(first.filter("diff is not null").select(F.col("v").alias("pivot"), F.col("nv").alias("n")).distinct(), open_, "pivot", "left_semi")
+    members = skewed_join(members, open_, "pivot", "left_semi").drop("alike")
+    members = materialise(members.unionByName(heads.select(F.col("pivot").alias("node"), "pivot", "n", F.array().cast("array<long>").alias("diff"))))
+    sizes = members.groupBy("pivot").agg(F.count("*").alias("m"))
+    counts = members.select("pivot", F.explode("diff").alias("token")).groupBy("pivot", "token").agg(F.count("*").alias("cnt"))
+    common = counts.join(sizes, "pivot").filter("2 * cnt > m").groupBy("pivot").agg(F.collect_list("token").alias("most"))  # within one text's size
+    common = materialise(sizes.join(common, "pivot", "left").select("pivot", F.coalesce("most", F.array().cast("array<long>")).alias("most")))
+    away = F.size("diff") + F.size("most") - 2 * F.size(F.array_intersect("diff", "most"))
+    ranked = skewed_join(members, common, "pivot").select("pivot", "node", "n", "diff", away.alias("away"))
+    middle = ranked.groupBy("pivot").agg(F.min(F.struct("away", "node", "n", "diff")).alias("x")).select("pivot", F.col("x.node").alias("middle"), F.col("x.n").alias("nm"), F.col("x.diff").alias("dm"))
+    seen = skewed_join(members, materialise(middle), "pivot").withColumn("diff", F.concat(F.array_except("diff", "dm"), F.array_except("dm", "diff"))).drop("dm").withColumn("k", F.size("diff"))
+
+    def alike(apart: Column, size: Column) -> Column:
+        return 100 * (size - apart) >= percent * (size + apart)
+
+    seen = materialise(seen.withColumn("alike", alike(F.col("k"), F.col("n") + F.col("nm"))))
+    near = seen.filter("alike and node <> middle").select(F.col("node").alias("u"), F.col("middle").alias("v"))
+    seen = skewed_join(seen, families, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    tokens = materialise(seen.select("node", "pivot", "n", "alike", "c", "k", F.explode("diff").alias("token")).withColumn("at", F.xxhash64("pivot", "token")))
     one = tokens.filter("not alike").select("at", "pivot", "token", *[F.col(x).alias(f"{x}1") for x in ("node", "n", "c", "k")])
     two = tokens.select("at", F.col("pivot").alias("pivot2"), F.col("token").alias("token2"), *[F.col(x).alias(f"{x}2") for x in ("node", "n", "c", "k", "alike")])
-    both = skewed_join(one, two, "at").filter("pivot = pivot2 and token = token2 and c1 <> c2 and (alike2 or node1 < node2)")
+    can = F.expr("pivot = pivot2 and token = token2 and c1 <> c2 and (alike2 or node1 < node2)")
+    both = skewed_join(one, two, "at").filter(can & alike(F.abs(F.col("k1") - F.col("k2")), F.col("n1") + F.col("n2")))
     both = both.groupBy("node1", "node2", "n1", "n2", "k1", "k2").agg(F.count("*").alias("same"))
-    apart, size = F.col("k1") + F.col("k2") - 2 * F.col("same"), F.col("n1") + F.col("n2")
-    return both.filter(100 * (size - apart) >= percent * (size + apart)).select(F.col("node1").alias("u"), F.col("node2").alias("v"))
+    far = both.filter(alike(F.col("k1") + F.col("k2") - 2 * F.col("same"), F.col("n1") + F.col("n2")))
+    return near.unionByName(far.select(F.col("node1").alias("u"), F.col("node2").alias("v")))
 
 
 def still_apart(shared: DataFrame, first: DataFrame, families: DataFrame, percent: int) -> DataFrame:
