@@ -273,11 +273,11 @@ def start_values(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ft03_bounded", f"""WITH {Q}, w AS (SELECT *, 1.0 + rn % 3 AS w FROM q), m AS (SELECT series_id, sum(w * rn) / sum(w) AS mx, sum(w * z) / sum(w) AS mz FROM w GROUP BY series_id),
 s AS (SELECT series_id, mx, mz, count(*) AS n, sum(w * (rn - mx) ** 2) AS sxx, sum(w * (rn - mx) * (z - mz)) AS sxz, sum(w * (z - mz) ** 2) AS szz FROM w JOIN m USING (series_id) GROUP BY ALL), b AS (SELECT *, greatest(-0.02, least(0.02, sxz / sxx)) AS b FROM s)
-SELECT series_id, n, round(mz - b * mx, 3) + 0.0 AS a, round(b, 5) + 0.0 AS b, round(szz - 2 * b * sxz + b * b * sxx, 2) + 0.0 AS rss, CASE WHEN abs(b) >= 0.02 THEN 'b' ELSE '' END AS at_bound FROM b""")
+SELECT series_id, n, round(mz - b * mx, 2) + 0.0 AS a, round(b, 5) + 0.0 AS b, round(szz - 2 * b * sxz + b * b * sxx, 2) + 0.0 AS rss, CASE WHEN abs(b) >= 0.02 THEN 'b' ELSE '' END AS at_bound FROM b""")
 def bounded_fit(spark: SparkSession, d: str) -> DataFrame:
     rows = row_numbers(panel(spark, d), PANEL).withColumn("w", 1.0 + F.col("rn") % 3)
     fit = bounded.fit_bounded(rows.drop("n"), ["series_id"], Equation("a + b * rn"), "z", {"a": 0.0, "b": 1.0}, {"b": -0.02}, {"b": 0.02}, "w")
-    return fit.select("series_id", "n", r("a", 3).alias("a"), r("b", 5).alias("b"), r("rss", 2).alias("rss"), F.array_join("at_bound", ",").alias("at_bound"))
+    return fit.select("series_id", "n", r("a", 2).alias("a"), r("b", 5).alias("b"), r("rss", 2).alias("rss"), F.array_join("at_bound", ",").alias("at_bound"))
 
 
 @query("ft03_cascade")
