@@ -55,12 +55,10 @@ def select_equation(front: DataFrame, criterion: str = "knee", n: int = 100) ->
     return front.withColumn("_s", score).orderBy("_s", "complexity", "equation").limit(1).drop("_s")
 
 
-def exhaustive(df: DataFrame, target: str, predictors: list[str], weight: Column | None = None) -> DataFrame:
-    """Rows (complexity, equation, mse): a line in each predictor, its inverse, square and log, and in pairs.
+def library(predictors: list[str]) -> tuple[dict[str, Column], list[tuple[int, list[str]]]]:
+    """Terms by name, and forms (complexity, terms): a line in each predictor, its inverse, square and log, and in pairs.
 
-    A product of a pair comes with both its main effects. All candidates share one pass over
-    the data for their sums of products; text carries the fitted numbers. Candidates that
-    are not finite on every row, or whose terms are not independent, are left out.
+    A product of a pair comes with both its main effects.
     """
     terms: dict[str, Column] = {}
     forms: list[tuple[int, list[str]]] = []
@@ -72,6 +70,17 @@ def exhaustive(df: DataFrame, target: str, predictors: list[str], weight: Column
         for q in predictors[i + 1 :]:
             terms[f"{p} * {q}"] = F.col(p).cast("double") * F.col(q)
             forms += [(3, [p, q]), (3, [p, q, f"{p} * {q}"])]
+    return terms, forms
+
+
+def exhaustive(df: DataFrame, target: str, predictors: list[str], weight: Column | None = None) -> DataFrame:
+    """Rows (complexity, equation, mse) of all forms of ``library``.
+
+    All candidates share one pass over the data for their sums of products; text carries
+    the fitted numbers. Candidates that are not finite on every row, or whose terms are not
+    independent, are left out.
+    """
+    terms, forms = library(predictors)
     names = list(terms)
     rows = df.filter(" and ".join(f"`{c}` is not null" for c in (target, *predictors)))
     # One row of centred sums for all candidates; each candidate solves its block of them.

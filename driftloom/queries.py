@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions.equations import Equation, structure
 from .operators import bounded, derivatives, dynamics, glm, moments, refit, regression, search, validation, windows
 from .operators.panel import Panel, row_numbers
-from .plans import explore, models
+from .plans import explore, models, stochastic
 from .sources import tables, writers
 
 PANEL = Panel()
@@ -639,6 +639,56 @@ def stochastic_model(spark: SparkSession, d: str) -> DataFrame:
     return m.drift.select("series_id", "iteration", F.col("`(Intercept)`").alias("intercept"), F.col("z").alias("slope")).join(m.diffusion.select("series_id", F.col("`(Intercept)`").alias("g0"), F.col("z").alias("g1")), "series_id")
 
 
+def iterated_line(iterations: int, tolerance: float) -> str:
+    """SQL of lines in z under weights from the residuals' size, iteration by iteration, each series up to where it stops."""
+
+    def line(name: str, rows: str, y: str, w: str, least: int) -> str:
+        return f"""{name}_m AS MATERIALIZED (SELECT series_id, sum({w} * z) / sum({w}) AS mz, sum({w} * {y}) / sum({w}) AS my FROM {rows} GROUP BY series_id),
+{name}_s AS MATERIALIZED (SELECT series_id, count(*) AS n, any_value(mz) AS mz, any_value(my) AS my, sum({w} * (z - mz) * ({y} - my)) AS sxy, sum({w} * (z - mz) ** 2) AS sxx FROM {rows} JOIN {name}_m USING (series_id) GROUP BY series_id),
+{name} AS MATERIALIZED (SELECT series_id, my - slope * mz AS a, slope AS b FROM (SELECT *, CASE WHEN n > {least} AND sqrt(sxx) > 1e-14 * abs(mz) THEN sxy / sxx ELSE 0 END AS slope FROM {name}_s))"""
+
+    parts = ["x AS MATERIALIZED (SELECT series_id, z, d_z AS y FROM d WHERE d_z IS NOT NULL AND NOT isnan(d_z))", line("l0", "x", "y", "1.0::DOUBLE", 2)]
+    for i in range(1, iterations + 1):
+        parts += [
+            f"r{i} AS MATERIALIZED (SELECT series_id, z, y, abs(y - (a + b * z)) AS e FROM x JOIN l{i - 1} USING (series_id))",
+            line(f"g{i}", f"r{i}", "e", "1.0::DOUBLE", 0),
+            f"w{i} AS MATERIALIZED (SELECT series_id, z, y, 1 / greatest(greatest(a + b * z, 0) ** 2, 1e-10) AS w FROM x JOIN g{i} USING (series_id))",
+            line(f"l{i}", f"w{i}", "y", "w", 2),
+            f"h{i} AS MATERIALIZED (SELECT series_id, {i} AS iteration, any_value(l.a) AS a, any_value(l.b) AS b, sum(w * (y - (l.a + l.b * z)) ** 2) / sum(w) AS deviance, sqrt(sum(w * (l.a + l.b * z - (o.a + o.b * z)) ** 2) / sum(w)) / (sqrt(sum(w * (o.a + o.b * z) ** 2) / sum(w)) + 1e-12) AS moved FROM w{i} JOIN l{i} l USING (series_id) JOIN l{i - 1} o USING (series_id) GROUP BY series_id)",
+        ]
+    every = " UNION ALL ".join(f"SELECT h{i}.*, g{i}.a AS g0, g{i}.b AS g1 FROM h{i} JOIN g{i} USING (series_id)" for i in range(1, iterations + 1))
+    return f"""WITH {D}, {", ".join(parts)}, h AS ({every}),
+c AS (SELECT *, abs(deviance - lag(deviance) OVER v) / (abs(lag(deviance) OVER v) + 1e-12) AS changed FROM h WINDOW v AS (PARTITION BY series_id ORDER BY iteration)),
+e AS (SELECT series_id, min(iteration) FILTER (changed < {tolerance} AND moved < {tolerance}) AS stopped FROM c GROUP BY series_id)
+SELECT series_id, coalesce(stopped, {iterations})::INTEGER AS n_iterations, stopped IS NOT NULL AS converged, CASE WHEN stopped IS NULL THEN 'max_iter' ELSE 'converged' END AS stop_reason, round(a, 3) + 0.0 AS intercept, round(b, 3) + 0.0 AS slope, round(g0, 3) + 0.0 AS g0, round(g1, 3) + 0.0 AS g1 FROM c JOIN e USING (series_id) WHERE iteration = coalesce(stopped, {iterations})"""
+
+
+@query("sd02_iterative_line", iterated_line(4, 1e-3))
+def iterative_line(spark: SparkSession, d: str) -> DataFrame:
+    line = ({"z": F.col("z")}, [(1, ["z"])])
+    m = stochastic.fit_stochastic(with_derivative(spark, d), PANEL, "d_z", ["z"], library=line, max_iterations=4, tolerance=1e-3, selection="deviance", diffusion="residual")
+    both = m.drift.join(m.diffusion.select("series_id", "g"), "series_id")
+    numbers = {"intercept": F.col("beta")[0], "slope": F.col("beta")[1], "g0": F.col("g")[0], "g1": F.col("g")[1]}
+    return both.select("series_id", "n_iterations", "converged", "stop_reason", *[r(c, 3).alias(n) for n, c in numbers.items()])
+
+
+@query("ss06_weighted_search")
+def weighted_search(spark: SparkSession, d: str) -> DataFrame:
+    """Every iteration of every series: the form found under its weights, its deviance, and its score under the last ones."""
+    m = stochastic.fit_stochastic(with_derivative(spark, d), PANEL, "d_z", ["z"], criterion="BIC", max_iterations=5, tolerance=1e-3)
+    chosen = m.drift.select("series_id", F.col("selected_iteration").alias("iteration"), F.lit(True).alias("selected"))
+    return m.history.join(chosen, ["series_id", "iteration"], "left").fillna({"selected": False})
+
+
+@query("pr08_predict_components")
+def predict_components(spark: SparkSession, d: str) -> DataFrame:
+    """Drift and diffusion of every row, from lines found for its series."""
+    rows = with_derivative(spark, d)
+    line = ({"z": F.col("z")}, [(1, ["z"])])
+    m = stochastic.fit_stochastic(rows, PANEL, "d_z", ["z"], library=line, max_iterations=2)
+    return m.predict(rows).select("series_id", "t", "z", "drift", "diffusion")
+
+
 @query("io06_to_json", "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS json FROM region")
 def json_rows(spark: SparkSession, d: str) -> DataFrame:
     return writers.to_json(tables.read(spark, d, "region").select("r_regionkey", "r_name"))
