@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.equations import Equation, structure
-from .operators import bounded, derivatives, dynamics, glm, moments, refit, regression, search, validation, windows
+from .operators import bounded, derivatives, dynamics, glm, moments, refit, regression, search, systems, validation, windows
 from .operators.panel import Panel, row_numbers
 from .plans import explore, models, stochastic
 from .sources import tables, writers
@@ -689,6 +689,42 @@ def predict_components(spark: SparkSession, d: str) -> DataFrame:
     return m.predict(rows).select("series_id", "t", "z", "drift", "diffusion")
 
 
+COUPLED = """pairs AS (SELECT a.series_id, a.rn, a.z AS x, b.z AS y FROM q a JOIN q b ON b.series_id = a.series_id + 1 AND b.rn = a.rn),
+moves AS (SELECT *, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM pairs WINDOW w AS (PARTITION BY series_id ORDER BY rn)),
+s AS (SELECT series_id, avg(x) AS mx, avg(y) AS my, avg(dx) AS mdx, avg(dy) AS mdy, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, dx) AS xd, covar_pop(y, dx) AS yd, covar_pop(x, dy) AS xe, covar_pop(y, dy) AS ye FROM moves WHERE dx IS NOT NULL AND dy IS NOT NULL GROUP BY series_id),
+k AS (SELECT *, CASE WHEN xx > 0 AND yy > 0 AND 1 - abs(xy) / sqrt(xx * yy) >= 1e-12 THEN xx * yy - xy * xy END AS det FROM s),
+f AS (SELECT series_id, mx, my, mdx, mdy, (xd * yy - yd * xy) / det AS ax, (yd * xx - xd * xy) / det AS ay, (xe * yy - ye * xy) / det AS bx, (ye * xx - xe * xy) / det AS by_ FROM k),
+p0 AS (SELECT series_id, x, y, mdx - ax * mx - ay * my AS a0, ax, ay, mdy - bx * mx - by_ * my AS b0, bx, by_ FROM moves JOIN f USING (series_id) WHERE rn = 1),
+path AS (SELECT series_id, 0 AS step, CASE WHEN a0 IS NOT NULL THEN x END AS x, CASE WHEN a0 IS NOT NULL THEN y END AS y, a0, ax, ay, b0, bx, by_ FROM p0
+UNION ALL SELECT series_id, step + 1, x + a0 + ax * x + ay * y, y + b0 + bx * x + by_ * y, a0, ax, ay, b0, bx, by_ FROM path WHERE step < 20)"""
+
+
+@query("sm01_coupled", f"WITH RECURSIVE {Q}, {COUPLED} SELECT series_id, step, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y FROM path")
+def coupled(spark: SparkSession, d: str) -> DataFrame:
+    """Each series and the one after it: how both move with both is fitted, and simulated from where they began."""
+    rows = row_numbers(panel(spark, d), PANEL).select("series_id", "rn", "z")
+    pairs = rows.withColumnRenamed("z", "x").join(rows.select((F.col("series_id") - 1).alias("series_id"), "rn", F.col("z").alias("y")), ["series_id", "rn"])
+    order = Panel(time="rn", value="x").order
+    moves = pairs.withColumns({f"d{v}": F.lead(v).over(order) - F.col(v) for v in "xy"})
+    starts = moves.filter("rn = 1").select("series_id", "x", "y")
+    for v, names in (("x", ("a0", "ax", "ay")), ("y", ("b0", "bx", "by"))):
+        fit = regression.least_squares(moves, ["series_id"], F.col(f"d{v}"), {"x": F.col("x"), "y": F.col("y")})
+        starts = starts.join(fit.select("series_id", *[F.col(f"`{c}`").alias(n) for c, n in zip(("(Intercept)", "x", "y"), names, strict=True)]), "series_id")
+    paths = systems.simulate_system(starts, ["series_id"], {"x": Equation("a0 + ax * x + ay * y"), "y": Equation("b0 + bx * x + by * y")}, 1.0, 20)
+    return rounded(paths.select("series_id", "step", "x", "y"), "x", "y", digits=4)
+
+
+@query("sm01_coupled_noise")
+def coupled_noise(spark: SparkSession, d: str) -> DataFrame:
+    """For every series a pair of paths with a noise in common: 200 simulations, their mean, spread and correlation at the end."""
+    s = panel(spark, d).groupBy("series_id").agg(F.avg("z").alias("mean"), F.stddev_samp("z").alias("sd"), F.min_by("z", "t").alias("x"))
+    starts = s.select("series_id", "x", F.col("mean").alias("y"), "mean", "sd")
+    drift = {"x": Equation("0.5 * (mean - x)"), "y": Equation("0.5 * (x - y)")}
+    noise = {"x": {"u": Equation("0.3 * sd")}, "y": {"u": Equation("0.1 * sd"), "v": Equation("0.1 * sd")}}
+    end = systems.simulate_system(starts, ["series_id"], drift, 0.1, 50, noise, {("u", "v"): 0.5}, sims=200).filter("step = 50")
+    return end.groupBy("series_id").agg(F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.stddev_samp("x").alias("sd_x"), F.stddev_samp("y").alias("sd_y"), F.corr("x", "y").alias("corr"))
+
+
 @query("io06_to_json", "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS json FROM region")
 def json_rows(spark: SparkSession, d: str) -> DataFrame:
     return writers.to_json(tables.read(spark, d, "region").select("r_regionkey", "r_name"))
