@@ -164,13 +164,28 @@ def by_differences(first: DataFrame, families: DataFrame, percent: int) -> DataF
     seen = materialise(seen.withColumn("alike", alike(F.col("k"), F.col("n") + F.col("nm"))))
     near = seen.filter("alike and node <> middle").select(F.col("node").alias("u"), F.col("middle").alias("v"))
     seen = skewed_join(seen, families, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    tokens = materialise(seen.select("node", "pivot", "n", "alike", "c", "k", F.explode("diff").alias("token")).withColumn("at", F.xxhash64("pivot", "token")))
-    one = tokens.filter("not alike").select("at", "pivot", "token", *[F.col(x).alias(f"{x}1") for x in ("node", "n", "c", "k")])
-    two = tokens.select("at", F.col("pivot").alias("pivot2"), F.col("token").alias("token2"), *[F.col(x).alias(f"{x}2") for x in ("node", "n", "c", "k", "alike")])
-    can = F.expr("pivot = pivot2 and token = token2 and c1 <> c2 and (alike2 or node1 < node2)")
+    # Two nodes that are alike share at least so many differences, at least one of which is among the rarest of both.
+    q, r = 100 + percent, 100 - percent
+    attributes = ["node", "pivot", "n", "nm", "alike", "c", "k"]
+    tokens = materialise(seen.select(*attributes, F.explode("diff").alias("token")).withColumn("at", F.xxhash64("pivot", "token")))
+    often = materialise(tokens.groupBy("at", "pivot", "token").agg(F.count("*").alias("cnt")).select("at", F.col("pivot").alias("pivot2"), F.col("token").alias("token2"), "cnt"))
+    counted = skewed_join(tokens, often, "at").filter("pivot = pivot2 and token = token2")
+    ranked = counted.groupBy(*attributes).agg(F.sort_array(F.collect_list(F.struct("cnt", "token"))).alias("rarest"))  # within one text's size
+    first_of = F.expr(f"k - greatest(1, ({q} * k + {r} * (nm - n)) div {2 * q} + 1) + 1")
+    deep_of = F.expr(f"k - greatest(1, k - ({r} * n) div {percent}) + 1")  # for partners near the middle
+    ranked = ranked.withColumn("reach", first_of).withColumn("deep", F.when(F.col("alike"), F.col("reach")).otherwise(deep_of))
+    rare = ranked.select(*attributes, "reach", "deep", F.posexplode(F.slice("rarest", 1, F.greatest("reach", "deep").cast("int"))).alias("pos", "x"))
+    rare = materialise(rare.select(*attributes, (F.col("pos") < F.col("reach")).alias("near"), (F.col("pos") < F.col("deep")).alias("deep"), F.col("x.token").alias("token")).withColumn("at", F.xxhash64("pivot", "token")))
+    one = rare.filter("not alike").select("at", "pivot", "token", *[F.col(x).alias(f"{x}1") for x in ("node", "n", "c", "k", "near", "deep")])
+    two = rare.filter("near").select("at", F.col("pivot").alias("pivot2"), F.col("token").alias("token2"), *[F.col(x).alias(f"{x}2") for x in ("node", "n", "c", "k", "alike")])
+    can = F.expr("pivot = pivot2 and token = token2 and c1 <> c2 and ((alike2 and deep1) or (not alike2 and near1 and node1 < node2))")
     both = skewed_join(one, two, "at").filter(can & alike(F.abs(F.col("k1") - F.col("k2")), F.col("n1") + F.col("n2")))
-    both = both.groupBy("node1", "node2", "n1", "n2", "k1", "k2").agg(F.count("*").alias("same"))
-    far = both.filter(alike(F.col("k1") + F.col("k2") - 2 * F.col("same"), F.col("n1") + F.col("n2")))
+    both = materialise(both.select("pivot", "node1", "node2", "n1", "n2", "k1", "k2").distinct())
+    whole = seen.select(F.xxhash64("node", "pivot").alias("row"), F.col("node").alias("node_"), F.col("pivot").alias("pivot_"), "diff")
+    for i in (1, 2):
+        both = skewed_join(both.withColumn("row", F.xxhash64(f"node{i}", "pivot")), whole, "row").filter(f"node_ = node{i} and pivot_ = pivot").withColumnRenamed("diff", f"diff{i}").drop("row", "node_", "pivot_")
+    same = F.size(F.array_intersect("diff1", "diff2"))
+    far = both.filter(alike(F.col("k1") + F.col("k2") - 2 * same, F.col("n1") + F.col("n2")))
     return near.unionByName(far.select(F.col("node1").alias("u"), F.col("node2").alias("v")))
 
 
