@@ -262,3 +262,47 @@ def test_samples_are_bounded_by_rows(spark, monkeypatch):
     toxicity.train(docs, labels, F.lit(True), most_positive=10, most_unlabelled=50)
     assert len(seen[0]) == 2 and 20 <= len(seen[1]) <= 100
     assert len(quality.train(docs, labels, F.lit(True), most_labelled=10).labels) == 4
+
+
+def test_links_by_differences_equal_all_pairs(spark):
+    """A family around one middle, with members on both sides of the threshold: links through rarest differences against all pairs."""
+    import random
+
+    from driftloom.llm.minmax import by_differences
+
+    rng = random.Random(4)
+    middle = set(range(0, 200, 2))
+    sets = {}
+    for node in range(1, 90):
+        s = set(middle) if node < 60 else set(sets[rng.randrange(1, node)])
+        for x in rng.sample(sorted(s), rng.randrange(0, 22)):
+            s.remove(x)
+        sets[node] = s | {1000 * node + 2 * i for i in range(rng.randrange(0, 12))} | set(rng.sample(range(5000, 5080, 2), rng.randrange(0, 14)))
+    rows = []
+    for node, s in sets.items():
+        same = len(s & middle)
+        union = len(s | middle)
+        rows.append((node, 0, len(s), 100, 100 * same >= 80 * union, 1 - same / union, sorted(s - middle) + [x + 1 for x in middle - s]))
+    first = spark.createDataFrame(rows, "u long, v long, nu long, nv long, alike boolean, dist double, diff array<long>")
+    apart = spark.createDataFrame([], "node long, component long")
+    got = {(min(r.u, r.v), max(r.u, r.v)) for r in by_differences(first, apart, 80).collect()}
+    sets[0] = middle
+
+    def linked(a, b):
+        return 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+
+    def classes(pairs):
+        of = {n: n for n in sets}
+
+        def top(n):
+            while of[n] != n:
+                n = of[n]
+            return n
+
+        for a, b in pairs:
+            of[max(top(a), top(b))] = min(top(a), top(b))
+        return {n: top(n) for n in sets}
+
+    every = {(a, b) for a in sets for b in sets if a < b and linked(a, b)}
+    assert got <= every and sum(not r[4] for r in rows) > 20
+    assert classes(got) == classes(every) and len(every - got) > 0
