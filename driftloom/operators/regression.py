@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.equations import Equation
 from ..shipping import shipped
 from .panel import Panel
+from .smooth import additive
 
 
 def centred_moments(df: DataFrame, keys: list[str], columns: list[Column], weight: Column | None = None) -> DataFrame:
@@ -195,15 +196,32 @@ def fit_equation(df: DataFrame, equation: Equation, target: str, start: dict[str
 
 
 def variance_model(df: DataFrame, keys: list[str], residual: str, predictors: list[str], transform: str = "absolute", method: str = "linear") -> DataFrame:
-    """Fit of the residuals' size (absolute, squared or log_squared) on nothing, the predictors, or also their squares."""
+    """Fit of the residuals' size (absolute, squared or log_squared) on nothing, the predictors, also their squares, or smooths of them (gam)."""
     r = F.col(residual)
     size = {"absolute": F.abs(r), "squared": r * r, "log_squared": F.ln(r * r + 1e-10)}[transform]
+    return size_fit(df, keys, size, predictors, method)
+
+
+def size_fit(df: DataFrame, keys: list[str], size: Column, predictors: list[str], method: str) -> DataFrame:
+    """A row of ``least_squares`` per key for constant, linear and quadratic fits, a row of ``additive`` for gam."""
+    if method not in ("constant", "linear", "quadratic", "gam"):
+        raise ValueError(f"unknown method {method}")
+    if method == "gam":
+        return additive(df, keys, size, predictors)
     terms = {} if method == "constant" else {p: F.col(p) for p in predictors}
     if method == "quadratic":
         terms |= {f"{p}^2": F.col(p) * F.col(p) for p in predictors}
     return least_squares(df, keys, size, terms)
 
 
+def diffusion_model(df: DataFrame, panel: Panel, predictors: list[str], method: str = "linear", window: int = 21) -> DataFrame:
+    """Fit, for every series, of the local diffusion that ``quadratic_variation`` finds on the predictors.
+
+    Predictions are of the diffusion itself, so ``to_sd(prediction, "absolute")`` gives it.
+    """
+    return size_fit(quadratic_variation(df, panel, window), list(panel.keys), F.col("diffusion"), predictors, method)
+
+
 def to_sd(prediction: Column, transform: str) -> Column:
     """Standard deviation from a prediction of a residual's size."""
     above = F.greatest(prediction, F.lit(0.0))
