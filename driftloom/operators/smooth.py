@@ -141,19 +141,17 @@ def predict_additive(df: DataFrame, fits: DataFrame, keys: list[str], predictors
     """
     fit = fits.select(*keys, F.struct("intercept", "lows", "steps", "coefficients").alias("_fit"))
     d = df.join(fit, keys, "left") if keys else df.join(F.broadcast(fit), how="left")
+    # Each step is a projection of its own: as one expression it outgrows compiled code.
+    step = [F.col("_fit.steps")[i] for i in range(len(predictors))]
+    last = [F.size(F.col("_fit.coefficients")[i]) - 3 for i in range(len(predictors))]
+    d = d.withColumns({f"_p{i}": (F.col(name).cast("double") - F.col("_fit.lows")[i]) / F.nullif(step[i], F.lit(0.0)) for i, name in enumerate(predictors)})
+    d = d.withColumns({f"_i{i}": F.least(F.greatest(f"_p{i}", F.lit(0.0)), last[i].cast("double")) for i in range(len(predictors))})
+    d = d.withColumns({f"_c{i}": F.least(F.floor(f"_i{i}"), last[i] - 1).cast("int") for i in range(len(predictors))})
+    d = d.withColumns({f"_b{i}": F.slice(F.col("_fit.coefficients")[i], F.col(f"_c{i}") + 1, F.lit(4)) for i in range(len(predictors))})
+    d = d.withColumns({f"_m{i}": F.array(*[sum((F.col(f"_b{i}")[k] * float(BASIS[k, m]) for k in range(1, 4)), F.col(f"_b{i}")[0] * float(BASIS[0, m])) for m in range(4)]) for i in range(len(predictors))})
     total = F.col("_fit.intercept")
     for i, name in enumerate(predictors):
-        weights, step = F.col("_fit.coefficients")[i], F.col("_fit.steps")[i]
-        place = (F.col(name).cast("double") - F.col("_fit.lows")[i]) / F.nullif(step, F.lit(0.0))
-        last = F.size(weights) - 3
-        inside = F.least(F.greatest(place, F.lit(0.0)), last.cast("double"))
-        cell = F.least(F.floor(inside), last - 1).cast("int")
-        u = inside - cell
-        value, slope = F.lit(0.0), F.lit(0.0)
-        for k, (c0, c1, c2, c3) in enumerate(BASIS.tolist()):
-            b = weights[cell + k]
-            value = value + b * (c0 + u * (c1 + u * (c2 + u * c3)))
-            slope = slope + b * (c1 + u * (2 * c2 + u * 3 * c3))
-        smooth = F.when(step > 0, value + (place - inside) * slope).when(F.col(name).isNotNull(), F.lit(0.0))
-        total = total + smooth
-    return d.withColumn(out, total).drop("_fit")
+        u, m = F.col(f"_i{i}") - F.col(f"_c{i}"), [F.col(f"_m{i}")[k] for k in range(4)]
+        beyond = (F.col(f"_p{i}") - F.col(f"_i{i}")) * (m[1] + u * (2 * m[2] + u * 3 * m[3]))
+        total = total + F.when(step[i] > 0, m[0] + u * (m[1] + u * (m[2] + u * m[3])) + beyond).when(F.col(name).isNotNull(), F.lit(0.0))
+    return d.withColumn(out, total).drop("_fit", *[f"_{c}{i}" for c in "picbm" for i in range(len(predictors))])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.equations import Equation, structure
-from .operators import bounded, derivatives, dynamics, glm, moments, refit, regression, search, systems, validation, windows
+from .operators import bounded, derivatives, dynamics, glm, moments, refit, regression, sampling, search, smooth, systems, validation, windows
 from .operators.panel import Panel, row_numbers
 from .plans import explore, models, stochastic
 from .sources import tables, writers
@@ -264,6 +264,45 @@ def quadratic_variation(spark: SparkSession, d: str) -> DataFrame:
     return row_numbers(regression.quadratic_variation(panel(spark, d), PANEL), PANEL).select("series_id", "rn", r("diffusion", 5).alias("diffusion"))
 
 
+@query("ft12_diffusion_on_state", f"""WITH {Q}, v AS (SELECT *, (lead(z) OVER {W} - z) ** 2 / nullif(lead(t) OVER {W} - t, 0) AS qv FROM q),
+m AS (SELECT *, CASE WHEN qv IS NOT NULL THEN sqrt(median(qv) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)) END AS g FROM v),
+f AS (SELECT *, coalesce(g, lag(g) OVER {W}) AS g2 FROM m)
+SELECT series_id, count(g2) AS n, round(regr_intercept(g2, z), 4) + 0.0 AS level, round(regr_slope(g2, z), 6) + 0.0 AS slope FROM f GROUP BY series_id""")
+def diffusion_on_state(spark: SparkSession, d: str) -> DataFrame:
+    m = regression.diffusion_model(panel(spark, d), PANEL, ["z"])
+    return m.select("series_id", "n", r("(Intercept)", 4).alias("level"), r("z").alias("slope"))
+
+
+@query("ft11_smooth_variance")
+def smooth_variance(spark: SparkSession, d: str) -> DataFrame:
+    """Residuals' size around every series' line in time, as a smooth of time and one of the value before: its freedom, fit and predicted range."""
+    w = PANEL.order
+    rows = panel(spark, d).withColumn("before", F.lag("z").over(w))
+    line = regression.least_squares(rows, ["series_id"], F.col("z"), {"t": F.col("t")}).select("series_id", F.col("(Intercept)").alias("a"), F.col("t").alias("b"))
+    e = rows.join(line, "series_id").withColumn("e", F.col("z") - F.col("a") - F.col("b") * F.col("t")).filter("before IS NOT NULL")
+    fits = regression.variance_model(e, ["series_id"], "e", ["t", "before"], method="gam")
+    sizes = smooth.predict_additive(e, fits, ["series_id"], ["t", "before"]).withColumn("sd", regression.to_sd(F.col("prediction"), "absolute"))
+    spread = sizes.groupBy("series_id").agg(F.min("sd").alias("least_sd"), F.max("sd").alias("most_sd"))
+    return rounded(fits.select("series_id", "n", "edf", "gcv", "rss", "tss").join(spread, "series_id"), "edf", "gcv", "rss", "tss", "least_sd", "most_sd", digits=3)
+
+
+@query("dv12_sampling", f"""WITH {Q}, g AS (SELECT *, z - lag(z) OVER {W} AS dz, t - lag(t) OVER {W} AS dt, rn - (n + 1) / 2.0 AS place FROM q),
+s AS (SELECT series_id, n, avg(dt) AS mean_dt, stddev_samp(dt) / avg(dt) AS dt_cv, avg(dz) AS mdz, avg(z) AS mz, sum(z * place) / sum(place * place) AS slope, n // 10 AS m FROM g GROUP BY series_id, n),
+l AS (SELECT series_id, dz - mdz AS e, lag(dz - mdz) OVER u AS e1, lag(dz - mdz, 5) OVER u AS e5 FROM g JOIN s USING (series_id) WHERE rn > 1 WINDOW u AS (PARTITION BY series_id ORDER BY rn)),
+a AS (SELECT series_id, sum(e * e1) / sum(e * e) AS a1, sum(e * e5) / sum(e * e) AS a5 FROM l GROUP BY series_id),
+sizes AS (SELECT (2 ** a * 3 ** b * 5 ** c)::BIGINT AS size FROM range(20) x(a), range(13) y(b), range(9) w(c) WHERE 2 ** a * 3 ** b * 5 ** c <= 1000000),
+fast AS (SELECT n, min(size) AS size FROM (SELECT DISTINCT n FROM q) JOIN sizes ON size >= n GROUP BY n),
+x AS (SELECT g.series_id, g.rn, size, (z - mz - slope * place) * CASE WHEN rn <= m THEN 0.5 * (1 - cos(pi() * (2 * rn - 1) / (2 * m))) WHEN rn > g.n - m THEN 0.5 * (1 - cos(pi() * (2 * (g.n - rn) + 1) / (2 * m))) ELSE 1 END AS x FROM g JOIN s USING (series_id) JOIN fast ON fast.n = g.n),
+pw AS (SELECT series_id, size, f, sum(x * cos(2 * pi() * f * (rn - 1) / size)) ** 2 + sum(x * sin(2 * pi() * f * (rn - 1) / size)) ** 2 AS power FROM (SELECT *, unnest(range(1, size // 2 + 1)) AS f FROM x) GROUP BY ALL),
+k AS (SELECT series_id, arg_max(f::DOUBLE / size, power) AS peak FROM pw GROUP BY series_id),
+o AS (SELECT *, 1 / (peak * mean_dt) AS samples, least(20, n // 4, n - 2) >= 5 AND abs(a5) > 0.8 * abs(a1) AND a1 > 0.5 AS over FROM s JOIN a USING (series_id) JOIN k USING (series_id))
+SELECT series_id, n, round(mean_dt, 6) + 0.0 AS mean_dt, round(dt_cv, 4) + 0.0 AS dt_cv, dt_cv ** 2 < 0.01 AS uniform_sampling, round(a1, 6) + 0.0 AS first_acf, over AS oversampled, round(peak, 6) + 0.0 AS dominant_frequency, round(samples, 4) + 0.0 AS samples_per_cycle, samples < 4 AS aliasing_risk,
+CASE WHEN over THEN 'Consider subsampling data' WHEN samples < 4 THEN 'Sample more frequently to avoid aliasing' ELSE 'Sampling frequency appears adequate' END AS recommendation FROM o WHERE n >= 4""")
+def sampling_diagnosis(spark: SparkSession, d: str) -> DataFrame:
+    s = sampling.diagnose_sampling(panel(spark, d), PANEL).filter("n >= 4")
+    return s.select("series_id", "n", r("mean_dt").alias("mean_dt"), r("dt_cv", 4).alias("dt_cv"), "uniform_sampling", r(F.col("acf")[0]).alias("first_acf"), "oversampled", r("dominant_frequency").alias("dominant_frequency"), r("samples_per_cycle", 4).alias("samples_per_cycle"), "aliasing_risk", "recommendation")
+
+
 @query("ft05_start_values", f"""WITH {P}, g(v) AS (VALUES (-10.0::DOUBLE), (-1.0), (-0.1), (0.1), (1.0), (10.0)), e AS (SELECT a.v AS a, b.v AS b, avg((z - (a.v + b.v * sin(t))) ** 2) AS mse FROM p, g a, g b GROUP BY ALL)
 SELECT a, b FROM e ORDER BY mse, a, b LIMIT 1""")
 def start_values(spark: SparkSession, d: str) -> DataFrame:
