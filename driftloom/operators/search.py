@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.equations import Equation, structure
+from ..functions.equations import NUMBER, Equation, structure
 from ..functions.scalars import inverse, ln
 from ..shipping import shipped
 from .regression import centred_moments, moment_arrays, solve_centred
@@ -55,6 +55,42 @@ def select_equation(front: DataFrame, criterion: str = "knee", n: int = 100) ->
     return front.withColumn("_s", score).orderBy("_s", "complexity", "equation").limit(1).drop("_s")
 
 
+def match_back(front: DataFrame, results: DataFrame, order: str = "equation", tolerance: float = 1e-10) -> DataFrame:
+    """``front`` with ``record``: the first of all ``results`` (by ``order``) of equal complexity whose mse is within ``tolerance``; null if none is.
+
+    Errors are joined by their multiple of the tolerance and both neighbouring ones, so no
+    range is compared row by row.
+    """
+    step = F.rint(F.col("mse") / tolerance)
+    f = front.select("complexity", F.col("mse").alias("_mse"), F.explode(F.array_distinct(F.array(step - 1, step, step + 1))).alias("_step")).distinct()
+    named = results.select("complexity", step.alias("_step"), F.col("mse").alias("_own"), F.col(order).alias("_order"), F.struct(*results.columns).alias("_record"))
+    met = named.join(f, ["complexity", "_step"]).filter((F.abs(F.col("_own") - F.col("_mse")) < tolerance) | (F.col("_own") == F.col("_mse")))
+    first = met.groupBy("complexity", F.col("_mse").alias("mse")).agg(F.min_by("_record", "_order").alias("record"))
+    return front.join(first, ["complexity", "mse"], "left").select(*front.columns, "record")
+
+
+def front_scores(df: DataFrame, target: str, equations: list[Equation]) -> DataFrame:
+    """Per equation complexity, mse, mae, r_squared, structure and number of constants, by complexity, from one pass over the rows.
+
+    r_squared is clamped to -1..1, and 0 where the target's sum of squares is at most 1e-10.
+    Rows with a null in the target or a variable are left out; equations with a non-finite
+    error are skipped, and all are when no row is left.
+    """
+    used = sorted({v for e in equations for v in e.variables(df.columns)} | {target})
+    y = F.col(target).cast("double")
+    gaps = [y - e.column() for e in equations]
+    sums = [c for i, g in enumerate(gaps) for c in (F.avg(g * g).alias(f"s{i}"), F.avg(F.abs(g)).alias(f"a{i}"))]
+    got = df.dropna(subset=used).agg(F.count(F.lit(1)).alias("n"), F.var_pop(y).alias("v"), *sums).first()
+    out = []
+    for i, e in enumerate(equations):
+        mse, mae = got[f"s{i}"], got[f"a{i}"]
+        if mse is None or not np.isfinite(mse) or not np.isfinite(mae):
+            continue
+        r2 = 1 - mse / got["v"] if got["n"] * got["v"] > 1e-10 else 0.0
+        out.append((e.complexity(), mse, mae, min(max(r2, -1.0), 1.0), e.text, NUMBER.sub("C", e.text), len(NUMBER.findall(e.text))))
+    return df.sparkSession.createDataFrame(sorted(out), "complexity int, mse double, mae double, r_squared double, equation string, structure string, n_constants int")
+
+
 def library(predictors: list[str]) -> tuple[dict[str, Column], list[tuple[int, list[str]]]]:
     """Terms by name, and forms (complexity, terms): a line in each predictor, its inverse, square and log, and in pairs.
 

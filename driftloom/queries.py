@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.equations import Equation, structure
-from .operators import bounded, derivatives, dynamics, glm, moments, refit, regression, sampling, search, smooth, systems, validation, windows
+from .operators import bounded, derivatives, dynamics, figures, glm, moments, refit, regression, sampling, search, smooth, systems, validation, windows
 from .operators.panel import Panel, row_numbers
 from .plans import explore, models, stochastic
 from .sources import tables, writers
@@ -419,6 +419,44 @@ def select_bic(spark: SparkSession, d: str) -> DataFrame:
     return search.select_equation(search.pareto_front(candidates(spark, d)), "BIC").select("complexity", r("mse", 4).alias("mse"), "equation")
 
 
+@query("jn09_match_back", f"WITH {FRONT} SELECT complexity, round(mse, 4) + 0.0 AS mse, (SELECT min(c.equation) FROM c WHERE c.complexity = g.complexity AND abs(c.mse - g.mse) < 1e-10) AS record FROM g")
+def match_back(spark: SparkSession, d: str) -> DataFrame:
+    all_of_them = candidates(spark, d)
+    return search.match_back(search.pareto_front(all_of_them), all_of_them).select("complexity", r("mse", 4).alias("mse"), F.col("record.equation").alias("record"))
+
+
+@query("pz08_front_table", f"""WITH {FRONT}, b AS (SELECT complexity FROM g ORDER BY 100 * ln(mse) + complexity * ln(100), complexity LIMIT 1)
+SELECT c.complexity, round(sqrt(c.mse), 6) + 0.0 AS rmse, c.equation, g.equation IS NOT NULL AS on_front, g.equation IS NOT NULL AND c.complexity IN (FROM b) AS is_selected FROM c LEFT JOIN g ON g.complexity = c.complexity AND g.equation = c.equation""")
+def front_table(spark: SparkSession, d: str) -> DataFrame:
+    found = candidates(spark, d)
+    return rounded(figures.front_table(search.pareto_front(found), found, "BIC"), "rmse")
+
+
+def scored(text: str) -> str:
+    return f"SELECT '{text}' AS equation, avg((d_z - ({text})) ** 2) AS mse, avg(abs(d_z - ({text}))) AS mae, var_pop(d_z) AS v FROM d WHERE d_z IS NOT NULL"
+
+
+@query("ss15_front_scores", f"WITH {D}, s AS ({scored('0.5')} UNION ALL {scored('50 - z')} UNION ALL {scored('40 - 0.8 * z')} UNION ALL {scored('20 * sin(z)')}) SELECT equation, regexp_replace(equation, '\\d+\\.?\\d*', 'C', 'g') AS structure, round(mse, 4) + 0.0 AS mse, round(mae, 6) + 0.0 AS mae, round(greatest(-1, least(1, 1 - mse / v)), 8) + 0.0 AS r_squared FROM s")
+def front_scores(spark: SparkSession, d: str) -> DataFrame:
+    s = search.front_scores(with_derivative(spark, d), "d_z", [Equation(e) for e in ("0.5", "50 - z", "40 - 0.8 * z", "20 * sin(z)")])
+    return s.select("equation", "structure", r("mse", 4).alias("mse"), r("mae").alias("mae"), r("r_squared", 8).alias("r_squared"))
+
+
+@query("pz09_histogram", f"""WITH {P}, s AS (SELECT series_id, count(*) AS n, min(z) AS lo, max(z) AS hi FROM p GROUP BY series_id), c AS (SELECT *, CASE WHEN hi > lo THEN (hi - lo) / ceil(log2(n) + 1) END AS cell FROM s),
+b AS (SELECT *, 10.0::DOUBLE ** floor(log10(cell)) AS base FROM c), w AS (SELECT *, coalesce(CASE WHEN cell IS NULL THEN 1.0 WHEN NOT 2 * base - cell < 1.5 * (cell - base) THEN base WHEN NOT 5 * base - cell < 2.75 * (cell - 2 * base) THEN 2 * base WHEN NOT 10 * base - cell < 1.5 * (cell - 5 * base) THEN 5 * base ELSE 10 * base END, 1.0)::DOUBLE AS width FROM b),
+e AS (SELECT *, floor(lo / width + 1e-7)::BIGINT + 1 AS a FROM w), f AS (SELECT *, greatest(ceil(hi / width - 1e-7)::BIGINT, a) AS o FROM e), g AS (SELECT *, unnest(range(a, o + 1)) AS k FROM f),
+h AS (SELECT p.series_id, least(greatest(ceil(z / width - 1e-7)::BIGINT, a), o) AS k, count(*) AS c FROM p JOIN f USING (series_id) GROUP BY ALL)
+SELECT series_id, (k - a + 1)::INTEGER AS bin, round((k - 1) * width, 6) + 0.0 AS low, round(k * width, 6) + 0.0 AS high, coalesce(c, 0) AS count, round(coalesce(c, 0) / (n * width), 8) + 0.0 AS density FROM g LEFT JOIN h USING (series_id, k)""")
+def histogram(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(figures.histogram(panel(spark, d), ["series_id"], "z"), "low", "high").withColumn("density", r("density", 8))
+
+
+@query("pz09_normal_pairs", f"""WITH {P}, k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY z, t) AS rank, count(*) OVER (PARTITION BY series_id) AS n FROM p)
+SELECT series_id, round(t, 6) + 0.0 AS t, rank, n, round((rank - a) / (n + 1 - 2 * a), 8) + 0.0 AS p, z AS sample FROM (SELECT *, CASE WHEN n <= 10 THEN 0.375 ELSE 0.5 END::DOUBLE AS a FROM k)""")
+def normal_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(figures.normal_pairs(panel(spark, d), ["series_id"], "z", "t"), "t").withColumn("p", r("p", 8)).drop("theoretical")
+
+
 @query("ss11_knee", f"""WITH {FRONT}, n AS (SELECT *, (complexity - min(complexity) OVER ()) / (max(complexity) OVER () - min(complexity) OVER () + 1e-10) AS u, (mse - min(mse) OVER ()) / (max(mse) OVER () - min(mse) OVER () + 1e-10) AS v FROM g),
 e AS (SELECT *, first_value(u) OVER w AS u1, last_value(u) OVER w AS u2, first_value(v) OVER w AS v1, last_value(v) OVER w AS v2 FROM n WINDOW w AS (ORDER BY complexity ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT complexity, round(mse, 4) + 0.0 AS mse, equation FROM e ORDER BY round(coalesce(abs((v2 - v1) * u - (u2 - u1) * v + u2 * v1 - v2 * u1) / nullif(sqrt((u2 - u1) ** 2 + (v2 - v1) ** 2), 0), 0), 12) DESC, complexity LIMIT 1""")
