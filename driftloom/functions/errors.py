@@ -21,3 +21,15 @@ class UnknownName(EngineError):
 
 class SubstitutionIgnored(EngineError):
     """A value was given that the equation's result does not depend on."""
+
+
+class SubstitutionInert(EngineError):
+    """A value was given for a coefficient whose term is zero at every point."""
+
+
+class PredictionNondeterministic(EngineError):
+    """The same prediction, made twice, gave different values."""
+
+
+class UncertifiableSubstitution(EngineError):
+    """It cannot be shown that a substitution, or a prediction rebuilt from draws, is that of the fitted model."""

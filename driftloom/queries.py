@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.equations import Equation, structure
-from .operators import bounded, derivatives, dynamics, figures, glm, moments, refit, regression, sampling, search, smooth, systems, validation, windows
+from .operators import bounded, certify, derivatives, dynamics, figures, glm, moments, refit, regression, sampling, search, smooth, systems, validation, windows
 from .operators.panel import Panel, row_numbers
 from .plans import explore, models, stochastic
 from .sources import tables, writers
@@ -457,6 +457,19 @@ def normal_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(figures.normal_pairs(panel(spark, d), ["series_id"], "z", "t"), "t").withColumn("p", r("p", 8)).drop("theoretical")
 
 
+@query("fp08_certified_draws", f"""WITH {D}, c AS (SELECT regr_intercept(d_z, z) AS a, regr_slope(d_z, z) AS b FROM d GROUP BY series_id), m AS (SELECT avg(a) AS a, avg(b) AS b FROM c WHERE a IS NOT NULL), g AS (SELECT unnest(range(0, 101))::DOUBLE AS x)
+SELECT count(*) AS n, 0.0::DOUBLE AS error, round(greatest(1, max(abs(a + b * x))), 4) + 0.0 AS scale FROM g, m""")
+def certified_draws(spark: SparkSession, d: str) -> DataFrame:
+    """A line for every series as draws of one: their average over a grid of 101 points, held against the line of averages."""
+    fits = regression.least_squares(with_derivative(spark, d), ["series_id"], F.col("d_z"), {"z": F.col("z")})
+    draws = fits.select(F.col("series_id").alias("draw"), F.col("(Intercept)").alias("a"), F.col("z").alias("b")).dropna()
+    points = dynamics.line(spark, 0.0, 100.0, 101)
+    mean = draws.agg(F.avg("a").alias("a"), F.avg("b").alias("b")).first().asDict()
+    certify.verify_substitution(points, lambda c: Equation("a + b * z", c).column(), mean, {"b": mean["b"] + 1.0}, {"b": F.col("z")})
+    row = certify.certify_draws(points, draws, {"a": F.lit(1.0), "b": F.col("z")}, Equation("a + b * z", mean).column())
+    return rounded(spark.createDataFrame([(row.n, row.error, row.scale)], "n long, error double, scale double"), "error", "scale", digits=4)
+
+
 @query("ss11_knee", f"""WITH {FRONT}, n AS (SELECT *, (complexity - min(complexity) OVER ()) / (max(complexity) OVER () - min(complexity) OVER () + 1e-10) AS u, (mse - min(mse) OVER ()) / (max(mse) OVER () - min(mse) OVER () + 1e-10) AS v FROM g),
 e AS (SELECT *, first_value(u) OVER w AS u1, last_value(u) OVER w AS u2, first_value(v) OVER w AS v1, last_value(v) OVER w AS v2 FROM n WINDOW w AS (ORDER BY complexity ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT complexity, round(mse, 4) + 0.0 AS mse, equation FROM e ORDER BY round(coalesce(abs((v2 - v1) * u - (u2 - u1) * v + u2 * v1 - v2 * u1) / nullif(sqrt((u2 - u1) ** 2 + (v2 - v1) ** 2), 0), 0), 12) DESC, complexity LIMIT 1""")
