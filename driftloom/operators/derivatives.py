@@ -68,41 +68,70 @@ def spectral(df: DataFrame, panel: Panel = Panel(), out: str = "d_z") -> DataFra
     return _per_series(df, panel, one, out)
 
 
-def smoothing_spline(df: DataFrame, panel: Panel = Panel(), out: str = "d_z", penalties: int = 40) -> DataFrame:
-    """Derivative of the natural cubic smoothing spline whose penalty minimises generalised cross-validation."""
+def smoothing_spline(df: DataFrame, panel: Panel = Panel(), out: str = "d_z", penalties: int = 40, freedom: float | None = None) -> DataFrame:
+    """Derivative of the natural cubic smoothing spline whose penalty minimises generalised cross-validation.
+
+    With ``freedom`` the penalty is the one that gives the spline that many degrees of
+    freedom, held between 2.001 and 0.001 less than the series' length.
+    """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(panel.time, kind="stable")
         z, t = rows[panel.value].to_numpy(float), rows[panel.time].to_numpy(float)
-        return rows.assign(**{out: spline_derivative(t, z, penalties)})
+        return rows.assign(**{out: spline_derivative(t, z, penalties, freedom)})
 
     return _per_series(df, panel, one, out)
 
 
-def spline_derivative(t: np.ndarray, z: np.ndarray, penalties: int = 40) -> np.ndarray:
-    """Slopes of the spline: for each penalty one solve with five bands, whose inverse's bands give the degrees of freedom."""
+class Spline:
+    """Natural cubic smoothing splines of one series; every penalty is a solve with five bands."""
+
+    def __init__(self, t: np.ndarray, z: np.ndarray):
+        self.z, self.h = z, np.diff(t)
+        h, self.weights = self.h, banded.second_differences(self.h)
+        a, b, c = self.weights
+        self.rough, self.bend = banded.gram(a, b, c), ((h[:-1] + h[1:]) / 3, h[1:-1] / 6)
+        self.turns = a * z[:-2] + b * z[1:-1] + c * z[2:]
+        self.unit = self.bend[0].sum() / self.rough[0].sum() * len(z)
+
+    def factors(self, penalty: float) -> tuple[list[float], list[float], list[float]]:
+        return banded.factor((self.bend[0] + penalty * self.rough[0], self.bend[1] + penalty * self.rough[1], penalty * self.rough[2]))
+
+    def left(self, penalty: float, factors: tuple[list[float], list[float], list[float]] | None = None) -> float:
+        """Rows less the degrees of freedom, from the bands of the inverse."""
+        inverse = banded.inverse_bands(factors or self.factors(penalty))
+        return penalty * sum(k * float(i @ r) for k, i, r in zip((1, 2, 2), inverse, self.rough, strict=True))
+
+    def at(self, penalty: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """Score of generalised cross-validation, fitted values, and second derivatives at the inner points."""
+        factors, n = self.factors(penalty), len(self.z)
+        second = banded.solve(factors, self.turns)
+        off = np.zeros(n)
+        for k, w in enumerate(self.weights):
+            off[k : n - 2 + k] += w * second
+        left = self.left(penalty, factors)
+        return n * penalty * penalty * float(off @ off) / max(left, 1e-9) ** 2, self.z - penalty * off, second
+
+    def penalty_of(self, freedom: float) -> float:
+        """The penalty that gives ``freedom`` degrees of freedom, by halving in its logarithm."""
+        n = len(self.z)
+        left = n - min(max(freedom, 2.001), n - 0.001)
+        low, high = -20.0, 20.0
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if self.left(10.0**middle * self.unit) < left else (low, middle)
+        return 10.0**high * self.unit
+
+
+def spline_derivative(t: np.ndarray, z: np.ndarray, penalties: int = 40, freedom: float | None = None) -> np.ndarray:
+    """Slopes of the spline at the best of ``penalties``, or at the one with the asked degrees of freedom."""
     n = len(z)
     if n < 4 or (np.diff(t) <= 0).any():
         return np.gradient(z, t) if n > 1 and (np.diff(t) > 0).all() else np.full(n, np.nan)
-    h = np.diff(t)
-    a, b, c = banded.second_differences(h)
-    rough, bend = banded.gram(a, b, c), ((h[:-1] + h[1:]) / 3, h[1:-1] / 6)
-    turns = a * z[:-2] + b * z[1:-1] + c * z[2:]
-    unit = bend[0].sum() / rough[0].sum()
-    best = None
-    for penalty in np.logspace(-8, 4, penalties) * unit * n:
-        factors = banded.factor((bend[0] + penalty * rough[0], bend[1] + penalty * rough[1], penalty * rough[2]))
-        second = banded.solve(factors, turns)
-        inverse = banded.inverse_bands(factors)
-        left = penalty * sum(k * float(i @ r) for k, i, r in zip((1, 2, 2), inverse, rough, strict=True))  # n less the degrees of freedom
-        off = np.zeros(n)
-        off[:-2] += a * second
-        off[1:-1] += b * second
-        off[2:] += c * second
-        score = n * penalty * penalty * float(off @ off) / max(left, 1e-9) ** 2
-        if best is None or score < best[0]:
-            best = (score, z - penalty * off, second)
-    g, second = best[1], np.concatenate([[0.0], best[2], [0.0]])
+    s = Spline(t, z)
+    tried = np.logspace(-8, 4, penalties) * s.unit if freedom is None else [s.penalty_of(freedom)]
+    _, g, second = min((s.at(p) for p in tried), key=lambda found: found[0])
+    h, second = s.h, np.concatenate([[0.0], second, [0.0]])
     slope = np.diff(g) / h
     return np.append(slope - h * (2 * second[:-1] + second[1:]) / 6, slope[-1] + h[-1] * (second[-2] + 2 * second[-1]) / 6)
 

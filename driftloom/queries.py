@@ -681,6 +681,12 @@ def spline(spark: SparkSession, d: str) -> DataFrame:
     return derivatives.smoothing_spline(panel(spark, d), PANEL)
 
 
+@query("dv04_spline_freedom")
+def spline_freedom(spark: SparkSession, d: str) -> DataFrame:
+    """Every series' spline of eight degrees of freedom."""
+    return derivatives.smoothing_spline(panel(spark, d), PANEL, freedom=8.0)
+
+
 @query("dv06_total_variation")
 def total_variation(spark: SparkSession, d: str) -> DataFrame:
     return derivatives.total_variation(panel(spark, d), PANEL, penalty=1.0)
