@@ -10,6 +10,9 @@ from ..functions.equations import Equation
 from .panel import Panel, row_numbers
 from .regression import least_squares
 
+#: Rows of a series that the bootstrap keeps together; blocks that are longer make chunks of their length.
+CHUNK = 1024
+
 
 def block_folds(df: DataFrame, panel: Panel = Panel(), k: int = 5, block_size: int | None = None) -> DataFrame:
     """Add fold 1..k: equal-width bins of the row index, or blocks of ``block_size`` rows."""
@@ -66,14 +69,25 @@ def sensitivity(df: DataFrame, equation: Equation, percent: float = 10.0) -> Dat
 def bootstrap(df: DataFrame, panel: Panel, target: Column, terms: dict[str, Column], replicates: int = 100, block: int | None = None, seed: int = 42) -> DataFrame:
     """Rows (keys, replicate, coefficients): least squares on series made of random blocks of rows.
 
-    Block starts are hashes of replicate and block number, so reruns agree. Rows are paired
-    with the draws of their block start; sums of products are aggregated per replicate.
+    Block starts are hashes of replicate and block number, so reruns agree. Rows lie in chunks of at least
+    a block's length, so a block is cut out of two chunks at most: a shuffle carries each row once and
+    each block once or twice, never a row for each time that it is drawn.
     """
-    d = row_numbers(df, panel)
+    d, keys = row_numbers(df, panel), [*panel.keys]
     size = F.lit(block) if block else F.greatest(F.lit(1), F.floor(F.sqrt("n")))
-    sizes = d.select(*panel.keys, "n").distinct().withColumn("b", size.cast("int"))
-    draws = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("k", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / F.col("b")) - 1).cast("int"))))
-    start = F.pmod(F.xxhash64(*panel.keys, "replicate", "k", F.lit(seed)), F.col("n") - F.col("b") + 1) + 1
-    draws = draws.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).filter(F.col("k") * F.col("b") + F.col("at") < F.col("n")).withColumn("rn", (start + F.col("at")).cast("int"))
-    chosen = d.drop("n").join(draws.select(*panel.keys, "replicate", "rn"), [*panel.keys, "rn"])
-    return least_squares(chosen, [*panel.keys, "replicate"], target, terms)
+    length = F.greatest("_b", F.lit(CHUNK))
+    d = d.withColumn("_b", size.cast("int")).withColumn("_chunk", F.floor((F.col("rn") - 1) / length))
+    values = F.struct(F.col("rn").alias("_rn"), target.cast("double").alias("_y"), *[c.cast("double").alias(f"_t{i}") for i, c in enumerate(terms.values())])
+    chunks = d.groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_list(values)).alias("_rows"))
+    draws = d.groupBy(*keys).agg(F.first("n").alias("n"), F.first("_b").alias("_b"))
+    draws = draws.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_k", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / F.col("_b")) - 1).cast("int"))))
+    start = F.pmod(F.xxhash64(*keys, "replicate", "_k", F.lit(seed)), F.col("n") - F.col("_b") + 1) + 1
+    draws = draws.withColumn("_from", start.cast("int")).withColumn("_to", (F.col("_from") + F.least(F.col("_b"), F.col("n") - F.col("_k") * F.col("_b")) - 1).cast("int"))
+    ends = [F.floor((F.col(c) - 1) / length) for c in ("_from", "_to")]
+    draws = draws.select(*keys, "replicate", "_from", "_to", F.explode(F.array_distinct(F.array(*ends))).alias("_chunk"))
+    # Both sides are shuffled: tables grown by explode look small to the planner, which broadcast them.
+    met = chunks.hint("merge").join(draws, [*keys, "_chunk"])
+    first = F.greatest("_from", F.get("_rows", F.lit(0))["_rn"])
+    part = F.slice("_rows", (first - F.get("_rows", F.lit(0))["_rn"] + 1).cast("int"), (F.col("_to") - first + 1).cast("int"))
+    drawn = met.select(*keys, "replicate", F.inline(part))
+    return least_squares(drawn, [*keys, "replicate"], F.col("_y"), {name: F.col(f"_t{i}") for i, name in enumerate(terms)})
