@@ -6,6 +6,7 @@ The text is read with Python's own expression grammar (``^`` means power).
 from __future__ import annotations
 
 import ast
+import functools
 import re
 from dataclasses import dataclass, field
 
@@ -28,7 +29,7 @@ class Equation:
 
     @property
     def tree(self) -> ast.expr:
-        return ast.parse(self.text.strip().replace("^", "**"), mode="eval").body
+        return _parsed(self.text)
 
     def names(self) -> list[str]:
         """Variables and coefficients in order of first use, without function names."""
@@ -102,6 +103,11 @@ class Equation:
         return Equation(ast.unparse(tree).replace("**", "^"), {**self.coefficients, **found}, self.target) if found else self
 
 
+@functools.lru_cache(maxsize=4096)
+def _parsed(text: str) -> ast.expr:
+    return ast.parse(text.strip().replace("^", "**"), mode="eval").body
+
+
 def structure(text: Column) -> Column:
     """Equation text with every number as C: equal for equations that differ in constants only."""
     return F.regexp_replace(text, r"-?\d+\.?\d*([eE][+-]?\d+)?", "C")

@@ -14,7 +14,7 @@ from ..functions.errors import NameCollision, UndeclaredName
 from ..shipping import shipped
 
 #: Paths of a task that move together, and rows of one output batch.
-PATHS, ROWS = 512, 50_000
+PATHS, ROWS = 4096, 50_000
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
@@ -43,6 +43,7 @@ def simulate_system(
     method: str = "euler",
     increments: int = 1,
     seed: int = 42,
+    first: int = 0,
 ) -> DataFrame:
     """Rows (keys, sim, step, t, variables): paths of dx = f(x, t) dt + G(x, t) dW for every row of ``starts``.
 
@@ -57,7 +58,8 @@ def simulate_system(
     sum of ``increments`` finer ones, so step h of one increment and step 4 h of four see the same
     Brownian path. From where a path leaves the finite numbers on its variables are null, as
     they are where a start or parameter is null. Tasks move blocks of paths together and
-    hand over rows as they go; no path is held whole.
+    hand over rows as they go; no path is held whole. Rows before step ``first`` are not handed
+    over: with ``first=steps`` a path gives its end alone.
     """
     variables, noise = list(drift), noise or {}
     sources = sorted({s for v in noise.values() for s in v})
@@ -81,8 +83,8 @@ def simulate_system(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            for first in range(0, len(whole), PATHS):
-                b = whole.iloc[first : first + PATHS]
+            for at_row in range(0, len(whole), PATHS):
+                b = whole.iloc[at_row : at_row + PATHS]
                 given = {c: b[c].to_numpy(float) for c in used}
                 path = b["_path"].to_numpy(np.int64).astype(np.uint64)
                 state = [b[v].to_numpy(float) for v in variables]
@@ -118,6 +120,8 @@ def simulate_system(
                                         new[n] = new[n] + at(loading, state, t) * tied[sources.index(source)]
                             good = np.all([np.isfinite(x) for x in new], axis=0)
                             state = [np.where(good, x, np.nan) for x in new]
+                    if i < first:
+                        continue
                     held.append(b[[*keys, "sim"]].assign(step=i, t=i * step, **dict(zip(variables, state, strict=True))))
                     if len(held) * len(b) >= ROWS:
                         yield pd.concat(held)
@@ -125,7 +129,9 @@ def simulate_system(
                 if held:
                     yield pd.concat(held)
 
-    paths = starts.select(*keys, *[F.col(c).cast("double").alias(c) for c in (*variables, *used)], F.explode(F.sequence(F.lit(1), F.lit(sims))).alias("sim"))
+    # By a number of partitions: a few bytes of starts are much work, which adaptive execution would put into one task.
+    dealt = starts.repartition(4 * starts.sparkSession.sparkContext.defaultParallelism, *keys) if keys else starts
+    paths = dealt.select(*keys, *[F.col(c).cast("double").alias(c) for c in (*variables, *used)], F.explode(F.sequence(F.lit(1), F.lit(sims))).alias("sim"))
     paths = paths.withColumn("_path", F.xxhash64(F.lit(seed), *keys, "sim"))
     types = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in starts.select(*keys).schema), "sim int", "step int", "t double", *(f"`{v}` double" for v in variables)]
     out = shipped(paths).mapInPandas(run, ", ".join(types))

@@ -817,7 +817,7 @@ def coupled_noise(spark: SparkSession, d: str) -> DataFrame:
     starts = s.select("series_id", "x", F.col("mean").alias("y"), "mean", "sd")
     drift = {"x": Equation("0.5 * (mean - x)"), "y": Equation("0.5 * (x - y)")}
     noise = {"x": {"u": Equation("0.3 * sd")}, "y": {"u": Equation("0.1 * sd"), "v": Equation("0.1 * sd")}}
-    end = systems.simulate_system(starts, ["series_id"], drift, 0.1, 50, noise, {("u", "v"): 0.5}, sims=200).filter("step = 50")
+    end = systems.simulate_system(starts, ["series_id"], drift, 0.1, 50, noise, {("u", "v"): 0.5}, sims=200, first=50)
     return end.groupBy("series_id").agg(F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.stddev_samp("x").alias("sd_x"), F.stddev_samp("y").alias("sd_y"), F.corr("x", "y").alias("corr"))
 
 

@@ -84,3 +84,16 @@ def test_names_are_accounted_for(spark):
         simulate_system(species(spark).withColumn("t", F.lit(1.0)), ["k"], {"t": Equation("a * t")}, 0.1, 2)
     with pytest.raises(np.linalg.LinAlgError):
         simulate_system(species(spark), ["k"], PREY, 0.1, 2, {"x": {"u": Equation("a * x")}, "y": {"v": Equation("a * x")}}, {("u", "v"): 2.0})
+
+
+def test_ends_alone_are_those_of_whole_paths(spark):
+    noise = {"x": {"w": Equation("0.1 * x")}}
+    whole = simulate_system(species(spark), ["k"], PREY, 0.05, 20, noise, sims=7).filter("step >= 19")
+    ends = simulate_system(species(spark), ["k"], PREY, 0.05, 20, noise, sims=7, first=19)
+    assert sorted(ends.collect()) == sorted(whole.collect()) and ends.count() == 2 * 7 * 2
+
+
+def test_starts_are_dealt_to_many_tasks(spark):
+    start = spark.range(400).groupBy(F.col("id").alias("k")).agg(F.lit(1.0).alias("x"))
+    ends = simulate_system(start, ["k"], {"x": Equation("-x")}, 0.1, 5, first=5)
+    assert ends.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 1
