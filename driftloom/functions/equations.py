@@ -48,9 +48,10 @@ class Equation:
         """The equation as a Column; coefficients come before columns, ``bind`` before both."""
         return _column(self.tree, {k: F.lit(float(v)) for k, v in self.coefficients.items()} | (bind or {}))
 
-    def values(self, data: dict[str, np.ndarray]) -> np.ndarray:
+    def values(self, data: dict[str, np.ndarray], known: dict[str, np.ndarray] | None = None) -> np.ndarray:
+        """Values on arrays; ``known`` shares those of equal parts between equations without coefficients on the same data."""
         with np.errstate(all="ignore"):
-            return _values(self.tree, {"pi": np.pi} | data | self.coefficients)
+            return _values(self.tree, {"pi": np.pi} | data | self.coefficients, known)
 
     def complexity(self) -> int:
         """Number of constants, variables and operations."""
@@ -144,8 +145,24 @@ def _column(node: ast.expr, bind: dict[str, Column]) -> Column:
     raise ValueError(f"cannot read this part of an equation: {ast.unparse(node)}")
 
 
-def _values(node: ast.expr, bind: dict) -> np.ndarray:
-    go = lambda n: _values(n, bind)
+def _values(node: ast.expr, bind: dict, known: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    """``known`` keeps the values of every part, by its text, for other equations on the same data."""
+    if known is None or isinstance(node, (ast.Constant, ast.Name)):
+        return _value(node, bind, known)
+    name = _spelled(node)
+    if name not in known:
+        known[name] = _value(node, bind, known)
+    return known[name]
+
+
+def _spelled(node: ast.expr) -> str:
+    if not hasattr(node, "spelled"):
+        node.spelled = ast.unparse(node)
+    return node.spelled
+
+
+def _value(node: ast.expr, bind: dict, known: dict[str, np.ndarray] | None) -> np.ndarray:
+    go = lambda n: _values(n, bind, known)
     match node:
         case ast.Constant():
             return np.float64(node.value)

@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 from ..functions.equations import NUMBER, Equation, structure
 from ..functions.scalars import inverse, ln
 from ..shipping import shipped
+from .lineage import settled
 from .regression import centred_moments, moment_arrays, solve_centred
 from .windows import rising_minimum
 
 # Physical and mathematical constants that fitted numbers are compared with.
 CONSTANTS = {"pi": 3.141592653589793, "e": 2.718281828459045, "phi": 1.618033988749895, "g": 9.80665, "c": 299792458.0, "h": 6.62607015e-34, "k_B": 1.380649e-23}
 
+#: Rows on which a task scores all candidates at once.
+BLOCK = 4096
+
 
 def pareto_front(results: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Candidates (complexity, mse, equation) that no simpler one of their ``keys`` equals in error, with rmse."""
@@ -215,21 +219,24 @@ def errors(df: DataFrame, target: str, equations: list[str]) -> list[float]:
     """
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros(len(equations)), 0
+        total, n, read = np.zeros(len(equations)), 0, [Equation(text) for text in equations]
         for b in batches:
-            data = {c: b[c].to_numpy(float) for c in b.columns}
             n += len(b)
-            with np.errstate(all="ignore"):
-                for i, text in enumerate(equations):
-                    gap = Equation(text).values(data) - data[target]
-                    total[i] += float(np.sum(np.broadcast_to(gap, len(b)) ** 2))
-        yield pd.DataFrame({"i": np.arange(len(equations)), "sse": total, "n": n})
+            for at in range(0, len(b), BLOCK):
+                data = {c: b[c].to_numpy(float)[at : at + BLOCK] for c in b.columns}
+                known: dict[str, np.ndarray] = {}  # candidates are bred from each other and share many parts
+                with np.errstate(all="ignore"):
+                    for i, e in enumerate(read):
+                        gap = e.values(data, known) - data[target]
+                        total[i] += float(np.sum(np.broadcast_to(gap, len(data[target])) ** 2))
+        # NaN would turn into null on its way, and the sum over tasks would leave this task's rows out.
+        yield pd.DataFrame({"i": np.arange(len(equations)), "sse": np.where(np.isnan(total), np.inf, total), "n": n})
 
     got = shipped(df).mapInPandas(add, "i int, sse double, n long").groupBy("i").agg((F.sum("sse") / F.nullif(F.sum("n"), F.lit(0))).alias("mse")).collect()
     out = [np.inf] * len(equations)
     for r in got:
         if r.mse is not None and np.isfinite(r.mse):
-            out[r.i] = r.mse
+            out[r.i] = float(f"{r.mse:.11g}")  # last digits depend on how rows are dealt, and a search would follow them
     return out
 
 
@@ -241,6 +248,8 @@ def genetic(df: DataFrame, target: str, predictors: list[str], runs: int = 5, po
     """
     spark, columns = df.sparkSession, [target, *predictors]
     rows = df.select(*[F.col(c).cast("double") for c in columns]).dropna()
+    # Written once for all generations, in parts for all cores: few bytes are much work.
+    rows = settled(rows.repartition(4 * spark.sparkContext.defaultParallelism))
     makers = [Genome(np.random.default_rng(seed + 1000 * run), predictors) for run in range(runs)]
     pools = [[m.tree(4) for _ in range(population)] for m in makers]
     known: dict[str, float] = {}
