@@ -15,6 +15,7 @@ from ..functions.equations import Equation
 from ..functions.errors import NameCollision, SubstitutionIgnored, UndeclaredName, UnknownName
 from ..functions.scalars import finite
 from ..shipping import shipped
+from .lineage import settled
 from .panel import Panel
 
 
@@ -270,9 +271,13 @@ def analyse_bifurcations(spark: SparkSession, equation: Equation, variable: str,
     swept = declared(equation, variable, exogenous, None, (parameter, *names))
     parameters = line(spark, low, high, values, parameter)
     cells = line(spark, z_low, z_high, points).crossJoin(F.broadcast(parameters))  # points and values rows
+    if drawn is not None:
+        drawn = settled(drawn)
     grid = cells if drawn is None else drawn.crossJoin(F.broadcast(cells))
     f = Dynamics(swept, variable)
     found = fixed_points(grid, f, [parameter] if drawn is None else [parameter, "draw", *names]).drop(*names)
+    if drawn is not None:
+        found = settled(found)  # draws x values x points are searched once, however often the points are read
     finite_at = grid.groupBy(parameter).agg(F.count(finite(f(F.col("z")))).alias("_finite"))
     counts = found.groupBy(parameter).agg(F.count(F.lit(1)).alias("n_fixed_points"))
     status = parameters.join(finite_at, parameter, "left").join(counts, parameter, "left").withColumn("n_fixed_points", F.coalesce("n_fixed_points", F.lit(0)))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.equations import Equation, structure
 from .operators import bounded, certify, derivatives, dynamics, figures, glm, moments, refit, regression, sampling, search, smooth, systems, validation, windows
+from .operators.lineage import settled
 from .operators.panel import Panel, row_numbers
 from .plans import explore, models, stochastic
 from .sources import tables, writers
@@ -609,7 +610,7 @@ def fitted_fixed_points(spark: SparkSession, d: str) -> DataFrame:
 n AS (SELECT u, count(*) AS n, (SELECT count(*) FROM b) AS n_all, count(*) FILTER (b < -1e-6) AS stable, count(*) FILTER (b > 1e-6) AS unstable, median(z) AS fixed_point, quantile_cont(z, 0.05) AS lower, quantile_cont(z, 0.95) AS upper FROM k GROUP BY u)
 SELECT u + 0.0 AS u, 1 AS branch, round(fixed_point, 3) + 0.0 AS fixed_point, round(lower, 3) + 0.0 AS lower, round(upper, 3) + 0.0 AS upper, CASE WHEN stable >= unstable THEN 'stable' ELSE 'unstable' END AS stability, round(greatest(stable, unstable) / n, 6) + 0.0 AS prob_stability, round(n / n_all, 6) + 0.0 AS prob_n_fixed_points FROM n WHERE n > n_all - n""")
 def posterior_sweep(spark: SparkSession, d: str) -> DataFrame:
-    draws = fitted_lines(spark, d)
+    draws = settled(fitted_lines(spark, d))
     found, _ = dynamics.analyse_bifurcations(spark, Equation("u + a + b * z"), "z", "u", -10.0, 10.0, 11, -1000.0, 1000.0, 201, draws=draws, n_draws=None)
     out = dynamics.consensus(found, draws.count(), keys=["u"]).withColumn("u", r("u"))
     return rounded(rounded(out, "prob_stability", "prob_n_fixed_points"), "fixed_point", "lower", "upper", digits=3)
