@@ -55,25 +55,26 @@ FAMILIES = {
 }
 
 
-def glm(df: DataFrame, keys: list[str], target: str, terms: dict[str, Column], family: str = "gaussian", link: str | None = None, weight: Column | None = None, rounds: int = 50, tolerance: float = 1e-12) -> DataFrame:
+def glm(df: DataFrame, keys: list[str], target: str, terms: dict[str, Column], family: str = "gaussian", link: str | None = None, weight: Column | None = None, rounds: int = 50, tolerance: float = 1e-12, times: Column | None = None) -> DataFrame:
     """Rows (keys, n, coefficients, se_<name>, deviance, null_deviance, dispersion, rounds, converged): one model per key.
 
     Each round is one aggregation of weighted products at every group's coefficients, and a
     small solve per group; predictors are standardised by group first. A step to where the
     mean is not defined is halved. Families: gaussian, poisson, binomial (a 0/1 or share
     target), gamma; links: identity, log, logit, inverse, sqrt, the family's own unless
-    given. Rows with a null are left out. Groups whose terms are dependent, or whose target is
+    given. ``times`` says how many equal rows a row stands for. Rows with a null are left out. Groups whose terms are dependent, or whose target is
     impossible for the family, have null coefficients.
     """
     fam, lnk = FAMILIES[family], LINKS[link or FAMILIES[family].link]
     names, k = list(terms), len(terms) + 1
     y = F.col(target).cast("double")
-    rows = df.select(*keys, y.alias("_y"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("_w"), *[c.cast("double").alias(f"_x{i}") for i, c in enumerate(terms.values())])
+    count = F.lit(1).cast("long") if times is None else times.cast("long")
+    rows = df.select(*keys, y.alias("_y"), ((F.lit(1.0) if weight is None else weight.cast("double")) * count).alias("_w"), count.alias("_t"), *[c.cast("double").alias(f"_x{i}") for i, c in enumerate(terms.values())])
     rows = rows.dropna(subset=[c for c in rows.columns if c not in keys])
     about = rows.groupBy(*keys).agg((F.sum(F.col("_w") * F.col("_y")) / F.nullif(F.sum("_w"), F.lit(0.0))).alias("_mean"), *[c for i in range(k - 1) for c in (F.avg(f"_x{i}").alias(f"_m{i}"), F.coalesce(F.nullif(F.stddev_pop(f"_x{i}"), F.lit(0.0)), F.lit(1.0)).alias(f"_d{i}"))])
     about = settled(about)
     groups = about.count()
-    rows = meeting(rows, about, keys, groups).select(*keys, "_y", "_w", "_mean", *[((F.col(f"_x{i}") - F.col(f"_m{i}")) / F.col(f"_d{i}")).alias(f"_z{i}") for i in range(k - 1)]).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = meeting(rows, about, keys, groups).select(*keys, "_y", "_w", "_t", "_mean", *[((F.col(f"_x{i}") - F.col(f"_m{i}")) / F.col(f"_d{i}")).alias(f"_z{i}") for i in range(k - 1)]).persist(StorageLevel.MEMORY_AND_DISK)
 
     z = [F.lit(1.0), *[F.col(f"_z{i}") for i in range(k - 1)]]
     w, y = F.col("_w"), F.col("_y")
@@ -90,7 +91,7 @@ def glm(df: DataFrame, keys: list[str], target: str, terms: dict[str, Column], f
     unit = fam.deviance(y, held)
     # A row whose mean the family does not know spoils the sums of its group, rather than drop out of them.
     every = F.count(F.when(work.isNotNull() & heavy.isNotNull(), 1)) == F.count(y)
-    sums = [F.array(*[F.when(every, c) for c in sums]).alias("now"), F.when(F.count(unit) == F.count(y), F.sum(w * unit)).alias("found"), F.sum(w * fam.deviance(y, F.col("_mean"))).alias("none"), F.sum(F.try_divide(w * (y - held) * (y - held), fam.variance(held))).alias("_chi"), F.count(y).alias("rows")]
+    sums = [F.array(*[F.when(every, c) for c in sums]).alias("now"), F.when(F.count(unit) == F.count(y), F.sum(w * unit)).alias("found"), F.sum(w * fam.deviance(y, F.col("_mean"))).alias("none"), F.sum(F.try_divide(w * (y - held) * (y - held), fam.variance(held))).alias("_chi"), F.sum("_t").alias("rows")]
     doubles = ArrayType(DoubleType())
     fields = [StructField("trial", doubles), StructField("best", doubles), StructField("sums", doubles)] + [StructField(c, DoubleType()) for c in ("loss", "null_deviance", "chi")] + [StructField("n", LongType()), StructField("rounds", IntegerType()), StructField("halved", IntegerType()), StructField("done", BooleanType()), StructField("good", BooleanType())]
 
@@ -183,13 +184,22 @@ def cross_validate_glm(df: DataFrame, keys: list[str], target: str, terms: dict[
     rows), r_squared, deviance (mean of the family's), refitted. A fold whose model does not
     converge is scored by the mean of its training rows and not refitted.
     """
-    y, by = F.col(target).cast("double"), [*keys, "fold"]
-    roles = with_roles(df.withColumn("_weight", F.lit(1.0) if weight is None else weight), folds, fold).withColumnRenamed(fold, "fold")
+    y, by = F.col("_target"), [*keys, "fold"]
+    named = {f"_term{i}": c.cast("double") for i, c in enumerate(terms.values())}
+    rows = df.select(*keys, F.col(fold).alias("fold"), F.col(target).cast("double").alias("_target"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("_weight"), *[c.alias(n) for n, c in named.items()])
+    # Equal rows become one that counts for all, where that halves them at least; else each is copied once a fold.
+    n, kinds = rows.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*rows.columns))).first()
+    rows = settled(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_times"))) if kinds <= n / 2 else rows.withColumn("_times", F.lit(1).cast("long"))
+    terms = {m: F.col(c) for m, c in zip(terms, named, strict=True)}
+    roles = with_roles(rows, folds)
     train, test = roles.filter("role = 'train'"), roles.filter("role = 'test'")
-    fits = glm(train, by, target, terms, family, link, F.col("_weight"))
-    means = train.groupBy(*by).agg((F.sum(F.col("_weight") * y) / F.sum("_weight")).alias("_mean"))
+    times = F.col("_times")
+    fits = glm(train, by, "_target", terms, family, link, F.col("_weight"), times=times)
+    means = train.groupBy(*by).agg((F.sum(F.col("_weight") * times * y) / F.sum(F.col("_weight") * times)).alias("_mean"))
     scored = predict_glm(test.join(means, by), fits.filter("converged"), by, terms, family, link, "_p")
     guess = F.coalesce("_p", "_mean")
-    e, d = y - guess, y - F.col("_mean")
-    s = scored.groupBy(*by).agg(F.count(y).alias("n_test"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.sum(e * e).alias("ss_res"), F.sum(d * d).alias("ss_tot"), F.avg(FAMILIES[family].deviance(y, guess)).alias("deviance"), F.bool_and(F.col("_p").isNotNull()).alias("refitted"))
+    e, d, unit = y - guess, y - F.col("_mean"), FAMILIES[family].deviance(y, guess)
+    total = lambda c: F.sum(times * c)
+    mean = lambda c: F.sum(times * c) / F.sum(F.when(c.isNotNull(), times))
+    s = scored.groupBy(*by).agg(F.coalesce(F.sum(F.when(y.isNotNull(), times)), F.lit(0)).alias("n_test"), F.sqrt(mean(e * e)).alias("rmse"), mean(F.abs(e)).alias("mae"), total(e * e).alias("ss_res"), total(d * d).alias("ss_tot"), mean(unit).alias("deviance"), F.bool_and(F.col("_p").isNotNull()).alias("refitted"))
     return s.withColumn("r_squared", 1 - F.col("ss_res") / F.nullif(F.col("ss_tot"), F.lit(0.0)))
