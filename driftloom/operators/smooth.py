@@ -66,22 +66,24 @@ def additive(df: DataFrame, keys: list[str], target: Column, predictors: list[st
 
     numbers = "n long, edf double, gcv double, rss double, tss double, intercept double, lows array<double>, steps array<double>, penalties array<double>, coefficients array<array<double>>"
     schema = StructType(df.select(*keys).schema.fields + StructType.fromDDL(numbers).fields)
-    return shipped(sums).groupBy(*keys).applyInPandas(one, schema)
+    # By a number of partitions: few bytes are much work, which adaptive execution would put into one task.
+    dealt = sums.repartition(8 * df.sparkSession.sparkContext.defaultParallelism, *keys) if keys else sums
+    return shipped(dealt).groupBy(*keys).applyInPandas(one, schema)
 
 
 def fit_of(part: pd.DataFrame, keys: list[str], p: int, pieces: int) -> pd.DataFrame:
     """The row of ``additive`` for one key, from its sums by cells."""
     q = pieces + 3
     gram, right = np.zeros((p * q, p * q)), np.zeros(p * q)
-    for r in part.itertuples(index=False, name=None):
-        v = dict(zip(part.columns, r, strict=True))
-        a, b = v["_a"] * q + v["_ca"], v["_b"] * q + v["_cb"]
-        block = BASIS @ np.reshape(v["_uu"], (4, 4)) @ BASIS.T
+    at, blocks = part[["_a", "_b", "_ca", "_cb"]].to_numpy(int), BASIS @ np.stack(part["_uu"]).reshape(-1, 4, 4) @ BASIS.T
+    rights = np.stack(part["_yu"]) @ BASIS.T
+    for (i, j, ca, cb), block, add in zip(at.tolist(), blocks, rights, strict=True):
+        a, b = i * q + ca, j * q + cb
         gram[a : a + 4, b : b + 4] += block
-        if v["_a"] != v["_b"]:
+        if i != j:
             gram[b : b + 4, a : a + 4] += block.T
         else:
-            right[a : a + 4] += BASIS @ np.asarray(v["_yu"])
+            right[a : a + 4] += add
     own = part[(part._a == 0) & (part._b == 0)]
     n, mass = int(own._n.sum()), float(gram[:q, :q].sum())
     shift, total = float(sum(u[0] for u in own._yu)), float(own._yy.sum())
@@ -105,7 +107,11 @@ def fit_of(part: pd.DataFrame, keys: list[str], p: int, pieces: int) -> pd.DataF
         system = g.copy()
         for s, u, e in zip(parts, unit, logs, strict=True):
             system[s, s] += u * 10.0**e * rough
-        inverse = np.linalg.pinv(system, rcond=1e-13, hermitian=True)
+        # The pseudo-inverse by eigenvectors, without what numpy's own does besides.
+        size, v = np.linalg.eigh(system)
+        big = np.abs(size) > 1e-13 * np.abs(size).max(initial=0.0)
+        v = v[:, big]
+        inverse = (v / size[big]) @ v.T
         b = inverse @ h
         edf, rss = 1 + float(np.sum(inverse * g)), max(float(tss - 2 * b @ h + b @ g @ b), 0.0)
         return (n * rss / (n - edf) ** 2 if n - edf > 1e-6 else np.inf), edf, rss, b
