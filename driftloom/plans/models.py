@@ -108,11 +108,11 @@ def validate_model(df: DataFrame, panel: Panel, equation: Equation, target: str,
     keys = list(panel.keys)
     d = df.filter(F.col(target).isNotNull()).withColumn("_fit", equation.column()).withColumn("residual", F.col(target) - F.col("_fit"))
     if method == "rolling":
-        roles = validation.rolling_folds(d, panel, folds, horizon)
+        scores = refit.cross_validate_equation(validation.rolling_folds(d, panel, folds, horizon), keys, equation, target, weight)
     else:
         numbered = {"block": validation.block_folds, "random": validation.random_folds}[method](d, panel, folds)
-        roles = refit.with_roles(numbered, folds)
-    scores = refit.cross_validate_equation(roles, keys, equation, target, weight)
+        scores = refit.cross_validate_folds(numbered, keys, equation, target, weight, folds)
+    scores = settled(scores)
     from dataclasses import replace
 
     return {

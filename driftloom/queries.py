@@ -522,7 +522,7 @@ f AS (SELECT a.series_id, k.fold, regr_slope(z, rn) AS s, regr_intercept(z, rn)
 SELECT series_id, fold, count(*) AS n_test, round(sqrt(avg((z - i - s * rn) ** 2)), 4) + 0.0 AS rmse, round(avg(abs(z - i - s * rn)), 4) + 0.0 AS mae, round(1 - sum((z - i - s * rn) ** 2) / sum((z - m) ** 2), 4) + 0.0 AS r_squared FROM b JOIN f USING (series_id, fold) GROUP BY series_id, fold""")
 def cross_validate(spark: SparkSession, d: str) -> DataFrame:
     b = validation.block_folds(panel(spark, d), PANEL, 5)
-    s = refit.cross_validate_equation(refit.with_roles(b, 5), ["series_id"], Equation("a + b * rn", {"a": 0.0, "b": 0.0}), "z")
+    s = refit.cross_validate_folds(b, ["series_id"], Equation("a + b * rn", {"a": 0.0, "b": 0.0}), "z")
     return s.select("series_id", "fold", "n_test", r("rmse", 4).alias("rmse"), r("mae", 4).alias("mae"), r("r_squared", 4).alias("r_squared"))
 
 
